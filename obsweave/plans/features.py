@@ -111,59 +111,74 @@ def target_features(columns, config: FeatureConfig, window) -> list[Column]:
     return targets
 
 
-def feature_order(columns, config: FeatureConfig) -> list[str]:
+GROUPS = ("lag", "rolling", "delta", "target")
+
+
+def feature_order(columns, config: FeatureConfig, groups=GROUPS) -> list[str]:
     """The contract order of the derived window columns."""
     temp, rain = target_columns(config.horizon)
-    names = [f"{c}_lag_{k}h" for c in LAGGED if c in columns for k in config.lag_rows]
-    names += [
-        rolling_name(c, stat, h)
-        for h in config.rolling_hours
-        for c in ROLLED
-        if c in columns
-        for stat in ROLLING_STATS
-    ]
-    if "precipitation" in columns:
-        names.append(rolling_name("precipitation", "sum", config.rain_sum_hours))
-    names += [name for c, name in DELTAS.items() if c in columns]
-    names += [temp] if "temperature" in columns else []
-    return names + ([rain] if "rain" in columns else [])
+    names = {
+        "lag": [f"{c}_lag_{k}h" for c in LAGGED if c in columns for k in config.lag_rows],
+        "rolling": [
+            rolling_name(c, stat, h)
+            for h in config.rolling_hours
+            for c in ROLLED
+            if c in columns
+            for stat in ROLLING_STATS
+        ]
+        + [rolling_name("precipitation", "sum", config.rain_sum_hours)]
+        * ("precipitation" in columns),
+        "delta": [name for c, name in DELTAS.items() if c in columns],
+        "target": [temp] * ("temperature" in columns) + [rain] * ("rain" in columns),
+    }
+    return [name for group in GROUPS if group in groups for name in names[group]]
 
 
 def windowed_features(
-    base: DataFrame, config: FeatureConfig | None = None, *, dense: bool | None = None
+    base: DataFrame,
+    config: FeatureConfig | None = None,
+    *,
+    dense: bool | None = None,
+    groups=GROUPS,
 ) -> DataFrame:
     """Lag, rolling, difference and target columns over a base with physics.
 
     Sparse series take every window in one pass: one exchange, one sort.
     Dense ones (``dense``; measured when not given) take rolling statistics by
-    split frames first, as a sliding frame costs rows x rows-in-frame.
+    split frames, as a sliding frame costs rows x rows-in-frame.  ``groups``
+    leaves out what is not needed, and with it the context it would need.
     """
     config = config or FeatureConfig()
     columns = set(base.columns)
-    if dense is None:
+    frames = rolling_stats(columns, config) if "rolling" in groups else {}
+    if dense is None and frames:
         dense = series.rows_per_frame(base, config.longest_frame) > config.dense_frame_rows
 
-    frames = rolling_stats(columns, config)
+    lagged = [c for c in LAGGED if "lag" in groups and c in columns]
+    lagged += [c for c in DELTAS if "delta" in groups and c in columns]
+    lags = [*(config.lag_rows if "lag" in groups else ()), *((1,) if "delta" in groups else ())]
+    led = [c for c in ("temperature", "rain") if "target" in groups and c in columns]
     tagged = series.with_context(
         base,
         bucket_hours=config.bucket_hours,
         lookback_hours=0 if dense else max(frames, default=0),
-        lag_rows=max((1, *config.lag_rows)),
-        lag_columns=[c for c in (*LAGGED, *DELTAS) if c in columns],
-        lead_rows=config.horizon,
-        lead_columns=[c for c in ("temperature", "rain") if c in columns],
+        lag_rows=max(lags, default=0) if lagged else 0,
+        lag_columns=lagged,
+        lead_rows=config.horizon if led else 0,
+        lead_columns=led,
     )
     window = series.series_window()
-    derived = lag_features(columns, config, window)
-    derived += [] if dense else rolling_features(columns, config, window)
-    derived += delta_features(columns, window) + target_features(columns, config, window)
+    derived = lag_features(columns, config, window) if "lag" in groups else []
+    derived += rolling_features(columns, config, window) if frames and not dense else []
+    derived += delta_features(columns, window) if "delta" in groups else []
+    derived += target_features(columns, config, window) if "target" in groups else []
     rows = series.own_rows(tagged.select("*", *derived))
     if dense:
         for hours, stats in frames.items():
             rows = series.split_frames(
                 rows, hours, stats, name=lambda c, s, h=hours: rolling_name(c, s, h)
             )
-    return rows.select(*base.columns, *feature_order(columns, config))
+    return rows.select(*base.columns, *feature_order(columns, config, groups))
 
 
 def build_features(

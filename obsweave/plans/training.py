@@ -102,15 +102,15 @@ def training_rows(features: DataFrame, horizon: int = 1) -> DataFrame:
 
 def build_pipeline(task: Task, estimator: type[Estimator], columns: list[str]) -> Pipeline:
     raw, scaled = f"{task.prefix}_features_raw", f"{task.prefix}_features"
-    settings = {"featuresCol": scaled, "labelCol": task.label, "predictionCol": task.output}
-    if estimator in (GBTClassifier, RandomForestClassifier):
-        settings["rawPredictionCol"] = f"{task.prefix}_raw_prediction"
-        settings["probabilityCol"] = f"{task.prefix}_probability"
+    model = estimator(featuresCol=scaled, labelCol=task.label, predictionCol=task.output)
+    if hasattr(model, "setRawPredictionCol"):
+        model.setRawPredictionCol(f"{task.prefix}_raw_prediction")
+        model.setProbabilityCol(f"{task.prefix}_probability")
     return Pipeline(
         stages=[
             VectorAssembler(inputCols=columns, outputCol=raw),
             StandardScaler(inputCol=raw, outputCol=scaled),
-            estimator(**settings),
+            model,
         ]
     )
 
