@@ -72,7 +72,7 @@ def read_days(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     try:
         return reader.parquet(path)
     except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
         return None
 
@@ -119,6 +119,8 @@ def insert_if_absent(
         raise ValueError("the time column must be part of the key")
     batch = with_day(batch, time)
     offered = dict(batch.groupBy(DAY).count().collect())
+    if not offered:
+        return 0, 0
     existing = read_days(batch.sparkSession, path)
     fresh = keep_newest(batch, keys, order) if order else batch.dropDuplicates(list(keys))
     before = 0

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from obsweave.config import FeatureConfig, TrainingConfig
-from obsweave.operators.keyed import DAY, with_day, write_days
+from obsweave.operators.keyed import DAY, read_days, with_day, write_days
 from obsweave.plans import scoring, training
 from obsweave.plans.features import ESSENTIAL, build_features
 from obsweave.plans.incremental import refresh_features
@@ -21,18 +20,18 @@ def flat_observations(spark: SparkSession, raw_path: str) -> DataFrame:
 def run_features(
     spark: SparkSession, raw_path: str, features_path: str, config: FeatureConfig | None = None
 ) -> dict[str, int]:
-    """Derive the whole feature table in one write; returns rows before and after
-    dropping those without essential measures, counted during that write."""
-    derived, kept = Observation(), Observation()
-    counted = F.count(F.lit(1)).alias("rows")
+    """Derive the whole feature table in one write; returns the rows before and after
+    dropping those without essential measures.
+
+    Every observation gives one feature row, so the first count needs no
+    feature, and the second comes from the footers of the written files.
+    """
     obs = flat_observations(spark, raw_path).drop(DAY)
-    if obs.isEmpty():
-        return {"derived": 0, "kept": 0}
-    features = build_features(obs, config).observe(derived, counted)
-    usable = features.dropna(subset=list(ESSENTIAL)).observe(kept, counted)
+    usable = build_features(obs, config).dropna(subset=list(ESSENTIAL))
     write_days(with_day(usable), features_path, "overwrite")
     spark.catalog.refreshByPath(features_path)
-    return {"derived": derived.get["rows"], "kept": kept.get["rows"]}
+    written = read_days(spark, features_path)
+    return {"derived": obs.count(), "kept": written.count() if written is not None else 0}
 
 
 def run_refresh(

@@ -78,16 +78,14 @@ def test_feature_table_keeps_the_newest_rows(spark, tables):
     assert len(training.feature_columns(saved)) == 144
 
 
-def test_day_filter_prunes_the_scan(spark, tables):
+def test_day_filter_prunes_the_scan(spark, tables, capsys):
     raw = read_raw(spark, f"{tables}/raw")
     as_of = datetime(2025, 6, 3)
-    plan = serving.statistics(
-        raw.select("city", "timestamp", "day", F.col("payload.current.rain").alias("temperature")),
-        "Madrid",
-        24,
-        as_of,
-    )._jdf.queryExecution().toString()
+    narrow = raw.select("city", "timestamp", "day", F.col("payload.current.rain").alias("humidity"))
+    serving.statistics(narrow, "Madrid", 24, as_of).explain("formatted")
+    plan = capsys.readouterr().out
     assert "PartitionFilters: [isnotnull(day" in plan and "EqualTo(city,Madrid)" in plan
+    assert "payload:struct<current:struct<rain:double>>>" in plan
 
 
 def test_refresh_job_equals_full_job(spark, tables, tmp_path):
@@ -142,7 +140,7 @@ def test_scoring_is_keyed_and_reloads_the_model(spark, tables, trained):
 
 
 def test_incomplete_rows_get_null_predictions(spark, tables, trained):
-    feats = read_features(spark, f"{tables}/features").where("hour = 3")
+    feats = read_features(spark, f"{tables}/features").where("day_of_month = 3")
     holes = feats.withColumn("cape", F.when(F.col("city") == "Palma", F.col("cape")))
     entry = {"model_name": "m", "version": "v"}
     scored = scoring.score(holes, trained[0].model, entry)
