@@ -46,8 +46,9 @@ CYCLES = {
 
 
 def num(expression: str, name: str | None = None, digits: int = 6) -> str:
-    """A rounded double; adding zero removes negative zero."""
-    return f"round(({expression})::double, {digits}) + 0.0::double as {name or expression}"
+    """A double rounded for comparison, in arithmetic every engine does alike."""
+    scale = f"{10**digits}::double"
+    return f"floor(({expression})::double * {scale} + 0.5::double) / {scale} as {name or expression}"
 
 
 def nums(*names: str, digits: int = 6) -> str:
@@ -147,7 +148,7 @@ NEWEST = f"qualify row_number() over (partition by city order by {T} desc) = 1"
 def score(predicted: str, name: str, version: str) -> str:
     return f"""
 select city, {T} as source_timestamp, {SCORED_AT} as prediction_timestamp,
-       round(({predicted})::double, 4) + 0.0::double as predicted_temperature,
+       {num(predicted, "predicted_temperature", 4)},
        null::double as predicted_rain, {num("temperature", "observed_temperature", 4)},
        1::bigint as horizon_hours, '{name}' as temp_model_name, '{version}' as temp_model_version,
        'unknown' as rain_model_name, 'unknown' as rain_model_version
@@ -177,7 +178,7 @@ curve as (
 totals as (select sum(p) as tps, sum(n) as fps from steps)"""
 
 ROC = f"""{CURVE}
-select round(sum(n * (tp - p / 2)) / (max(tps) * max(fps)), 6) + 0.0::double as auc_roc
+select {num("sum(n * (tp - p / 2)) / (max(tps) * max(fps))", "auc_roc")}
 from curve, totals"""
 
 PR = f"""{CURVE},
@@ -190,7 +191,7 @@ pairs as (
          coalesce(lag(prec) over (order by i), prec) as p0
   from points
 )
-select round(sum((recall - r0) * (prec + p0) / 2), 6) + 0.0::double as auc_pr from pairs"""
+select {num("sum((recall - r0) * (prec + p0) / 2)", "auc_pr")} from pairs"""
 
 
 def sql() -> dict[str, str]:

@@ -35,9 +35,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def number(column: str | Column, digits: int = 6) -> Column:
-    """A double rounded for comparison; adding zero removes negative zero."""
+    """A double rounded for comparison, in arithmetic every engine does alike."""
     column = F.col(column) if isinstance(column, str) else column
-    return F.round(column.cast("double"), digits) + F.lit(0.0)
+    scale = F.lit(10.0**digits)
+    return F.floor(column.cast("double") * scale + F.lit(0.5)) / scale
 
 
 def numbers(*names: str, digits: int = 6) -> list[Column]:

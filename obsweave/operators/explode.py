@@ -19,8 +19,7 @@ def explode_series(
     A value array that is shorter, or missing altogether, gives nulls; an empty
     time array gives no rows; elements past the end of the times are dropped.
     """
-    none = F.array().cast("array<double>")
-    arrays = [F.coalesce(F.col(v), none).alias(v) for v in values]
+    arrays = [F.coalesce(F.col(v), F.array()).alias(v) for v in values]
     points = F.slice(F.arrays_zip(F.col(time).alias(time), *arrays), F.lit(1), F.size(time))
     return (
         df.where(F.size(time) > 0)

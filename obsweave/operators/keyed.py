@@ -89,15 +89,18 @@ def upsert(
     keys: Sequence[str] = ("city", "timestamp"),
     order: str | None = None,
     time: str = "timestamp",
+    drop: Sequence[str] = (),
 ) -> None:
     """Write ``batch``, replacing the rows of ``path`` with the same keys.
 
     The day is part of the identity of a row: ``time`` must be one of the keys.
+    ``drop`` names columns that order the writes but are not stored.
     """
     if time not in keys:
         raise ValueError("the time column must be part of the key")
     batch = with_day(batch, time)
     newest = keep_newest(batch, keys, order) if order else batch.dropDuplicates(list(keys))
+    newest = newest.drop(*drop)
     existing = read_days(batch.sparkSession, path)
     if existing is None:
         return write_days(newest, path, "append", sort=keys)

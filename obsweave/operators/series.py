@@ -209,7 +209,7 @@ class _Half:
         if {"mean", "std", "sum"} & set(wanted):
             parts |= {"n": F.count(self.value), "sum": F.sum(self.value)}
         if "std" in wanted:
-            parts |= {"mean": F.avg(self.value), "var": F.var_pop(self.value)}
+            parts["var"] = F.var_pop(self.value)
         if "min" in wanted:
             parts["min"] = F.min(self.value)
         if "max" in wanted:
@@ -232,11 +232,9 @@ def _merge(stat: str, head: _Half, tail: _Half) -> Column:
     if stat == "sum":
         return total
     if stat == "mean":
-        return F.when(count > 0, total / count)
-    gap = F.coalesce(head["mean"] - tail["mean"], F.lit(0.0))
-    spread = (
-        F.coalesce(head["var"] * head["n"], F.lit(0.0))
-        + F.coalesce(tail["var"] * tail["n"], F.lit(0.0))
-        + F.when(count > 0, gap * gap * head["n"] * tail["n"] / count)
-    )
-    return F.when(count > 1, F.sqrt(spread / F.when(count > 1, count - 1)))
+        return F.try_divide(total, count)
+    gap = F.try_divide(head["sum"], head["n"]) - F.try_divide(tail["sum"], tail["n"])
+    between = F.try_divide(gap * gap * head["n"] * tail["n"], count)
+    within = [F.coalesce(half["var"] * half["n"], F.lit(0.0)) for half in (head, tail)]
+    spread = within[0] + within[1] + F.coalesce(between, F.lit(0.0))
+    return F.when(count > 1, F.sqrt(F.try_divide(spread, count - 1)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from obsweave.functions import columns as fn
 from obsweave.operators.explode import explode_series
@@ -11,48 +12,51 @@ from obsweave.operators.keyed import insert_if_absent
 from obsweave.schemas import HOURLY_SERIES, PAYLOAD, READINGS
 
 SOURCE = "historical_backfill"
+LOCATION = ("city", "latitude", "longitude", "utc_offset_seconds", "timezone")
 
 
-def parse_payloads(messages: DataFrame) -> DataFrame:
-    """Payload text to typed columns: location fields, arrays, remaining fields as a map."""
-    doc = messages.select(F.try_parse_json("value").alias("_doc"))
+PAYLOAD_TEXT = T.StructType(
+    [
+        T.StructField("city", T.StringType()),
+        T.StructField("latitude", T.DoubleType()),
+        T.StructField("longitude", T.DoubleType()),
+        T.StructField("utc_offset_seconds", T.IntegerType()),
+        T.StructField("timezone", T.StringType()),
+        T.StructField(
+            "hourly",
+            T.StructType(
+                [T.StructField("time", T.ArrayType(T.LongType()))]
+                + [T.StructField(n, T.ArrayType(T.StringType())) for n in HOURLY_SERIES]
+            ),
+        ),
+    ]
+)
 
-    def field(path: str, kind: str) -> Column:
-        return F.try_variant_get("_doc", f"$.{path}", kind)
 
-    return doc.select(
-        field("city", "string").alias("city"),
-        field("latitude", "double").alias("latitude"),
-        field("longitude", "double").alias("longitude"),
-        field("utc_offset_seconds", "int").alias("utc_offset_seconds"),
-        field("timezone", "string").alias("timezone"),
-        fn.map_without(
-            F.try_variant_get("_doc", "$", "map<string,string>"), "hourly", "city"
-        ).alias("hourly_meta"),
-        field("hourly.time", "array<bigint>").alias("time"),
-        *[field(f"hourly.{name}", "array<double>").alias(name) for name in HOURLY_SERIES],
+def parse_payloads(messages: DataFrame) -> DataFrame:
+    """Payload text to typed columns: location fields, arrays, remaining fields as a map."""
+    fields = F.from_json("value", "map<string,string>")
+    return messages.select(
+        F.from_json("value", PAYLOAD_TEXT).alias("_doc"),
+        fn.map_without(fields, "hourly", "city").alias("hourly_meta"),
+    ).select(
+        *[f"_doc.{name}" for name in LOCATION],
+        "hourly_meta",
+        "_doc.hourly.*",
     )
 
 
 def expand(payloads: DataFrame, now: Column | None = None) -> DataFrame:
     """One raw observation per hour, in the shape the live path writes."""
     now = F.current_timestamp() if now is None else now
-    location = ("city", "latitude", "longitude", "utc_offset_seconds", "timezone", "hourly_meta")
-    points = explode_series(payloads, "time", HOURLY_SERIES, keep=location)
+    points = explode_series(payloads, "time", HOURLY_SERIES, keep=(*LOCATION, "hourly_meta"))
     points = points.where(F.col("time").isNotNull())
     time = F.timestamp_seconds("time")
     readings = [
-        (F.col(name) if name in HOURLY_SERIES else F.lit(None).cast("double")).alias(name)
+        (F.col(name).try_cast("double") if name in HOURLY_SERIES else F.lit(None)).alias(name)
         for name in READINGS
     ]
-    payload = F.struct(
-        "city",
-        "latitude",
-        "longitude",
-        "utc_offset_seconds",
-        "timezone",
-        F.struct("time", *readings).alias("current"),
-    ).cast(PAYLOAD)
+    payload = F.struct(*LOCATION, F.struct("time", *readings).alias("current")).cast(PAYLOAD)
     return points.select(
         fn.composite_key(F.col("city"), time).alias("id"),
         "city",

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from obsweave.functions import columns as fn
-from obsweave.schemas import HOURLY_SERIES, PAYLOAD, READINGS
+from obsweave.schemas import HOURLY_SERIES, READINGS
 
 TOPIC = "weather-data"
 GROUP_ID = "weather-consumer-group"
@@ -60,68 +61,87 @@ def publish(messages: DataFrame, format: str = "kafka", path: str | None = None,
     writer.save(path) if path else writer.save()
 
 
-def _field(path: str, kind: str) -> Column:
-    return F.try_variant_get("_doc", f"$.{path}", kind)
-
-
-def _seconds(path: str) -> tuple[Column, Column]:
-    """Unix seconds at ``path`` (numbers cut to whole, whole-number texts) and whether absent."""
-    value = _field(path, "variant")
-    kind = F.schema_of_variant(value)
-    number = F.col("_number").cast("double")
-    whole = F.when(kind == "STRING", F.col("_text").try_cast("bigint")).otherwise(
-        number.try_cast("bigint")
-    )
-    return whole, value.isNull()
+# The time and the code are decoded as variants, which tell absent from null.
+MESSAGE = T.StructType(
+    [
+        T.StructField("city", T.StringType()),
+        T.StructField("latitude", T.DoubleType()),
+        T.StructField("longitude", T.DoubleType()),
+        T.StructField("utc_offset_seconds", T.IntegerType()),
+        T.StructField("timezone", T.StringType()),
+        T.StructField(
+            "current",
+            T.StructType(
+                [T.StructField("time", T.VariantType())]
+                + [
+                    T.StructField(n, T.VariantType() if n == "weather_code" else T.DoubleType())
+                    for n in READINGS
+                ]
+            ),
+        ),
+        T.StructField(
+            "hourly",
+            T.StructType(
+                [T.StructField("time", T.ArrayType(T.LongType()))]
+                + [T.StructField(n, T.ArrayType(T.StringType())) for n in HOURLY_SERIES]
+            ),
+        ),
+        T.StructField("_bad", T.StringType()),
+    ]
+)
+
+
+def is_object(text: Column, flagged: Column) -> Column:
+    """Whether a text is one JSON object; only ``flagged`` texts are looked at again."""
+    braced = F.trim(text).startswith("{") & F.trim(text).endswith("}")
+    return F.coalesce(braced & (~flagged | F.json_object_keys(text).isNotNull()), F.lit(False))
+
+
+def whole_seconds(value: Column) -> Column:
+    """Unix seconds of a variant: numbers are cut to whole, texts must be whole numbers."""
+    text = F.try_variant_get(value, "$", "string").try_cast("bigint")
+    number = F.try_variant_get(value, "$", "double").try_cast("bigint")
+    return F.when(F.schema_of_variant(value) == "STRING", text).otherwise(number)
 
 
 def parse(messages: DataFrame, now: Column | None = None, extra: Sequence[str] = ()) -> DataFrame:
     """Message text to typed columns; ``valid`` is false where it is no JSON object.
 
-    Each message is decoded once, to a variant, which tells an absent time
-    from a null one.  A field of the wrong type is null by itself and does not
-    spoil its message.
+    Each message is decoded once.  A field of the wrong type is null by itself
+    and does not spoil its message.  Readings a message lacks are taken from
+    its hourly series at the hour of its time.
     """
     now = F.current_timestamp() if now is None else now
-    decoded = (
-        messages.withColumn("_doc", F.try_parse_json("value"))
-        .withColumn("valid", F.coalesce(F.schema_of_variant("_doc").startswith("OBJECT"), F.lit(False)))
-        .withColumn("_number", _field("current.time", "double"))
-        .withColumn("_text", _field("current.time", "string"))
-    )
-    seconds, missing = _seconds("current.time")
-    dated = decoded.withColumn("_seconds", seconds).withColumn("_missing", missing)
+    options = {"columnNameOfCorruptRecord": "_bad"}
+    decoded = messages.withColumn("_doc", F.from_json("value", MESSAGE, options))
+    time = F.col("_doc.current.time")
+    dated = decoded.withColumns({"_seconds": whole_seconds(time), "_missing": time.isNull()})
     hour = F.col("_seconds") - F.pmod(F.col("_seconds"), F.lit(3600).cast("bigint"))
-    timed = dated.withColumn(
-        "_hour_at", F.array_position(_field("hourly.time", "array<bigint>"), hour)
-    )
-    at = F.when(F.col("_hour_at") > 0, F.col("_hour_at").cast("int"))
+    position = F.array_position("_doc.hourly.time", hour)
+    timed = dated.withColumn("_at", F.when(position > 0, position.cast("int")))
 
     def reading(name: str) -> Column:
-        current = _field(f"current.{name}", "double")
+        current = F.col(f"_doc.current.{name}")
+        if name == "weather_code":
+            current = F.try_variant_get(current, "$", "double")
         if name not in HOURLY_SERIES:
             return current
-        return F.coalesce(current, F.try_element_at(_field(f"hourly.{name}", "array<double>"), at))
+        hourly = F.try_element_at(F.col(f"_doc.hourly.{name}"), F.col("_at"))
+        return F.coalesce(current, hourly.try_cast("double"))
 
-    code_absent = _field("current.weather_code", "variant").isNull()
-    city = F.coalesce(_field("city", "string"), F.lit("unknown"))
+    location = ("city", "latitude", "longitude", "utc_offset_seconds", "timezone")
+    readings = [reading(name).alias(name) for name in READINGS]
     payload = F.struct(
-        _field("city", "string").alias("city"),
-        _field("latitude", "double").alias("latitude"),
-        _field("longitude", "double").alias("longitude"),
-        _field("utc_offset_seconds", "int").alias("utc_offset_seconds"),
-        _field("timezone", "string").alias("timezone"),
-        F.struct(
-            F.col("_seconds").alias("time"), *[reading(name).alias(name) for name in READINGS]
-        ).alias("current"),
-    ).cast(PAYLOAD)
+        *[F.col(f"_doc.{name}").alias(name) for name in location],
+        F.struct(F.col("_seconds").alias("time"), *readings).alias("current"),
+    )
     return timed.select(
-        city.alias("city"),
+        F.coalesce("_doc.city", F.lit("unknown")).alias("city"),
         fn.seconds_to_time(F.col("_seconds"), F.col("_missing"), now).alias("timestamp"),
         fn.time_status(F.col("_seconds"), F.col("_missing")).alias("time_status"),
         payload.alias("payload"),
-        code_absent.alias("code_absent"),
+        F.col("_doc.current.weather_code").isNull().alias("code_absent"),
         F.col("value").alias("payload_json"),
-        "valid",
+        is_object(F.col("value"), F.col("_doc._bad").isNotNull()).alias("valid"),
         *extra,
     )

@@ -106,8 +106,8 @@ def store_batch(messages: DataFrame, tables: Tables, now: Column | None = None)
     try:
         good = parsed.where("valid")
         if not good.isEmpty():
-            upsert(raw_rows(good, now), tables.raw, order="sequence")
-            upsert(snapshot_rows(good, now), tables.current, order="sequence")
+            upsert(raw_rows(good, now), tables.raw, order="sequence", drop=["sequence"])
+            upsert(snapshot_rows(good, now), tables.current, order="sequence", drop=["sequence"])
         bad = parsed.where(~F.col("valid"))
         if not bad.isEmpty():
             letters = bad.select(
