@@ -367,7 +367,7 @@ def incremental_features(spark, sf_dir):
     obs = observations(spark, sf_dir)
     before = features.build_features(obs.where(F.col("timestamp") < F.lit(LAST_DAY)))
     changed = obs.where(F.col("timestamp") >= F.lit(LAST_DAY)).select("city", "timestamp")
-    fresh = incremental.changed_features(obs, changed)
+    fresh, _ = incremental.changed_features(obs, changed)
     return feature_rows(keyed.replace_rows(before, fresh, ["city", "timestamp"]))
 
 

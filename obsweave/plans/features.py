@@ -188,6 +188,11 @@ def build_features(
     return windowed_features(with_calendar(with_physics(obs)), config, dense=dense)
 
 
+def usable_rows(features: DataFrame) -> DataFrame:
+    """Rows whose essential measures are known; the target may be still to come."""
+    return features.dropna(subset=list(ESSENTIAL))
+
+
 def complete_rows(features: DataFrame, horizon: int = 1) -> DataFrame:
     """Rows whose essential measures and temperature target are known."""
     wanted = [*ESSENTIAL, target_columns(horizon)[0]]

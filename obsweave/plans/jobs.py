@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from obsweave.config import FeatureConfig, TrainingConfig
 from obsweave.operators.keyed import DAY, read_days, with_day, write_days
 from obsweave.plans import scoring, training
-from obsweave.plans.features import ESSENTIAL, build_features
+from obsweave.plans.features import build_features, usable_rows
 from obsweave.plans.incremental import refresh_features
 from obsweave.sources.tables import flatten, observed, read_features, read_raw
 
@@ -20,18 +20,19 @@ def flat_observations(spark: SparkSession, raw_path: str) -> DataFrame:
 def run_features(
     spark: SparkSession, raw_path: str, features_path: str, config: FeatureConfig | None = None
 ) -> dict[str, int]:
-    """Derive the whole feature table in one write; returns the rows before and after
-    dropping those without essential measures.
+    """Derive the whole feature table in one write; returns its rows, and those of
+    them that are usable.
 
-    Every observation gives one feature row, so the first count needs no
-    feature, and the second comes from the footers of the written files.
+    Every row is stored, so that a correction can replace any of them; readers
+    take the usable ones.
     """
     obs = flat_observations(spark, raw_path).drop(DAY)
-    usable = build_features(obs, config).dropna(subset=list(ESSENTIAL))
-    write_days(with_day(usable), features_path, "overwrite")
+    write_days(with_day(build_features(obs, config)), features_path, "overwrite")
     spark.catalog.refreshByPath(features_path)
     written = read_days(spark, features_path)
-    return {"derived": obs.count(), "kept": written.count() if written is not None else 0}
+    if written is None:
+        return {"derived": 0, "usable": 0}
+    return {"derived": written.count(), "usable": usable_rows(written).count()}
 
 
 def run_refresh(
@@ -48,14 +49,16 @@ def run_refresh(
 def run_training(
     spark: SparkSession, features_path: str, base: str, config: TrainingConfig | None = None
 ) -> list[training.Trained]:
-    return training.train_and_save(read_features(spark, features_path), base, config=config)
+    features = usable_rows(read_features(spark, features_path))
+    return training.train_and_save(features, base, config=config)
 
 
 def run_scoring(
     spark: SparkSession, features_path: str, base: str, predictions_path: str, horizon: int = 1
 ) -> int:
     """Score the newest rows and keep the predictions; returns how many were written."""
-    scored = scoring.score_latest(spark, read_features(spark, features_path), base, horizon)
+    features = usable_rows(read_features(spark, features_path))
+    scored = scoring.score_latest(spark, features, base, horizon)
     scored = scored.persist()  # one row per station, used by the count and the write
     try:
         written = scored.count()

@@ -206,7 +206,7 @@ def test_refresh_equals_full_derivation(spark, bucket_hours):
         [r[:2] for i, r in enumerate(rows) if i in late], "city string, timestamp timestamp"
     )
     stale = features.build_features(old, config, dense=False)
-    fresh = incremental.changed_features(obs, changed, config, dense=False)
+    fresh, _ = incremental.changed_features(obs, changed, config, dense=False)
     merged = replace_rows(stale, fresh, ["city", "timestamp"])
     full = features.build_features(obs, config, dense=False)
     assert ordered(merged) == ordered(full)
