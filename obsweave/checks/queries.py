@@ -367,8 +367,7 @@ def incremental_features(spark, sf_dir):
     obs = observations(spark, sf_dir)
     before = features.build_features(obs.where(F.col("timestamp") < F.lit(LAST_DAY)))
     changed = obs.where(F.col("timestamp") >= F.lit(LAST_DAY)).select("city", "timestamp")
-    fresh, _ = incremental.changed_features(obs, changed)
-    return feature_rows(keyed.replace_rows(before, fresh, ["city", "timestamp"]))
+    return feature_rows(incremental.Refresh(obs, changed).replaced(before))
 
 
 FLAGSHIP = (
@@ -579,8 +578,14 @@ def labelled(spark, sf_dir) -> DataFrame:
 
 
 def _fit_line(rows: DataFrame):
-    task = training.temperature_task()
-    return training.build_pipeline(task, LinearRegression, ["temperature"]).fit(rows)
+    pipeline = training.build_pipeline(
+        training.temperature_task(), LinearRegression, ["temperature"]
+    )
+    rows = rows.persist()
+    try:
+        return pipeline.fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def train_regression(spark, sf_dir):

@@ -90,28 +90,22 @@ def upsert(
     order: str | None = None,
     time: str = "timestamp",
     drop: Sequence[str] = (),
-    unique: bool = False,
-    days: list | None = None,
 ) -> None:
     """Write ``batch``, replacing the rows of ``path`` with the same keys.
 
     The day is part of the identity of a row: ``time`` must be one of the keys.
     ``order`` names the column whose greatest value wins within the batch and
-    ``drop`` columns that are not stored.  A caller that knows the batch to be
-    ``unique`` on its keys, or the ``days`` it may fall in, saves a pass.
+    ``drop`` columns that are not stored.
     """
     if time not in keys:
         raise ValueError("the time column must be part of the key")
     batch = with_day(batch, time)
-    if order:
-        newest = keep_newest(batch, keys, order)
-    else:
-        newest = batch if unique else batch.dropDuplicates(list(keys))
+    newest = keep_newest(batch, keys, order) if order else batch.dropDuplicates(list(keys))
     newest = newest.drop(*drop)
     existing = read_days(batch.sparkSession, path)
     if existing is None:
         return write_days(newest, path, "append", sort=keys)
-    touched = existing.where(F.col(DAY).isin(touched_days(batch) if days is None else days))
+    touched = existing.where(F.col(DAY).isin(touched_days(batch)))
     write_days(replace_rows(touched, newest, [DAY, *keys]), path, "overwrite", sort=keys)
     batch.sparkSession.catalog.refreshByPath(path)
 

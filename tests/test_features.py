@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from obsweave.config import FeatureConfig
 from obsweave.operators import series
-from obsweave.operators.keyed import replace_rows
 from obsweave.plans import features, incremental
 from obsweave.schemas import FLAT_OBS, MEASURES
 
@@ -206,11 +205,10 @@ def test_refresh_equals_full_derivation(spark, bucket_hours):
         [r[:2] for i, r in enumerate(rows) if i in late], "city string, timestamp timestamp"
     )
     stale = features.build_features(old, config, dense=False)
-    fresh, _ = incremental.changed_features(obs, changed, config, dense=False)
-    merged = replace_rows(stale, fresh, ["city", "timestamp"])
+    refresh = incremental.Refresh(obs, changed, config, dense=False)
     full = features.build_features(obs, config, dense=False)
-    assert ordered(merged) == ordered(full)
-    assert fresh.count() < full.count()
+    assert ordered(refresh.replaced(stale)) == ordered(full)
+    assert refresh.fresh().count() < full.count()
 
 
 def test_dropping_incomplete_rows(spark):
