@@ -453,7 +453,7 @@ def historical_range(spark, sf_dir):
 
 
 def period_stats(spark, sf_dir):
-    stats = serving.statistics(snapshots(spark, sf_dir), hours=HOURS, as_of=AS_OF, digits=6)
+    stats = serving.statistics(snapshots(spark, sf_dir), hours=HOURS, as_of=AS_OF, digits=None)
     averages = [c for c in stats.columns if c.startswith(("avg_", "min_", "max_"))]
     return stats.select(
         "city",
@@ -465,7 +465,7 @@ def period_stats(spark, sf_dir):
 
 
 def compare_entities(spark, sf_dir):
-    compared = serving.compare(snapshots(spark, sf_dir), OTHER_CITIES, HOURS, AS_OF, digits=6)
+    compared = serving.compare(snapshots(spark, sf_dir), OTHER_CITIES, HOURS, AS_OF, digits=None)
     averages = [c for c in compared.columns if c.startswith("avg_")]
     return compared.select("city", *numbers(*averages), *whole("data_points", "period_hours"))
 

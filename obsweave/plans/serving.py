@@ -84,23 +84,27 @@ def history(
     return readings(found.orderBy(F.col("timestamp").desc()).limit(limit))
 
 
+def _rounded(value: Column, digits: int | None) -> Column:
+    return value if digits is None else F.round(value, digits)
+
+
 def _flat(obs: DataFrame) -> DataFrame:
     return readings(obs).drop("description", "feels_like")
 
 
 def statistics(
-    obs: DataFrame, city: str | None = None, hours: int = 24, as_of=None, digits: int = 2
+    obs: DataFrame, city: str | None = None, hours: int = 24, as_of=None, digits: int | None = 2
 ) -> DataFrame:
     """Period statistics of one station, or of all of them in one job."""
     found = _in_range(obs, hours, as_of)
     if city is not None:
         found = found.where(F.col("city") == city)
     measured = _flat(found).groupBy("city").agg(
-        F.round(F.avg("temperature"), digits).alias("avg_temperature"),
-        F.round(F.min("temperature"), digits).alias("min_temperature"),
-        F.round(F.max("temperature"), digits).alias("max_temperature"),
-        F.round(F.avg("humidity"), digits).alias("avg_humidity"),
-        F.round(F.avg("pressure"), digits).alias("avg_pressure"),
+        _rounded(F.avg("temperature"), digits).alias("avg_temperature"),
+        _rounded(F.min("temperature"), digits).alias("min_temperature"),
+        _rounded(F.max("temperature"), digits).alias("max_temperature"),
+        _rounded(F.avg("humidity"), digits).alias("avg_humidity"),
+        _rounded(F.avg("pressure"), digits).alias("avg_pressure"),
         F.count(F.lit(1)).alias("total_records"),
         F.min("timestamp").alias("start_time"),
         F.max("timestamp").alias("end_time"),
@@ -118,13 +122,13 @@ def city_list(names: str | Sequence[str]) -> list[str]:
 
 
 def compare(
-    obs: DataFrame, names: str | Sequence[str], hours: int = 24, as_of=None, digits: int = 2
+    obs: DataFrame, names: str | Sequence[str], hours: int = 24, as_of=None, digits: int | None = 2
 ) -> DataFrame:
     """Averages of the named stations in one job, warmest first; absent ones left out."""
     wanted = city_list(names)
     found = _flat(_in_range(obs, hours, as_of).where(F.col("city").isin(wanted)))
     averages = [
-        F.round(F.avg(c), digits).alias(f"avg_{c}")
+        _rounded(F.avg(c), digits).alias(f"avg_{c}")
         for c in ("temperature", "humidity", "pressure", "wind_speed")
     ]
     compared = found.groupBy("city").agg(*averages, F.count(F.lit(1)).alias("data_points"))

@@ -23,10 +23,6 @@ def connect(sf_dir):
     return con
 
 
-def sort_key(row):
-    return tuple((v is None, str(type(v)) if v is None else "", "" if v is None else v) for v in row)
-
-
 def normal(rows, columns):
     order = sorted(range(len(columns)), key=lambda i: columns[i])
     return sorted((tuple(row[i] for i in order) for row in rows), key=lambda r: tuple(map(str, r)))
