@@ -262,7 +262,7 @@ def unix_time(spark, sf_dir):
     text = F.when(F.col("event_type") == "error", F.concat(seconds, F.lit(".0"))).otherwise(seconds)
     absent = F.col("event_type") == "view"
     parsed = text.try_cast("bigint")
-    now = F.lit(SCORED_AT)
+    now = fn.instant(SCORED_AT)
     return table(spark, sf_dir, "events").select(
         "event_id",
         fn.seconds_to_time(parsed, absent, now).cast("timestamp_ntz").alias("timestamp"),
@@ -365,8 +365,8 @@ def feature_frame(spark, sf_dir):
 def incremental_features(spark, sf_dir):
     """Features of all but the last days, then refreshed for those days."""
     obs = observations(spark, sf_dir)
-    before = features.build_features(obs.where(F.col("timestamp") < F.lit(LAST_DAY)))
-    changed = obs.where(F.col("timestamp") >= F.lit(LAST_DAY)).select("city", "timestamp")
+    before = features.build_features(obs.where(F.col("timestamp") < fn.instant(LAST_DAY)))
+    changed = obs.where(F.col("timestamp") >= fn.instant(LAST_DAY)).select("city", "timestamp")
     return feature_rows(incremental.Refresh(obs, changed).replaced(before))
 
 
@@ -617,7 +617,7 @@ def train_classification(spark, sf_dir):
 def score_shape(spark, sf_dir):
     """Scoring without any model: provenance unknown, predictions null."""
     newest = latest.newest_row(observations(spark, sf_dir))
-    return predicted(scoring.score(newest, as_of=F.lit(SCORED_AT)))
+    return predicted(scoring.score(newest, as_of=fn.instant(SCORED_AT)))
 
 
 def score_batch(spark, sf_dir):
@@ -625,7 +625,7 @@ def score_batch(spark, sf_dir):
     entry = Row(model_name=f"{PREFIX}_LinearRegression", version="20240201_000000")
     newest = latest.newest_row(observations(spark, sf_dir))
     model = _fit_line(labelled(spark, sf_dir))
-    return predicted(scoring.score(newest, model, entry, as_of=F.lit(SCORED_AT)))
+    return predicted(scoring.score(newest, model, entry, as_of=fn.instant(SCORED_AT)))
 
 
 def score_both(spark, sf_dir):
@@ -642,7 +642,7 @@ def score_both(spark, sf_dir):
             Row(model_name=f"{PREFIX}_LinearRegression", version="1"),
             rain_model,
             Row(model_name="rain_prediction_1h_RandomForest", version="1"),
-            as_of=F.lit(SCORED_AT),
+            as_of=fn.instant(SCORED_AT),
         )
     )
 

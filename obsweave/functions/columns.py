@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -99,6 +100,11 @@ def code_text(code: Column) -> Column:
     )
 
 
+def instant(value: Column | datetime) -> Column:
+    """A time as a column; a datetime without zone is in the session's zone."""
+    return value if isinstance(value, Column) else F.lit(str(value)).cast("timestamp")
+
+
 def seconds_to_time(seconds: Column, missing: Column, now: Column) -> Column:
     """Unix seconds to a time: absent means the epoch, unusable means now."""
     usable = seconds.between(FIRST_SECOND, LAST_SECOND)

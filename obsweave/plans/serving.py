@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from obsweave.functions.columns import instant
 from obsweave.operators.latest import newest_row
 from obsweave.sources.tables import on_days
 
@@ -35,8 +36,7 @@ def _check(name: str, value: int, most: int) -> int:
 
 def _in_range(obs: DataFrame, hours: int, as_of: Column | datetime | None) -> DataFrame:
     _check("hours", hours, MAX_HOURS)
-    end = F.current_timestamp() if as_of is None else as_of
-    end = end if isinstance(end, Column) else F.lit(end)
+    end = F.current_timestamp() if as_of is None else instant(as_of)
     start = end - F.make_dt_interval(hours=F.lit(hours))
     return on_days(obs, start, end).where(F.col("timestamp").between(start, end))
 

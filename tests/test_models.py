@@ -29,8 +29,8 @@ TINY = TrainingConfig(
 
 def raw_table(spark, path, hours=150):
     """Raw observations of two cities with a daily cycle and some rain."""
-    rows = spark.range(hours).crossJoin(
-        spark.createDataFrame([("Madrid", 1.0), ("Palma", 3.0)], "city string, shift double")
+    rows = spark.range(hours).select(
+        "id", F.explode(F.create_map(*map(F.lit, ("Madrid", 1.0, "Palma", 3.0)))).alias("city", "shift")
     )
     t = F.col("id").cast("double")
     reading = {
