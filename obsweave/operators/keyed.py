@@ -1,8 +1,8 @@
 """Keyed writes on day-partitioned parquet tables: replace, and insert if absent.
 
-One writer per table.  A write reads and replaces only the day partitions its
-rows fall in; Spark swaps the new partitions in when the job commits, so a
-failed job leaves the table as it was.
+One writer per table.  A write reads only the day partitions its rows fall in
+and rewrites only those that hold a key already; Spark swaps rewritten
+partitions in when the job commits, so a failed job leaves them as they were.
 """
 
 from __future__ import annotations
@@ -93,6 +93,10 @@ def upsert(
 ) -> None:
     """Write ``batch``, replacing the rows of ``path`` with the same keys.
 
+    Days in which no key occurs again are appended to after reading their key
+    columns alone; only the others are rewritten.  Running a write again after
+    a failure gives the same rows.
+
     The day is part of the identity of a row: ``time`` must be one of the keys.
     ``order`` names the column whose greatest value wins within the batch and
     ``drop`` columns that are not stored.
@@ -101,13 +105,30 @@ def upsert(
         raise ValueError("the time column must be part of the key")
     batch = with_day(batch, time)
     newest = keep_newest(batch, keys, order) if order else batch.dropDuplicates(list(keys))
-    newest = newest.drop(*drop)
-    existing = read_days(batch.sparkSession, path)
-    if existing is None:
-        return write_days(newest, path, "append", sort=keys)
-    touched = existing.where(F.col(DAY).isin(touched_days(batch)))
-    write_days(replace_rows(touched, newest, [DAY, *keys]), path, "overwrite", sort=keys)
-    batch.sparkSession.catalog.refreshByPath(path)
+    # Used by both day lists and the writes.
+    newest = cached = newest.drop(*drop).persist()
+    try:
+        existing = read_days(batch.sparkSession, path)
+        again = []
+        if existing is not None:
+            touched = existing.where(F.col(DAY).isin(touched_days(newest)))
+            again = touched_days(present_rows(touched, newest, [DAY, *keys]))
+        if again:
+            rewritten = F.col(DAY).isin(again)
+            merged = replace_rows(touched.where(rewritten), newest.where(rewritten), [DAY, *keys])
+            write_days(merged, path, "overwrite", sort=keys)
+            newest = newest.where(~rewritten)
+        write_days(newest, path, "append", sort=keys)
+        batch.sparkSession.catalog.refreshByPath(path)
+    finally:
+        cached.unpersist()
+
+
+def compact(spark: SparkSession, path: str, days: Sequence, sort=("city", "timestamp")) -> None:
+    """Write the files of some days again as few; appends leave one per batch and day."""
+    rows = read_days(spark, path).where(F.col(DAY).isin(list(days)))
+    write_days(rows, path, "overwrite", sort=sort)
+    spark.catalog.refreshByPath(path)
 
 
 def insert_if_absent(

@@ -6,7 +6,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from obsweave.operators.keyed import insert_if_absent, read_days, upsert
+from obsweave.operators.keyed import compact, insert_if_absent, read_days, upsert
 from obsweave.sources import backfill, messages
 from obsweave.sources.tables import flatten, observed, read_raw
 from obsweave.streaming import ingest
@@ -129,6 +129,31 @@ def test_upsert_last_write_wins_and_replay_is_harmless(spark, tmp_path):
     assert read_days(spark, path).count() == 4
 
 
+def test_upsert_rewrites_only_days_that_hold_a_key_already(spark, tmp_path):
+    path = tmp_path / "t"
+
+    def write(*rows):
+        frame = spark.createDataFrame(rows, "city string, t bigint, v int")
+        timed = frame.withColumn("timestamp", F.timestamp_seconds("t")).drop("t")
+        upsert(timed, str(path), order="v", drop=["v"])
+
+    def files():
+        return {d.name: {f.name for f in d.glob("*.parquet")} for d in path.glob("day=*")}
+
+    write(("a", T0, 1), ("a", T0 + 86400, 1))
+    before = files()
+    write(("b", T0, 1), ("a", T0 + 86400, 2))
+    after = files()
+    first, second = sorted(before)
+    assert before[first] < after[first]  # appended to
+    assert not before[second] & after[second]  # rewritten
+    table = read_days(spark, str(path))
+    assert table.count() == 3 and "v" not in table.columns
+    compact(spark, str(path), [r[0] for r in table.select("day").distinct().collect()])
+    assert all(len(names) == 1 for names in files().values())
+    assert read_days(spark, str(path)).count() == 3
+
+
 def test_upsert_needs_the_time_in_its_key(spark, tmp_path):
     rows = spark.createDataFrame([("a", datetime(2025, 1, 1))], "city string, timestamp timestamp")
     with pytest.raises(ValueError):
