@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -35,22 +34,19 @@ def build_session(app_name: str = "obsweave", master: str | None = None, **conf)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, named by ``spark.checkpoint.dir``.
+    """The folder every executor can reach, the same choice under every master.
 
-    Only a local-mode session may go without the setting; it then gets a
-    temporary folder, since driver and executors are one process there.
+    ``spark.checkpoint.dir`` names it.  Where that is unset, a folder set with
+    ``setCheckpointDir`` is taken, else one below the warehouse, which Spark
+    shares between executors as well.  Checkpoints go there too.
     """
     context = spark.sparkContext
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        if not context.getCheckpointDir():
-            context.setCheckpointDir(configured)
-        return configured
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/obsweave-scratch"
     if not context.getCheckpointDir():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="obsweave-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
