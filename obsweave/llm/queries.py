@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.llm import exact_dedup, line_dedup, url_filter
+from obsweave.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, url_filter, warc
 from obsweave.llm.common import table
 from obsweave.session import scratch_path
 
@@ -19,6 +19,33 @@ URL_RULES = [
 ]
 
 
+TOKENIZER_FILE = "word_bpe_49k.json"
+
+
+def tokenizer_path() -> str:
+    """Where the public vocabulary lies; every machine has it at the same place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(TOKENIZER_FILE))
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document cut and packed."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives, read back and indexed."""
+    index = warc.capture_history(table(spark, sf_dir, "pages"))
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what the mix takes of it."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against a new digest index."""
     index = exact_dedup.DigestIndex(scratch_path(spark, "digest-index"))
@@ -32,6 +59,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that the classifier keeps, with what decided."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    judged = quality.classify(docs, model)
+    return judged.filter("kept").select("doc_id", "evidence", "host_rate", "path_rate", "quality", "kept")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document after its repeated lines fell."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -40,4 +75,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op5_exact_dedup, op7_url_filter, op9_line_dedup)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the component its links put it in."""
+    similar = ngram_join.Similarity(width=4, percent=85)
+    joined = ngram_join.join_components(table(spark, sf_dir, "documents"), similar)
+    return joined.select("doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_packing, op3_warc, op4_mixing, op5_exact_dedup, op7_url_filter, op8_quality_classifier, op9_line_dedup, op10_ngram_join)}
