@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.llm import exact_dedup, line_dedup, mixing, ngram_join, packing, quality, url_filter, warc
+from obsweave.llm import (
+    exact_dedup,
+    graph_search,
+    html_text,
+    line_dedup,
+    mixing,
+    ngram_join,
+    packing,
+    quality,
+    url_filter,
+    warc,
+)
 from obsweave.llm.common import table
 from obsweave.session import scratch_path
 
@@ -19,6 +30,8 @@ URL_RULES = [
 ]
 
 
+URL_RULES_SQL = "SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS rules(host, path, verdict)"
+
 TOKENIZER_FILE = "word_bpe_49k.json"
 
 
@@ -29,6 +42,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER_FILE))
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut and packed."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), 4096)
@@ -52,10 +70,15 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.ingest(table(spark, sf_dir, "documents"), index)
 
 
+def op6_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fiftieth vector against all others."""
+    return graph_search.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's url against the rules."""
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
-    judged = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.judge(pages, spark.sql(URL_RULES_SQL))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -82,4 +105,18 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_warc, op4_mixing, op5_exact_dedup, op7_url_filter, op8_quality_classifier, op9_line_dedup, op10_ngram_join)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction,
+        op2_packing,
+        op3_warc,
+        op4_mixing,
+        op5_exact_dedup,
+        op6_graph_search,
+        op7_url_filter,
+        op8_quality_classifier,
+        op9_line_dedup,
+        op10_ngram_join,
+    )
+}
