@@ -8,10 +8,11 @@ into ``CLASSES`` classes; the prefix is extended by as many tokens, and where al
 shared tokens in it are frequent, two of them are of one class: pairs within a
 class are indexed.  Documents with equal sets stand for one another.
 
-Who meets under a key is verified on whole texts: first every member against the
-most ordinary one, then, across the components this leaves, whoever still meets.
-Members of one component are never paired, so a group of near copies costs about
-its size, and no link between components is missed.
+Who meets under a key is verified on whole texts: first each document against
+one centre, the most ordinary document it meets most often; then, across the
+components this leaves, whoever still meets.  Members of one component are never
+paired, so a group of near copies costs about its size, and no link between
+components is missed.
 """
 
 from __future__ import annotations
@@ -36,6 +37,9 @@ FLUSH_TOKENS = 2_000_000
 BROADCAST_IDS = 2_000_000  # ids (16 MB) up to which texts are looked up without a shuffle
 
 
+_MET = "key bigint, node bigint, size int, most int, centre bigint, centre_size int, centre_most int"
+
+
 @dataclass(frozen=True)
 class Similarity:
     """Shingle width, and the Jaccard similarity in percent that links."""
@@ -68,18 +72,19 @@ def frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
     """Fingerprints of the frequent tokens, ascending, and how far a token is shifted to get one.
 
     Every token of every document is counted.  A task sends its tokens as sorted
-    blocks of 32-bit remainders, one a range of hashes, so counting moves four
-    bytes a token.  The set only orders tokens: any set gives the same links.
+    blocks, one a range of hashes, with 24 bits of a token in it; ranges are as
+    many as keep one to about ``BUCKET_TOKENS``, so that few tokens fall together
+    at any size.  The set only orders tokens: any set gives the same links.
     """
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = max(6, int(total / 6 / BUCKET_TOKENS).bit_length())
-    shift = 32 - bits
+    shift = 64 - bits - 24
 
     def blocks(pending: list[np.ndarray]) -> pd.DataFrame:
         marks = np.sort(np.concatenate(pending) >> np.uint64(shift))
-        ranges = (marks >> np.uint64(32)).astype(np.int64)
+        ranges = (marks >> np.uint64(24)).astype(np.int64)
         starts = np.flatnonzero(np.r_[True, ranges[1:] != ranges[:-1]])
-        low = marks.astype(np.uint32)
+        low = marks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
         return pd.DataFrame(
             {"range": ranges[starts], "block": [part.tobytes() for part in np.split(low, starts[1:])]}
         )
@@ -97,10 +102,12 @@ def frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
             yield blocks(pending)
 
     def count(key, frame: pd.DataFrame) -> pd.DataFrame:
-        low, times = np.unique(np.concatenate([np.frombuffer(b, np.uint32) for b in frame["block"]]), return_counts=True)
-        often = times >= FREQUENT
-        marks = (np.uint64(key[0]) << np.uint64(32)) | low[often].astype(np.uint64)
-        return pd.DataFrame({"mark": marks.astype(np.int64), "docs": times[often]})
+        times = np.zeros(1 << 24, np.int64)
+        for block in frame["block"]:
+            parts = np.frombuffer(block, np.uint8).reshape(-1, 3).astype(np.int64)
+            np.add.at(times, parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16, 1)
+        often = np.flatnonzero(times >= FREQUENT)
+        return pd.DataFrame({"mark": (key[0] << 24) | often, "docs": times[often]})
 
     sent = texts.select("text").mapInPandas(send, "range bigint, block binary")
     counted = kept(sent.groupBy("range").applyInPandas(count, "mark bigint, docs bigint"), "frequent")
@@ -111,26 +118,37 @@ def frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
     return np.sort(marks.astype(np.uint64)), shift
 
 
-def index_keys(tokens: np.ndarray, often: np.ndarray, similar: Similarity) -> np.ndarray:
-    """The keys a set is indexed by; ``often`` says which of its tokens are frequent."""
-    need = similar.need(len(tokens))
-    prefix = len(tokens) - need + 1
+def index_keys(tokens: np.ndarray, often: np.ndarray, similar: Similarity) -> tuple[np.ndarray, np.ndarray]:
+    """The keys a set is indexed by, and how many tokens it can share with whom it meets there first.
+
+    ``often`` says which tokens are frequent.  Two sets first meet at their first
+    shared token: what precedes it is not shared.  A set with pairs of frequent
+    tokens is indexed by all its rare tokens, so sets that meet under such pairs
+    only share no rare token.
+    """
+    size = len(tokens)
+    need = similar.need(size)
+    prefix = size - need + 1
     rare, frequent = tokens[~often], tokens[often]
-    keys = [rare[:prefix]]
     room = prefix + CLASSES - len(rare)
-    if len(frequent) and room > 0:
-        if need <= CLASSES:  # too few shared tokens for two of a class
-            keys.append(frequent[: max(0, prefix - len(rare))])
-        extended = frequent[:room]
-        for c in range(CLASSES):
-            own = extended[extended % np.uint64(CLASSES) == c]
-            i, j = np.triu_indices(len(own), 1)
-            keys.append(wordhash.scramble(own[i] * np.uint64(0x9FB21C651E98DF25) + own[j]))
-    return np.concatenate(keys)
+    if not len(frequent) or room <= 0:
+        own = rare[:prefix]
+        return own, size - np.arange(len(own))
+    keys, most = [rare], [size - np.arange(len(rare))]
+    if need <= CLASSES:  # too few shared tokens for two of a class
+        keys.append(frequent[: max(0, prefix - len(rare))])
+        most.append(len(frequent) - np.arange(len(keys[-1])))
+    extended = frequent[:room]
+    for c in range(CLASSES):
+        own = extended[extended % np.uint64(CLASSES) == c]
+        i, j = np.triu_indices(len(own), 1)
+        keys.append(wordhash.scramble(own[i] * np.uint64(0x9FB21C651E98DF25) + own[j]))
+        most.append(np.full(len(i), len(frequent)))
+    return np.concatenate(keys), np.concatenate(most)
 
 
 def described(texts: DataFrame, marks: np.ndarray, shift: int, similar: Similarity) -> DataFrame:
-    """``id, named, size, rare, s1, s2, keys`` of each row; ``s1, s2`` identify its set."""
+    """``id, named, size, rare, s1, s2, keys, most`` of each row; ``s1, s2`` identify its set."""
     held = texts.sparkSession.sparkContext.broadcast(marks)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,14 +159,15 @@ def described(texts: DataFrame, marks: np.ndarray, shift: int, similar: Similari
                 own = tokens >> np.uint64(shift)
                 at = np.searchsorted(marks, own)
                 often = np.zeros(len(own), bool) if not len(marks) else marks[np.minimum(at, len(marks) - 1)] == own
-                keys = index_keys(tokens, often, similar).view(np.int64) if len(tokens) else np.empty(0, np.int64)
+                keys, most = index_keys(tokens, often, similar)
                 first = int(np.bitwise_xor.reduce(wordhash.scramble(tokens), initial=np.uint64(0)))
                 second = int(np.add.reduce(wordhash.scramble(tokens + np.uint64(1)), dtype=np.uint64))
-                rows.append((len(tokens), int((~often).sum()), *np.array([first, second], np.uint64).view(np.int64), keys))
-            out = pd.DataFrame(rows, columns=["size", "rare", "s1", "s2", "keys"])
+                names = np.array([first, second], np.uint64).view(np.int64)
+                rows.append((len(tokens), int((~often).sum()), *names, keys.view(np.int64), most.astype(np.int32)))
+            out = pd.DataFrame(rows, columns=["size", "rare", "s1", "s2", "keys", "most"])
             yield pd.concat([batch[["id", "named"]].reset_index(drop=True), out], axis=1)
 
-    schema = "id bigint, named boolean, size int, rare int, s1 bigint, s2 bigint, keys array<bigint>"
+    schema = "id bigint, named boolean, size int, rare int, s1 bigint, s2 bigint, keys array<bigint>, most array<int>"
     return texts.mapInPandas(describe, schema)
 
 
@@ -169,15 +188,18 @@ def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         {
             "key": key[shared],
             "node": node[shared],
-            "size": rows["size"].to_numpy()[order][shared],
+            "size": (size := rows["size"].to_numpy()[order])[shared],
+            "most": (most := rows["most"].to_numpy()[order])[shared],
             # First in order: the one with the fewest rare tokens.
             "centre": np.repeat(node[starts], length)[shared],
+            "centre_size": np.repeat(size[starts], length)[shared],
+            "centre_most": np.repeat(most[starts], length)[shared],
         }
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, similar: Similarity) -> DataFrame:
-    """The pairs ``a, b`` whose whole texts link."""
+def _verified(pairs: DataFrame, source: DataFrame, similar: Similarity) -> DataFrame:
+    """The stored pairs ``a, b`` whose whole texts link."""
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, own = None, None
@@ -191,16 +213,37 @@ def _verified(pairs: DataFrame, texts: DataFrame, similar: Similarity) -> DataFr
                 keep.append(similar.links(shared, len(own), len(other)))
             yield batch.loc[keep, ["a", "b"]]
 
+    ids = kept(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    texts = kept(source.join(ids, "id", "left_semi").select(F.col("id").alias("node"), "text"), "texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     return kept(both.mapInPandas(check, "a bigint, b bigint"), "verified")
 
 
+def _fits(a: str, b: str, similar: Similarity):
+    """What two sets can share at most is enough to link them; columns ``{a}size, {a}most, ...``."""
+    shared = F.least(f"{a}most", f"{b}most")
+    return 100 * shared >= similar.percent * (F.col(f"{a}size") + F.col(f"{b}size") - shared)
+
+
+def _stars(met: DataFrame, similar: Similarity) -> DataFrame:
+    """Each node with the one centre that it meets under most keys."""
+    counted = (
+        met.filter((F.col("node") != F.col("centre")) & _fits("", "centre_", similar))
+        .groupBy("node", "centre")
+        .agg(F.count("*").alias("keys"))
+    )
+    best = counted.groupBy("node").agg(F.max_by("centre", F.struct("keys", -F.col("centre"))).alias("centre"))
+    return best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
 def _crossing(met: DataFrame, roots: DataFrame, similar: Similarity) -> DataFrame:
-    """Pairs that share a key, lie in different components and are not yet verified."""
+    """Pairs that share a key and lie in different components."""
     placed = kept(
-        met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed"
+        met.drop("centre_size", "centre_most").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed"
     )
     split = (
         placed.groupBy("key")
@@ -214,13 +257,12 @@ def _crossing(met: DataFrame, roots: DataFrame, similar: Similarity) -> DataFram
     )
     rows = kept(placed.join(split, "key"), "split-keys")
     few = rows.filter("root <> main").select(
-        "key", F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("root").alias("root_a")
+        "key", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("most").alias("a_most"), F.col("root").alias("a_root")
     )
-    small, large = F.least("size_a", "size"), F.greatest("size_a", "size")
     return (
         few.join(rows, "key")
-        .filter("root <> root_a and node <> centre and (root = main or a < node)")
-        .filter(100 * small >= similar.percent * large)
+        .filter("root <> a_root and (root = main or a < node)")
+        .filter(_fits("a_", "", similar))
         .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
         .distinct()
     )
@@ -245,20 +287,18 @@ def join_components(
     nodes = kept(by_set.agg(F.min("id").alias("node"), F.min(F.when(F.col("named"), F.col("id"))).alias("real")), "nodes")
 
     spoken = rows.filter("size > 0").join(nodes, ["s1", "s2"]).filter("id = node")
-    postings = spoken.select("node", "size", "rare", F.explode("keys").alias("key"))
+    pair = F.explode(F.arrays_zip("keys", "most")).alias("pair")
+    postings = spoken.select("node", "size", "rare", pair).select(
+        "node", "size", "rare", F.col("pair.keys").alias("key"), F.col("pair.most").alias("most")
+    )
     met = kept(
-        postings.repartition("key").mapInPandas(_meetings, "key bigint, node bigint, size int, centre bigint"),
+        postings.repartition("key").mapInPandas(_meetings, _MET),
         "meetings",
     )
-    wanted = kept(met.select(F.col("node").alias("id")).distinct(), "meeting-ids")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = kept(source.join(wanted, "id", "left_semi").select(F.col("id").alias("node"), "text"), "texts")
-
-    stars = met.filter("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
-    links = _verified(stars.distinct(), texts, similar)
-    crossing = _crossing(met, components(links), similar)
-    links = links.union(_verified(crossing, texts, similar))
+    stars = kept(_stars(met, similar), "stars")
+    links = _verified(stars, source, similar)
+    crossing = _crossing(met, components(links), similar).join(stars, ["a", "b"], "left_anti")
+    links = links.union(_verified(kept(crossing, "crossing"), source, similar))
     roots = components(links)
 
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
