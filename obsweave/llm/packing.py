@@ -11,7 +11,10 @@ n-th to m-th piece of a length go; pieces find theirs by their rank.
 from __future__ import annotations
 
 import bisect
+import json
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -23,18 +26,35 @@ from pyspark.sql import functions as F
 from obsweave.llm.common import kept, whole_text
 
 END_ID = 1  # follows the ids of every document
-MEMO_WORDS = 400_000  # words whose ids a worker remembers
+MEMO_WORDS = 400_000  # words whose ids a worker remembers, and as many older ones
 RANK_ROWS = 200_000  # pieces of one length that one task ranks
 
 _PIECES = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+# How the tokenizer cuts text into words, in its own configuration,
+# and the same for text of the first 256 code points in lower case.
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_LETTERS, _NUMBERS, _SPACES = "a-zªµºß-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \x85\xa0"
+_WORD = re.compile(
+    f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_LETTERS}{_NUMBERS}{_SPACES}]+"
+)
+
+
+def _byte_characters() -> dict[int, str]:
+    """Byte-level tokenizers show each byte as a character: itself if that prints, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 class Encoder:
     """Token ids as little-endian bytes, remembering what each word became.
 
-    The tokenizer drops white space and never joins words across it, so what
-    stands between blanks can be encoded piece by piece.  Texts holding one of
-    its special tokens are given to it whole.
+    A text is cut into words as the tokenizer cuts it and its model encodes each
+    word it has not met yet.  That holds for Latin-1 texts and a tokenizer cutting
+    by ``_SPLIT``; any other text, and one with a special token in it, is encoded
+    by the tokenizer as a whole.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -42,28 +62,47 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        settings = json.loads(self.tokenizer.to_str())
+        steps = [s.get("pattern", {}).get("Regex") for s in settings["pre_tokenizer"].get("pretokenizers", [])]
+        kinds = [n["type"] for n in (settings["normalizer"] or {}).get("normalizers", [])]
+        self.by_word = steps == [_SPLIT, None] and kinds == ["NFC", "Replace", "Lowercase"]
+        self.characters = _byte_characters()
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [
-            np.array(e.ids, "<u4").tobytes()
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        ]
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _word(self, word: str) -> bytes:
+        shown = word if word.isascii() and word.isprintable() else word.encode().decode("latin-1").translate(self.characters)
+        ids = [t.id for t in self.model.tokenize(shown)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _learn(self, words: set[str]) -> None:
+        """Make ``memo`` hold all of ``words``; what it held long ago and not since is forgotten."""
+        if len(self.memo) > MEMO_WORDS:
+            self.memo, self.older = {}, self.memo
+        for word in words.difference(self.memo):
+            self.memo[word] = self.older.get(word) or self._word(word)
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            if any(s in text for s in self.special):
-                yield self._encode([text])[0]
-                continue
-            words = text.replace("\n", " ").split(" ")
-            memo = self.memo
-            if missing := [w for w in set(words) if w not in memo]:
-                if len(memo) > MEMO_WORDS:
-                    memo.clear()
-                    missing = list(set(words))
-                memo.update(zip(missing, self._encode(missing)))
-            yield b"".join(map(memo.__getitem__, words))
+        for at in range(0, len(texts), 256):
+            part = texts[at : at + 256]
+            words = [_WORD.findall(t.lower()) if self._plain(t) else None for t in part]
+            self._learn(set().union(*filter(None, words)))
+            known = self.memo.__getitem__
+            for text, own in zip(part, words):
+                yield self._whole(text) if own is None else b"".join(map(known, own))
+
+    def _plain(self, text: str) -> bool:
+        if not self.by_word or any(s in text for s in self.special):
+            return False
+        try:
+            return text.isascii() or bool(text.encode("latin-1"))
+        except UnicodeEncodeError:
+            return False
 
 
 _ENCODERS: dict[str, Encoder] = {}
