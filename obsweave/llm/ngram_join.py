@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsweave.llm import wordhash
@@ -60,12 +60,19 @@ def _sets(texts: list[str], width: int) -> Iterator[np.ndarray]:
         yield wordhash.shingle_set(hashes, width)
 
 
+def identity(id_col: str, text_col: str) -> Column:
+    """The id; where it is null, one that rows of equal text share, made of the text's hash."""
+    stand_in = F.bitwise_not(F.abs(F.shiftright(F.xxhash64(whole_text(text_col)), 1)))
+    return F.coalesce(F.col(id_col).cast("bigint"), stand_in)
+
+
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``named, id, text``: ``id`` is never null; null ids of equal texts share one made of their hash."""
-    text = whole_text(text_col)
-    stand_in = F.bitwise_not(F.abs(F.shiftright(F.xxhash64(text), 1)))
-    own = F.col(id_col).cast("bigint")
-    return docs.select(own.isNotNull().alias("named"), F.coalesce(own, stand_in).alias("id"), text.alias("text"))
+    """``named, id, text``: ``id`` is never null, ``named`` tells whether it was."""
+    return docs.select(
+        F.col(id_col).isNotNull().alias("named"),
+        identity(id_col, text_col).alias("id"),
+        whole_text(text_col).alias("text"),
+    )
 
 
 def frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
@@ -102,9 +109,9 @@ def frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
             yield blocks(pending)
 
     def count(key, frame: pd.DataFrame) -> pd.DataFrame:
-        times = np.zeros(1 << 24, np.int64)
+        times = np.zeros(1 << 24, np.int32)
         for block in frame["block"]:
-            parts = np.frombuffer(block, np.uint8).reshape(-1, 3).astype(np.int64)
+            parts = np.frombuffer(block, np.uint8).reshape(-1, 3).astype(np.int32)
             np.add.at(times, parts[:, 0] | parts[:, 1] << 8 | parts[:, 2] << 16, 1)
         often = np.flatnonzero(times >= FREQUENT)
         return pd.DataFrame({"mark": (key[0] << 24) | often, "docs": times[often]})
@@ -223,7 +230,7 @@ def _verified(pairs: DataFrame, source: DataFrame, similar: Similarity) -> DataF
     return kept(both.mapInPandas(check, "a bigint, b bigint"), "verified")
 
 
-def _fits(a: str, b: str, similar: Similarity):
+def _fits(a: str, b: str, similar: Similarity) -> Column:
     """What two sets can share at most is enough to link them; columns ``{a}size, {a}most, ...``."""
     shared = F.least(f"{a}most", f"{b}most")
     return 100 * shared >= similar.percent * (F.col(f"{a}size") + F.col(f"{b}size") - shared)
