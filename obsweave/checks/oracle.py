@@ -3,16 +3,85 @@
 from __future__ import annotations
 
 from obsweave.checks.testbed import EVENT_MEASURES
-from obsweave.config import FeatureConfig
-from obsweave.functions.columns import CODE_TEXTS
-from obsweave.plans import features
-from obsweave.schemas import MEASURES
 
 T = '"timestamp"'
 AS_OF, SCORED_AT = "timestamp '2024-01-30'", "timestamp '2024-02-01'"
 PREFIX = "temp_prediction_1h"
-CONFIG = FeatureConfig()
-COLUMNS = {*MEASURES, "specific_humidity"}
+
+# Fixed values, stated here again so that a wrong one in the library shows.
+MEASURES = (
+    "temperature",
+    "feels_like",
+    "humidity",
+    "pressure",
+    "pressure_msl",
+    "dew_point",
+    "wind_speed",
+    "wind_direction",
+    "wind_gusts",
+    "wind_speed_80m",
+    "wind_direction_80m",
+    "cloud_cover",
+    "precipitation",
+    "rain",
+    "snowfall",
+    "visibility",
+    "shortwave_radiation",
+    "cape",
+    "weather_code",
+    "latitude",
+    "longitude",
+)
+LAGGED = (
+    "temperature",
+    "humidity",
+    "pressure",
+    "wind_speed",
+    "specific_humidity",
+    "cape",
+    "precipitation",
+)
+LAG_ROWS = (1, 2, 3, 6, 12)
+ROLLED = (
+    "temperature",
+    "humidity",
+    "pressure",
+    "wind_speed",
+    "specific_humidity",
+    "shortwave_radiation",
+)
+ROLLING_HOURS = (6, 12, 24)
+DIFFERENCES = {
+    "temperature": "temp_change_1h",
+    "pressure": "pressure_change_1h",
+    "humidity": "humidity_change_1h",
+}
+CODE_TEXTS = {
+    0: "clear sky",
+    1: "mainly clear",
+    2: "partly cloudy",
+    3: "overcast",
+    45: "fog",
+    48: "depositing rime fog",
+    51: "light drizzle",
+    53: "moderate drizzle",
+    55: "dense drizzle",
+    61: "slight rain",
+    63: "moderate rain",
+    65: "heavy rain",
+    71: "slight snow",
+    73: "moderate snow",
+    75: "heavy snow",
+    77: "snow grains",
+    80: "slight rain showers",
+    81: "moderate rain showers",
+    82: "violent rain showers",
+    85: "slight snow showers",
+    86: "heavy snow showers",
+    95: "thunderstorm",
+    96: "thunderstorm with slight hail",
+    99: "thunderstorm with heavy hail",
+}
 
 OBS = f"""
 with obs as (
@@ -69,21 +138,21 @@ AGGREGATES = {"mean": "avg", "std": "stddev_samp", "min": "min", "max": "max", "
 
 def lags() -> dict[str, str]:
     return {
-        f"{c}_lag_{k}h": f"lag({c}, {k}) {_over()}" for c in features.LAGGED for k in CONFIG.lag_rows
+        f"{c}_lag_{k}h": f"lag({c}, {k}) {_over()}" for c in LAGGED for k in LAG_ROWS
     }
 
 
 def rolling(*stats: str) -> dict[str, str]:
     return {
         f"{c}_{s}_{h}h": f"{AGGREGATES[s]}({c}) {_over(h)}"
-        for h in CONFIG.rolling_hours
-        for c in features.ROLLED
+        for h in ROLLING_HOURS
+        for c in ROLLED
         for s in stats
     }
 
 
 RAIN_SUM = {"precip_sum_6h": f"sum(precipitation) {_over(6)}"}
-DELTAS = {name: f"{c} - lag({c}) {_over()}" for c, name in features.DELTAS.items()}
+DELTAS = {name: f"{c} - lag({c}) {_over()}" for c, name in DIFFERENCES.items()}
 TARGET = f"lead(temperature) {_over()}"
 WILL_RAIN = f"case when lead(rain) {_over()} > 0 then 1 else 0 end"
 
@@ -204,6 +273,12 @@ def sql() -> dict[str, str]:
             {nums(*MEASURES)}, 'ok' as time_status from obs""",
         "json_props": """select event_id, json_extract_string(props, '$.k')::bigint as k,
             true as ok from events""",
+        "ingest_whitespace": f"""{OBS} select city, date_trunc('second', {T}) as {T},
+            {num("temperature", "temp")} from obs where floor(epoch({T}))::bigint % 4 in (0, 3)""",
+        "backfill_expand": """select case when user_id % 5 <> 0 then concat('city_', user_id::varchar)
+            else 'unknown' end as city, date_trunc('second', ts)::timestamp as "timestamp", """
+        + num("value / 10", "temp")
+        + " from events",
         "json_encode": """select user_id::varchar as key, to_json({'event_id': event_id,
             'event_type': event_type, 'value': value})::varchar as value from events""",
         "upsert_last_wins": f"""{DAILY} select city, {T}, arg_max(value, event_id) as value,
@@ -212,8 +287,8 @@ def sql() -> dict[str, str]:
               select city, {T}, arg_max(value, event_id) as value, 'error' as event_type
               from daily where event_type = 'error' group by city, {T}
             ), offered as (
-              select city, {T}, arg_max(value, event_id) as value,
-                     arg_max(event_type, event_id) as event_type
+              select city, {T}, arg_min(value, event_id) as value,
+                     arg_min(event_type, event_id) as event_type
               from daily group by city, {T}
             ), inserted as (
               select * from offered anti join stored using (city, {T})
@@ -257,10 +332,10 @@ def sql() -> dict[str, str]:
             case event_type when 'view' then 'missing' when 'error' then 'invalid'
                  else 'ok' end as time_status from events""",
         "version_tag": "select event_id, strftime(ts, '%Y%m%d_%H%M%S') as version from events",
-        "hash_split": """select event_id, bucket, case when bucket < 60 then 'train'
-            when bucket < 80 then 'validation' else 'test' end as part
-            from (select event_id, concat('0x', substr(md5(concat(event_id, '|', user_id)), 1, 8))::bigint
-                         % 100 as bucket from events)""",
+        "hash_split": """select event_id, case when bucket < 6000 then 'train'
+            when bucket < 8000 then 'validation' else 'test' end as part
+            from (select event_id, concat('0x', substr(md5(concat('42|', event_id, '|', user_id)), 1, 8))::bigint
+                         % 10000 as bucket from events)""",
         "lag_features": derived(lags()),
         "rolling_mean": derived(rolling("mean")),
         "rolling_std": derived(rolling("std")),
@@ -272,6 +347,14 @@ def sql() -> dict[str, str]:
             ({WILL_RAIN})::bigint as target_will_rain_1h from base""",
         "feature_frame": feature_frame(),
         "incremental_features": feature_frame(),
+        "refresh_equals_full": """select (select count(*) from events)
+            + (select count(distinct ts) from events) as rows, 0::bigint as differing""",
+        "resample_hour": f"""{OBS}, last as (
+              select * from base
+              qualify row_number() over (partition by city, date_trunc('hour', {T}) order by {T} desc) = 1
+            ), lagged as (select *, lag(temperature) {_over()} as temperature_lag_1h from last)
+            select city, {T}, {nums("temperature", "temperature_lag_1h")},
+                   {num("temperature - temperature_lag_1h", "temp_change_1h")} from lagged""",
         "latest_features": FLAGSHIP,
         "dropna_essential": f"""{OBS} select * from (
             select city, {T}, {nums("temperature")}, {num(TARGET, "target_temp_1h")} from base)
@@ -286,8 +369,7 @@ def sql() -> dict[str, str]:
             {num("stddev_samp(temperature)", "std_temp")}, {num("avg(humidity)", "avg_humidity")},
             {num("avg(wind_speed)", "avg_wind_speed")},
             {num("avg(specific_humidity)", "avg_specific_humidity", 9)} from base""",
-        "row_counts": f"""{PERSISTENCE} select city, count(*) as before, count(label) as after
-            from scored group by city""",
+        "row_counts": f"""{PERSISTENCE} select count(*) as rows, count(label) as usable from scored""",
         "latest_join": f"""{DAILY}, newest as (
               select city, max({T}) as {T} from daily group by city
             ) select city, {T}, event_id, value from daily join newest using (city, {T})""",
@@ -339,6 +421,20 @@ def sql() -> dict[str, str]:
             {num("regr_intercept(label, prediction)", "intercept", 4)},
             {num("regr_slope(label, prediction)", "slope", 4)}, count(label) as n
             from scored""",
+        "train_classification": f"""{OBS}, chained as (
+              select lag(temperature) {_over()} as before, {TARGET} as after from base
+            )
+            select unnest(['auc_pr', 'auc_roc']) as metric, true as in_range,
+                   (select count(*) from chained where before is not null and after is not null) as rows_used""",
+        "score_both": f"""{PERSISTENCE}, line as (
+              select regr_intercept(label, prediction) as a, regr_slope(label, prediction) as b
+              from scored
+            )
+            select city, {T} as source_timestamp,
+                   {num("(select a from line) + (select b from line) * temperature", "predicted_temperature", 4)},
+                   true as rain_is_a_class, '{PREFIX}_LinearRegression' as temp_model_name,
+                   'rain_prediction_1h_RandomForest' as rain_model_name
+            from obs {NEWEST}""",
         "score_shape": f"{OBS} {score('null', 'unknown', 'unknown')}",
         "score_batch": f"""{PERSISTENCE}, line as (
               select regr_intercept(label, prediction) as a, regr_slope(label, prediction) as b
@@ -348,13 +444,13 @@ def sql() -> dict[str, str]:
                 f"{PREFIX}_LinearRegression",
                 "20240201_000000",
             )}""",
-        "stream_upsert": f"""{OBS}, {CODES}, second as (
-              select city, date_trunc('second', {T}) as {T},
-                     arg_max(temperature, event_id) as temperature,
-                     arg_max(weather_code, event_id) as weather_code
+        "stream_upsert": f"""{OBS}, {CODES}, newest as (
+              select city, date_trunc('day', {T})::timestamp as day,
+                     arg_max(temperature, {T}) as temperature,
+                     arg_max(weather_code, {T}) as weather_code
               from obs group by all
             )
-            select concat(city, '_', floor(epoch({T}))::bigint) as id, city, {T},
+            select concat(city, '_', floor(epoch(day))::bigint) as id, city, day as {T},
                    {num("temperature", "temp")}, {lookup} as description
-            from second left join codes on codes.code = second.weather_code::int""",
+            from newest left join codes on codes.code = newest.weather_code::int""",
     }

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.regression import LinearRegression
@@ -21,7 +22,7 @@ from obsweave.operators import explode, keyed, latest, metrics, split
 from obsweave.plans import features, incremental, scoring, serving, training
 from obsweave.schemas import MEASURE_PATHS, MEASURES
 from obsweave.session import scratch_path
-from obsweave.sources import messages, tables
+from obsweave.sources import backfill, messages, tables
 from obsweave.streaming import ingest
 
 AS_OF = datetime(2024, 1, 30)
@@ -91,11 +92,42 @@ def ingest_parse(spark, sf_dir):
 
 
 def json_props(spark, sf_dir):
-    props = F.from_json("props", "k bigint, _bad string", {"columnNameOfCorruptRecord": "_bad"})
-    decoded = table(spark, sf_dir, "events").select("event_id", props.alias("p"))
+    events = table(spark, sf_dir, "events").select("event_id", "props")
+    decoded = messages.decoded(events, "k bigint, _bad string", "props", "p")
     return decoded.select("event_id", F.col("p.k").alias("k"), F.col("p._bad").isNull().alias("ok"))
 
 
+def ingest_whitespace(spark, sf_dir):
+    """Messages with white space around them, cut-off ones and arrays: what the ingest takes."""
+    live = live_messages(spark, sf_dir).withColumn("n", F.xxhash64("value"))
+    numbered = live.withColumn("at", F.get_json_object("value", "$.current.time").cast("bigint"))
+    kind = F.col("at") % 4
+    value = (
+        F.when(kind == 0, F.concat(F.lit("\n\t "), "value", F.lit(" \r\n")))
+        .when(kind == 1, F.concat(F.lit("["), "value", F.lit("]")))
+        .when(kind == 2, F.expr("substring(value, 1, length(value) - 1)"))
+        .otherwise(F.col("value"))
+    )
+    parsed = messages.parse(numbered.select(value.alias("value")))
+    return parsed.where("valid").select("city", zoneless("timestamp"), number("payload.current.temperature_2m").alias("temp"))
+
+
+def backfill_expand(spark, sf_dir):
+    """Events as one historical payload per user; an hour far outside the calendar falls."""
+    hour = F.struct(
+        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("time"), (F.col("value") / 10).alias("temperature_2m")
+    )
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(hour)).alias("hours"))
+    absurd = F.array(F.lit(10**15).cast("bigint"))
+    series = F.struct(
+        F.concat(F.col("hours.time"), absurd).alias("time"), F.col("hours.temperature_2m").alias("temperature_2m")
+    )
+    name = F.when(F.col("user_id") % 5 != 0, F.concat(F.lit("city_"), "user_id"))
+    payloads = users.select(F.to_json(F.struct(name.alias("city"), series.alias("hourly"))).alias("value"))
+    rows = backfill.expand(backfill.parse_payloads(payloads))
+    return rows.select("city", zoneless("timestamp"), number("payload.current.temperature_2m").alias("temp"))
+
+
 def json_encode(spark, sf_dir):
     events = table(spark, sf_dir, "events")
     return messages.encode(events, "user_id", ["event_id", "event_type", "value"])
@@ -277,21 +309,20 @@ def version_tag(spark, sf_dir):
 
 
 def hash_split(spark, sf_dir):
-    bucket = split.split_bucket("event_id", "user_id")
-    part = F.when(F.col("bucket") < 60, "train").when(F.col("bucket") < 80, "validation")
-    return table(spark, sf_dir, "events").withColumn("bucket", bucket).select(
-        "event_id", "bucket", part.otherwise("test").alias("part")
-    )
+    parts = split.hash_split(table(spark, sf_dir, "events"), (0.6, 0.2, 0.2), ("event_id", "user_id"), seed=42)
+    named = [p.select("event_id", F.lit(n).alias("part")) for p, n in zip(parts, ("train", "validation", "test"))]
+    return reduce(DataFrame.union, named)
 
 
 # --- window features ------------------------------------------------------
 
 
-def _derived(spark, sf_dir, group: str, names: Sequence[str] | None = None, **how) -> DataFrame:
-    config = FeatureConfig()
+def _derived(
+    spark, sf_dir, group: str, names: Sequence[str] | None = None, config: FeatureConfig = FeatureConfig()
+) -> DataFrame:
     start = base(spark, sf_dir)
     names = names or features.feature_order(start.columns, config, (group,))
-    rows = features.windowed_features(start, config, groups=(group,), **how)
+    rows = features.windowed_features(start, config, groups=(group,))
     return rows.select("city", zoneless("timestamp"), *[rounded(name) for name in names])
 
 
@@ -332,7 +363,13 @@ def rolling_sum(spark, sf_dir):
 
 def rolling_dense(spark, sf_dir):
     """All rolling statistics by split frames, the way dense series take."""
-    return _derived(spark, sf_dir, "rolling", dense=True)
+    return _derived(spark, sf_dir, "rolling", config=FeatureConfig(frames="split"))
+
+
+def resample_hour(spark, sf_dir):
+    """The last observation of each city and hour, with lags that count hours with any."""
+    built = features.build_features(observations(spark, sf_dir), FeatureConfig(resample="hour"))
+    return built.select("city", zoneless("timestamp"), *numbers("temperature", "temperature_lag_1h", "temp_change_1h"))
 
 
 def delta_features(spark, sf_dir):
@@ -363,11 +400,29 @@ def feature_frame(spark, sf_dir):
 
 
 def incremental_features(spark, sf_dir):
-    """Features of all but the last days, then refreshed for those days."""
+    """A saved feature table refreshed, through its files, for the last days and late rows of all others."""
+    path, obs_path = scratch_path(spark, "refreshed"), scratch_path(spark, "observed")
     obs = observations(spark, sf_dir)
-    before = features.build_features(obs.where(F.col("timestamp") < fn.instant(LAST_DAY)))
-    changed = obs.where(F.col("timestamp") >= fn.instant(LAST_DAY)).select("city", "timestamp")
-    return feature_rows(incremental.Refresh(obs, changed).replaced(before))
+    late = (F.col("timestamp") >= fn.instant(LAST_DAY)) | (F.pmod(F.xxhash64("city", "timestamp"), F.lit(400)) == 0)
+    keyed.write_days(keyed.with_day(obs), obs_path, "overwrite")
+    incremental.derive_features(obs.where(~late), path)
+    saved = keyed.read_days(spark, obs_path)
+    incremental.refresh_features(saved, obs.where(late).select("city", "timestamp"), path)
+    return feature_rows(tables.read_features(spark, path))
+
+
+def refresh_equals_full(spark, sf_dir):
+    """A dense station and thin ones refreshed for late rows: rows that differ from a full derivation, unrounded."""
+    obs = observations(spark, sf_dir, "event_id")
+    crowd = latest.newest_row(obs.withColumn("city", F.lit("all")), ["city", "timestamp"], "event_id")
+    obs = obs.unionByName(crowd).drop("event_id")
+    late = F.pmod(F.xxhash64("city", "timestamp"), F.lit(500)) == 0
+    stale = features.build_features(obs.where(~late))
+    refreshed = incremental.Refresh(obs, obs.where(late).select("city", "timestamp")).replaced(stale)
+    full = features.build_features(obs).select(*refreshed.columns)
+    whole_rows = full.groupBy().agg(F.count(F.lit(1)).alias("rows"))
+    differing = full.exceptAll(refreshed).union(refreshed.exceptAll(full)).groupBy().agg(F.count(F.lit(1)).alias("differing"))
+    return whole_rows.crossJoin(differing)
 
 
 FLAGSHIP = (
@@ -408,12 +463,11 @@ def global_summary(spark, sf_dir):
 
 
 def row_counts(spark, sf_dir):
-    """Rows before and after dropping those without a temperature target, per city."""
+    """Rows that a feature job has written, and those of them with a target."""
+    path = scratch_path(spark, "counted")
     built = features.windowed_features(base(spark, sf_dir), groups=("target",))
-    usable = F.count_if(F.col("target_temp_1h").isNotNull())
-    return built.groupBy("city").agg(
-        F.count(F.lit(1)).alias("before"), usable.alias("after")
-    )
+    seen = keyed.write_counted(keyed.with_day(built), path, usable=F.col("target_temp_1h").isNotNull())
+    return spark.range(1).select(*[F.lit(seen[name]).cast("bigint").alias(name) for name in ("rows", "usable")])
 
 
 # --- latest rows and reads ------------------------------------------------
@@ -432,8 +486,8 @@ def latest_rownum(spark, sf_dir):
 
 
 def city_filter(spark, sf_dir):
-    obs = observations(spark, sf_dir)
-    return obs.where(F.col("city") == CITY).select("city", zoneless("timestamp"), *numbers("temperature"))
+    rows = serving.of_city(observations(spark, sf_dir), CITY)
+    return rows.select("city", zoneless("timestamp"), *numbers("temperature"))
 
 
 def current_one(spark, sf_dir):
@@ -610,8 +664,9 @@ def train_classification(spark, sf_dir):
     )
     rows = features.windowed_features(base(spark, sf_dir), groups=("delta", "target"))
     done = training.train(rows, training.rain_task(), small)
-    found = [(done.family, float(v), k) for k, v in done.metrics.items()]
-    return spark.createDataFrame(found, "family string, value double, metric string")
+    used = training.training_rows(rows).groupBy().agg(F.count(F.lit(1)).alias("rows_used"))
+    found = [(k, 0 <= v <= 1) for k, v in done.metrics.items()]
+    return spark.createDataFrame(found, "metric string, in_range boolean").crossJoin(used)
 
 
 def score_shape(spark, sf_dir):
@@ -635,15 +690,21 @@ def score_both(spark, sf_dir):
     forest.getStages()[-1].setNumTrees(3).setMaxDepth(2).setSeed(1)
     rain_model = forest.fit(rows)
     newest = latest.newest_row(observations(spark, sf_dir))
-    return predicted(
-        scoring.score(
-            newest,
-            _fit_line(rows),
-            Row(model_name=f"{PREFIX}_LinearRegression", version="1"),
-            rain_model,
-            Row(model_name="rain_prediction_1h_RandomForest", version="1"),
-            as_of=fn.instant(SCORED_AT),
-        )
+    scored = scoring.score(
+        newest,
+        _fit_line(rows),
+        Row(model_name=f"{PREFIX}_LinearRegression", version="1"),
+        rain_model,
+        Row(model_name="rain_prediction_1h_RandomForest", version="1"),
+        as_of=fn.instant(SCORED_AT),
+    )
+    return scored.select(
+        "city",
+        zoneless("source_timestamp"),
+        number("predicted_temperature", 4).alias("predicted_temperature"),
+        F.coalesce(F.col("predicted_rain").isin(0.0, 1.0), F.lit(False)).alias("rain_is_a_class"),
+        "temp_model_name",
+        "rain_model_name",
     )
 
 
@@ -662,14 +723,16 @@ def stream_upsert(spark, sf_dir):
             F.struct(
                 F.concat(F.lit("city_"), "user_id").alias("city"),
                 F.struct(
-                    F.unix_timestamp(F.col("ts").cast("timestamp")).alias("time"),
+                    # One key a city and day, so keys repeat.
+                    F.unix_timestamp(F.date_trunc("day", F.col("ts").cast("timestamp"))).alias("time"),
                     (F.col("value") / 10).alias("temperature_2m"),
                     F.get_json_object("props", "$.k").cast("int").alias("weather_code"),
                 ).alias("current"),
             )
         ).alias("value"),
         F.col("ts").cast("timestamp").alias("received_at"),
-        F.col("event_id").alias("sequence"),
+        # Offsets run against time, as those of two topic partitions may.
+        messages.sequence(F.col("ts").cast("timestamp"), F.col("event_id") % 3, -F.col("event_id")),
     )
     query = ingest.start_ingest(values, where, scratch_path(spark, "position"), availableNow=True)
     query.awaitTermination()
@@ -689,6 +752,8 @@ QUERIES: dict[str, Query] = {
         scan_obs,
         scan_features,
         ingest_parse,
+        ingest_whitespace,
+        backfill_expand,
         json_props,
         json_encode,
         upsert_last_wins,
@@ -717,6 +782,8 @@ QUERIES: dict[str, Query] = {
         lead_target,
         feature_frame,
         incremental_features,
+        refresh_equals_full,
+        resample_hour,
         latest_features,
         dropna_essential,
         dropna_any,

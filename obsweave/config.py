@@ -15,13 +15,21 @@ class FeatureConfig:
     # One series is cut into buckets of this length, so a station that holds
     # most of the table is still spread over many tasks.
     bucket_hours: int = 168
-    # Rows in the longest frame above which rolling statistics switch from
-    # sliding frames (rows x frame) to split frames (linear in rows).
-    dense_frame_rows: int = 400
+    # How rolling statistics are computed: "sliding" frames share the one sort of
+    # all windows and cost rows x rows-in-frame; "split" frames sort once per
+    # frame length and are linear in rows, for stations read many times an hour.
+    # The two round differently in the last digits, so a feature table keeps to
+    # one of them; nothing in the data changes it.
+    frames: str = "sliding"
+    # "hour" keeps the last row of each station and hour, so that lags, which
+    # count rows, count hours where live polls mix with hourly history.
+    resample: str | None = None
 
     def __post_init__(self):
         if self.horizon < 1 or min(self.lag_rows, default=1) < 1:
             raise ValueError("horizon and lags must be positive")
+        if self.frames not in ("sliding", "split") or self.resample not in (None, "hour"):
+            raise ValueError("frames are sliding or split, resample is None or hour")
         if self.bucket_hours < self.longest_frame:
             raise ValueError("bucket_hours must cover the longest rolling frame")
 

@@ -1,13 +1,16 @@
-"""Keyed writes on day-partitioned parquet tables: replace, and insert if absent.
+"""Keyed writes on parquet tables laid out by day and key part: replace, and insert if absent.
 
-One writer per table.  A write reads only the day partitions its rows fall in
-and rewrites only those that hold a key already; Spark swaps rewritten
-partitions in when the job commits, so a failed job leaves them as they were.
+One writer per table.  A key lies in one day and, by the hash of its station, in
+one of a few parts of it.  A write reads only the days and parts its rows fall in
+and rewrites only those that hold a key already, so its cost follows the change;
+Spark swaps rewritten partitions in when the job commits, so a failed job leaves
+them as they were.  A null is a value of a key like any other.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,33 +18,51 @@ from pyspark.sql import functions as F
 
 from obsweave.operators.latest import newest_row
 
-DAY = "day"
+DAY, PART = "day", "part"
+PARTS = 4  # of a day; fixed for the life of a table
+LISTED_DAYS = 1000  # beyond, a filter takes the span from the first to the last day
 
 
 def with_day(df: DataFrame, time: str = "timestamp") -> DataFrame:
     return df.withColumn(DAY, F.to_date(time))
 
 
+def with_part(df: DataFrame, key: str = "city") -> DataFrame:
+    return df.withColumn(PART, F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
+
+
 def keep_newest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Last write per key wins, ``order`` giving the sequence of writes."""
     return newest_row(df, keys, order)
 
 
+def keep_first(df: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
+    """First write per key wins; without an order, one that depends on the rows alone."""
+    order = F.col(order) if order else F.xxhash64(F.to_json(F.struct(*df.columns)))
+    return newest_row(df.withColumn("_order", order), keys, ascending="_order").drop("_order")
+
+
+def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+    """Semi or anti join in which a null key equals a null key."""
+    other = right.select(*[F.col(k).alias(f"_key_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    return left.join(other, reduce(Column.__and__, same), how)
+
+
 def replace_rows(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``existing`` with every row whose key occurs in ``batch`` replaced by it."""
-    kept = existing.join(batch.select(*keys), list(keys), "left_anti").select(*batch.columns)
+    kept = _match(existing, batch, keys, "left_anti").select(*batch.columns)
     return kept.unionByName(batch)
 
 
 def absent_rows(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``batch`` whose key ``existing`` does not hold."""
-    present = existing.select(*keys)
-    return batch.join(present, list(keys), "left_anti").select(*batch.columns)
+    return _match(batch, existing, keys, "left_anti")
 
 
 def present_rows(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of ``batch`` whose key ``existing`` holds."""
-    return batch.join(existing.select(*keys), list(keys), "left_semi").select(*batch.columns)
+    return _match(batch, existing, keys, "left_semi")
 
 
 def write_days(
@@ -50,22 +71,37 @@ def write_days(
     mode: str,
     *,
     sort: Sequence[str | Column] = ("city", "timestamp"),
+    whole: bool = False,
 ) -> None:
-    """Write rows under their ``day``, each file sorted so its min/max prune reads.
+    """Write rows under their ``day`` (and ``part``), files sorted so their min/max prune reads.
 
+    ``whole`` makes an overwrite replace the table, not only the days written.
     The rebalance hint lets AQE give a heavy day several files and put light
     days together in one task.
     """
+    layout = [c for c in (DAY, PART) if c in rows.columns]
     (
-        rows.hint("rebalance", F.col(DAY))
-        .sortWithinPartitions(DAY, *sort)
+        rows.hint("rebalance", *[F.col(c) for c in layout])
+        .sortWithinPartitions(*layout, *sort)
         .write.mode(mode)
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(DAY)
+        .option("partitionOverwriteMode", "static" if whole else "dynamic")
+        .partitionBy(*layout)
         .parquet(path)
     )
 
 
+def write_counted(rows: DataFrame, path: str, *, usable: Column, whole: bool = True) -> dict[str, int]:
+    """Write a table; its ``rows`` and ``usable`` ones, in one pass over the stored columns needed.
+
+    Not by ``Observation``: in Spark 4.1 a session that has used one can no
+    longer run forest classifiers, whose summaries drag it into their tasks.
+    """
+    write_days(rows, path, "overwrite", whole=whole)
+    rows.sparkSession.catalog.refreshByPath(path)
+    stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    return stored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(usable).alias("usable")).first().asDict()
+
+
 def read_days(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The table at ``path``, or None before its first write."""
     reader = spark.read.schema(schema) if schema is not None else spark.read
@@ -77,9 +113,20 @@ def read_days(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
         return None
 
 
-def touched_days(batch: DataFrame) -> list:
-    """The calendar days of a batch: as many entries as its span has days."""
-    return [row[0] for row in batch.select(DAY).distinct().collect()]
+def touched(batch: DataFrame, *columns: str) -> list:
+    """The distinct days (and parts) of a batch: as many as its span of days has."""
+    return [tuple(row) for row in batch.select(*(columns or (DAY,))).distinct().collect()]
+
+
+def on_listed_days(days: Sequence) -> Column:
+    """A partition filter for some days; a long list becomes its span."""
+    known = sorted({d for d in days if d is not None})
+    found = F.lit(False)
+    if len(known) > LISTED_DAYS:
+        found = F.col(DAY).between(known[0], known[-1])
+    elif known:
+        found = F.col(DAY).isin(known)
+    return found | F.col(DAY).isNull() if None in days else found
 
 
 def upsert(
@@ -90,32 +137,44 @@ def upsert(
     order: str | None = None,
     time: str = "timestamp",
     drop: Sequence[str] = (),
+    part_by: str | None = None,
 ) -> None:
     """Write ``batch``, replacing the rows of ``path`` with the same keys.
 
-    Days in which no key occurs again are appended to after reading their key
-    columns alone; only the others are rewritten.  Running a write again after
-    a failure gives the same rows.
+    Days and parts in which no key occurs again are appended to after reading
+    their key columns alone; only the others are rewritten.  Running a write
+    again after a failure gives the same rows.
 
-    The day is part of the identity of a row: ``time`` must be one of the keys.
-    ``order`` names the column whose greatest value wins within the batch and
-    ``drop`` columns that are not stored.
+    The day is part of the identity of a row: ``time`` must be one of the keys;
+    ``part_by`` is another (the first, if not given).  ``order`` names the column
+    whose greatest value wins: within the batch, and against the stored row as
+    well where the table keeps that column.  ``drop`` names columns not stored.
     """
     if time not in keys:
         raise ValueError("the time column must be part of the key")
-    batch = with_day(batch, time)
+    batch = with_part(with_day(batch, time), part_by or keys[0])
     newest = keep_newest(batch, keys, order) if order else batch.dropDuplicates(list(keys))
-    # Used by both day lists and the writes.
+    # Used by both lists of partitions and the writes.
     newest = cached = newest.drop(*drop).persist()
     try:
         existing = read_days(batch.sparkSession, path)
         again = []
         if existing is not None:
-            touched = existing.where(F.col(DAY).isin(touched_days(newest)))
-            again = touched_days(present_rows(touched, newest, [DAY, *keys]))
+            places = touched(newest, DAY, PART)
+            near = existing.where(
+                on_listed_days([d for d, _ in places]) & F.col(PART).isin(sorted({p for _, p in places}))
+            )
+            again = touched(present_rows(near, newest, [DAY, PART, *keys]), DAY, PART)
         if again:
-            rewritten = F.col(DAY).isin(again)
-            merged = replace_rows(touched.where(rewritten), newest.where(rewritten), [DAY, *keys])
+            place = F.concat_ws("/", F.col(DAY).cast("string"), PART)
+            rewritten = place.isin([f"{d}/{p}" if d is not None else str(p) for d, p in again])
+            old, new = near.where(rewritten), newest.where(rewritten)
+            if order and order in newest.columns:
+                both = old.select(*new.columns).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+                # Of equal orders the row written later stays.
+                merged = newest_row(both, keys, order, [F.col("_new").desc()]).drop("_new")
+            else:
+                merged = replace_rows(old, new, [DAY, PART, *keys])
             write_days(merged, path, "overwrite", sort=keys)
             newest = newest.where(~rewritten)
         write_days(newest, path, "append", sort=keys)
@@ -125,10 +184,11 @@ def upsert(
 
 
 def compact(spark: SparkSession, path: str, days: Sequence, sort=("city", "timestamp")) -> None:
-    """Write the files of some days again as few; appends leave one per batch and day."""
-    rows = read_days(spark, path).where(F.col(DAY).isin(list(days)))
-    write_days(rows, path, "overwrite", sort=sort)
-    spark.catalog.refreshByPath(path)
+    """Write the files of some days again as few; appends leave one per batch, day and part."""
+    existing = read_days(spark, path)
+    if existing is not None:
+        write_days(existing.where(on_listed_days(days)), path, "overwrite", sort=sort)
+        spark.catalog.refreshByPath(path)
 
 
 def insert_if_absent(
@@ -138,24 +198,31 @@ def insert_if_absent(
     keys: Sequence[str] = ("city", "timestamp"),
     order: str | None = None,
     time: str = "timestamp",
+    part_by: str | None = None,
 ) -> tuple[int, int]:
-    """Append the rows whose key is new; returns (inserted, skipped)."""
+    """Append the rows whose key is new; returns (inserted, skipped).
+
+    Of several rows of one key the first by ``order`` is inserted.
+    """
     if time not in keys:
         raise ValueError("the time column must be part of the key")
-    batch = with_day(batch, time)
-    offered = dict(batch.groupBy(DAY).count().collect())
-    if not offered:
-        return 0, 0
-    existing = read_days(batch.sparkSession, path)
-    fresh = keep_newest(batch, keys, order) if order else batch.dropDuplicates(list(keys))
-    before = 0
-    if existing is not None:
-        touched = existing.where(F.col(DAY).isin(list(offered)))
-        before = touched.count()
-        fresh = absent_rows(touched, fresh, [DAY, *keys])
-    write_days(fresh, path, "append", sort=keys)
-    # With one writer the growth of the touched days is what was inserted; both
-    # counts come from the parquet footers.
-    grown = read_days(batch.sparkSession, path).where(F.col(DAY).isin(list(offered)))
-    inserted = grown.count() - before
-    return inserted, sum(offered.values()) - inserted
+    batch = with_part(with_day(batch, time), part_by or keys[0])
+    # Evaluated once, for the counts, the list of days and the write.
+    cached = [batch.persist()]
+    try:
+        offered, fresh = batch.count(), keep_first(batch, keys, order)
+        days = [d for (d,) in touched(batch)]
+        if not days:
+            return 0, 0
+        existing = read_days(batch.sparkSession, path)
+        if existing is not None:
+            near = existing.where(on_listed_days(days))
+            fresh = absent_rows(near, fresh, [DAY, PART, *keys])
+            cached.append(fresh.persist())
+        inserted = fresh.count()
+        if inserted:
+            write_days(fresh, path, "append", sort=keys)
+        return inserted, offered - inserted
+    finally:
+        for rows in cached:
+            rows.unpersist()

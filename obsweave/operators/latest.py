@@ -25,8 +25,13 @@ def newest_row(
     key: str | Sequence[str] = "city",
     time: str = "timestamp",
     tie_break: Sequence[Column] = (),
+    ascending: str | None = None,
 ) -> DataFrame:
-    """Exactly one row per key.  Each task keeps one row per key before the shuffle."""
+    """Exactly one row per key.  Each task keeps one row per key before the shuffle.
+
+    With ``ascending`` it is the one least in that column, else the newest.
+    """
     keys = [key] if isinstance(key, str) else list(key)
-    order = Window.partitionBy(*keys).orderBy(F.col(time).desc(), *tie_break)
+    first = F.col(ascending).asc() if ascending else F.col(time).desc()
+    order = Window.partitionBy(*keys).orderBy(first, *tie_break)
     return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")

@@ -28,8 +28,8 @@ def micros(time: str | Column) -> Column:
 
 def floor_div(value: Column, width: int) -> Column:
     """Whole multiples of ``width`` in ``value``, rounding down for negatives too."""
-    whole = value - F.pmod(value, F.lit(width).cast("bigint"))
-    return F.try_divide(whole, F.lit(width)).cast("bigint")
+    wide = F.lit(width).cast("bigint")
+    return F.call_function("div", value - F.pmod(value, wide), wide)
 
 
 def bucket_of(time: str | Column, hours: int) -> Column:
@@ -134,14 +134,6 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.where(OWN).drop(BUCKET, OWN, MICROS)
 
 
-def rows_per_frame(
-    df: DataFrame, hours: int, *, key: str = "city", time: str = "timestamp"
-) -> int:
-    """Most rows any key has in one span of ``hours``: the cost of a sliding frame."""
-    spans = df.groupBy(key, bucket_of(time, hours).alias("_span")).count()
-    return spans.agg(F.max("count")).first()[0] or 0
-
-
 Stats = Mapping[str, Sequence[str]]
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from obsweave.config import FeatureConfig
 from obsweave.functions import columns as fn
 from obsweave.operators import series
+from obsweave.operators.latest import newest_row
 
 # Which columns get which derived features.
 LAGGED = (
@@ -138,21 +139,19 @@ def windowed_features(
     base: DataFrame,
     config: FeatureConfig | None = None,
     *,
-    dense: bool | None = None,
     groups=GROUPS,
 ) -> DataFrame:
     """Lag, rolling, difference and target columns over a base with physics.
 
-    Sparse series take every window in one pass: one exchange, one sort.
-    Dense ones (``dense``; measured when not given) take rolling statistics by
-    split frames, as a sliding frame costs rows x rows-in-frame.  ``groups``
-    leaves out what is not needed, and with it the context it would need.
+    With sliding frames every window is taken in one pass: one exchange, one
+    sort.  Split frames add a pass for each frame length; ``config.frames``
+    decides, never the data.  ``groups`` leaves out what is not needed, and with
+    it the context it would need.
     """
     config = config or FeatureConfig()
     columns = set(base.columns)
     frames = rolling_stats(columns, config) if "rolling" in groups else {}
-    if dense is None and frames:
-        dense = series.rows_per_frame(base, config.longest_frame) > config.dense_frame_rows
+    dense = config.frames == "split"
 
     lagged = [c for c in LAGGED if "lag" in groups and c in columns]
     lagged += [c for c in DELTAS if "delta" in groups and c in columns]
@@ -181,11 +180,20 @@ def windowed_features(
     return rows.select(*base.columns, *feature_order(columns, config, groups))
 
 
-def build_features(
-    obs: DataFrame, config: FeatureConfig | None = None, *, dense: bool | None = None
-) -> DataFrame:
-    """The full feature row of every observation, keyed by city and timestamp."""
-    return windowed_features(with_calendar(with_physics(obs)), config, dense=dense)
+def hourly(obs: DataFrame) -> DataFrame:
+    """The last row of each city and hour, at its own time."""
+    hour = obs.withColumn("_hour", F.date_trunc("hour", "timestamp"))
+    return newest_row(hour, ["city", "_hour"], "timestamp").drop("_hour")
+
+
+def build_features(obs: DataFrame, config: FeatureConfig | None = None) -> DataFrame:
+    """The full feature row of every observation, keyed by city and timestamp.
+
+    Starts no job.
+    """
+    config = config or FeatureConfig()
+    rows = hourly(obs) if config.resample == "hour" else obs
+    return windowed_features(with_calendar(with_physics(rows)), config)
 
 
 def usable_rows(features: DataFrame) -> DataFrame:

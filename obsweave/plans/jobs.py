@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from obsweave.config import FeatureConfig, TrainingConfig
-from obsweave.operators.keyed import DAY, read_days, with_day, write_days
+from obsweave.operators.keyed import DAY
 from obsweave.plans import scoring, training
-from obsweave.plans.features import build_features, usable_rows
-from obsweave.plans.incremental import refresh_features
+from obsweave.plans.features import usable_rows
+from obsweave.plans.incremental import derive_features, refresh_features
 from obsweave.sources.tables import flatten, observed, read_features, read_raw
 
 
 def flat_observations(spark: SparkSession, raw_path: str) -> DataFrame:
-    """Flat rows with usable times; the partition column stays, so days prune."""
-    return flatten(observed(read_raw(spark, raw_path)), DAY)
+    """Flat rows with a city and a usable time; the partition column stays, so days prune."""
+    flat = flatten(observed(read_raw(spark, raw_path)), DAY)
+    return flat.dropna(subset=["city", "timestamp"])
 
 
 def run_features(
@@ -26,13 +27,8 @@ def run_features(
     Every row is stored, so that a correction can replace any of them; readers
     take the usable ones.
     """
-    obs = flat_observations(spark, raw_path).drop(DAY)
-    write_days(with_day(build_features(obs, config)), features_path, "overwrite")
-    spark.catalog.refreshByPath(features_path)
-    written = read_days(spark, features_path)
-    if written is None:
-        return {"derived": 0, "usable": 0}
-    return {"derived": written.count(), "usable": usable_rows(written).count()}
+    seen = derive_features(flat_observations(spark, raw_path), features_path, config)
+    return {"derived": seen["rows"], "usable": seen["usable"]}
 
 
 def run_refresh(

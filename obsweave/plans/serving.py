@@ -60,9 +60,14 @@ def readings(obs: DataFrame) -> DataFrame:
     )
 
 
+def of_city(rows: DataFrame, city: str) -> DataFrame:
+    """The rows of one station."""
+    return rows.where(F.col("city") == city)
+
+
 def current(obs: DataFrame, city: str) -> DataFrame:
     """The newest observation of one station."""
-    newest = obs.where(F.col("city") == city).orderBy(F.col("timestamp").desc()).limit(1)
+    newest = of_city(obs, city).orderBy(F.col("timestamp").desc()).limit(1)
     return readings(newest)
 
 

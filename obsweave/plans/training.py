@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import datetime, timezone
+from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline, PipelineModel
@@ -12,14 +14,14 @@ from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator, Evaluator, RegressionEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from obsweave.config import Grid, TrainingConfig
 from obsweave.operators.metrics import binary_areas, regression_metrics
-from obsweave.operators.split import hash_split
+from obsweave.operators.split import hash_split, split_bucket
 from obsweave.plans.features import KEYS, target_columns
 from obsweave.schemas import MODEL_REGISTRY, TRAINING_RUNS
 from obsweave.session import shared_dir
@@ -149,12 +151,30 @@ def importances(model: PipelineModel, top: int = 10) -> list[tuple[str, float]]:
     return ranked[:top]
 
 
+def best_params(
+    pipeline: Pipeline, candidates: list, evaluator: Evaluator, rows: DataFrame, config: TrainingConfig
+) -> dict:
+    """The parameters with the best mean score over the folds that ``_fold`` marks."""
+    totals = [0.0] * len(candidates)
+    with ThreadPool(config.parallelism) as pool:
+        for fold in range(config.folds):
+            inside = rows.where(F.col("_fold") != fold).persist(StorageLevel.MEMORY_AND_DISK)
+            held_out = rows.where(F.col("_fold") == fold).persist(StorageLevel.MEMORY_AND_DISK)
+            models = pipeline.fitMultiple(inside, candidates)
+            for place, model in pool.imap_unordered(lambda _, models=models: next(models), candidates):
+                totals[place] += evaluator.evaluate(model.transform(held_out))
+            inside.unpersist()
+            held_out.unpersist()
+    best = max(totals) if evaluator.isLargerBetter() else min(totals)
+    return candidates[totals.index(best)]
+
+
 def train(features: DataFrame, task: Task, config: TrainingConfig | None = None) -> Trained:
     """Cross-validate each family on the train part, choose on the validation part
     and measure on the test part.
 
-    The parts depend on row keys alone.  ``features`` should be a saved table:
-    every fit beyond the cached train part reads it again.
+    The parts and folds depend on row keys alone, so they repeat under any
+    partitioning.
     """
     config = config or TrainingConfig()
     spark = features.sparkSession
@@ -162,24 +182,19 @@ def train(features: DataFrame, task: Task, config: TrainingConfig | None = None)
     rows = training_rows(features, task.horizon)
     columns = feature_columns(rows, task.horizon)
     shares = (config.train, config.validation, config.test)
-    parts = hash_split(rows, shares, KEYS, config.seed)
+    # Parts and folds hang on row keys alone; the table is read once for all.
+    fold = split_bucket(*KEYS, seed=config.seed + 1, buckets=config.folds).cast("int").alias("_fold")
+    rows = rows.select(*KEYS, *columns, task.label, fold).persist(StorageLevel.MEMORY_AND_DISK)
     train_part, validation_part, test_part = [
-        part.select(*columns, task.label).persist(StorageLevel.MEMORY_AND_DISK) for part in parts
+        part.persist(StorageLevel.MEMORY_AND_DISK) for part in hash_split(rows, shares, KEYS, config.seed)
     ]
     evaluator = task_evaluator(task)
     best: tuple[float, str, PipelineModel, dict[str, str]] | None = None
     try:
         for family, grid in getattr(config, task.grids).items():
             pipeline = build_pipeline(task, task.estimators[family], columns)
-            search = CrossValidator(
-                estimator=pipeline,
-                estimatorParamMaps=build_grid(pipeline.getStages()[-1], grid),
-                evaluator=evaluator,
-                numFolds=config.folds,
-                seed=config.seed,
-                parallelism=config.parallelism,
-            )
-            model = search.fit(train_part).bestModel
+            candidates = build_grid(pipeline.getStages()[-1], grid)
+            model = pipeline.fit(train_part, best_params(pipeline, candidates, evaluator, train_part, config))
             score = evaluator.evaluate(model.transform(validation_part))
             better = best is None or (
                 score > best[0] if evaluator.isLargerBetter() else score < best[0]
@@ -191,7 +206,7 @@ def train(features: DataFrame, task: Task, config: TrainingConfig | None = None)
         score, family, model, chosen = best
         metrics = held_out_metrics(task, model.transform(test_part))
     finally:
-        for part in (train_part, validation_part, test_part):
+        for part in (rows, train_part, validation_part, test_part):
             part.unpersist()
     return Trained(model, family, task, score, metrics, importances(model), chosen)
 
@@ -205,9 +220,10 @@ def _append_row(spark: SparkSession, row: Row, schema, path: str) -> None:
 
 def save_model(trained: Trained, base: str, now: datetime | None = None) -> Row:
     """Write the pipeline below ``base`` and append its registry row."""
-    now = now or datetime.now()
+    now = now or datetime.now(timezone.utc)
     version = now.strftime("%Y%m%d_%H%M%S")
-    path = f"{base.rstrip('/')}/models/{trained.name}_{version}"
+    # Two trainings in one second share a version, not a place.
+    path = f"{base.rstrip('/')}/models/{trained.name}_{version}_{uuid.uuid4().hex[:8]}"
     trained.model.write().overwrite().save(path)
     entry = Row(
         model_name=trained.name,
@@ -228,7 +244,7 @@ def log_run(
     now: datetime | None = None,
 ) -> None:
     """Append parameters, metrics and importances of a run to the ledger."""
-    now = now or datetime.now()
+    now = now or datetime.now(timezone.utc)
     kind = {"temp": "temperature", "rain": "rain"}[trained.task.prefix]
     row = Row(
         run_name=f"{trained.task.prefix}_{trained.family}_{now.strftime('%Y%m%d_%H%M%S')}",

@@ -107,6 +107,11 @@ PAYLOAD = T.StructType(
     ]
 )
 
+# The order of writes to a key.
+SEQUENCE = T.StructType(
+    [T.StructField("at", TIMESTAMP), T.StructField("partition", INT), T.StructField("offset", T.LongType())]
+)
+
 RAW_OBS = T.StructType(
     [
         T.StructField("id", STRING),
@@ -118,6 +123,7 @@ RAW_OBS = T.StructType(
         T.StructField("payload", PAYLOAD),
         T.StructField("hourly_meta", T.MapType(STRING, STRING)),
         T.StructField("payload_json", STRING),
+        T.StructField("sequence", SEQUENCE),
     ]
 )
 
@@ -159,6 +165,7 @@ CURRENT_OBS = T.StructType(
         T.StructField("longitude", DOUBLE),
         T.StructField("utc_offset_seconds", INT),
         T.StructField("timezone", STRING),
+        T.StructField("sequence", SEQUENCE),
     ]
 )
 
@@ -199,4 +206,4 @@ PREDICTIONS = _struct(
     rain_model_version=STRING,
 )
 
-DEAD_LETTER = _struct(value=STRING, received_at=TIMESTAMP, reason=STRING)
+DEAD_LETTER = _struct(value=STRING, received_at=TIMESTAMP, reason=STRING, sequence=SEQUENCE)

@@ -9,30 +9,34 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from obsweave.functions import columns as fn
-from obsweave.schemas import HOURLY_SERIES, READINGS
+from obsweave.schemas import HOURLY_SERIES, READINGS, SEQUENCE
 
-TOPIC = "weather-data"
-GROUP_ID = "weather-consumer-group"
+def stream_topic(spark: SparkSession, servers: str, topic: str, **options) -> DataFrame:
+    """Message text from a topic, from its start; the checkpoint keeps the position.
 
-
-def stream_topic(
-    spark: SparkSession, servers: str, topic: str = TOPIC, group_id: str = GROUP_ID, **options
-) -> DataFrame:
-    """Message text from a topic, from its start; the checkpoint keeps the position."""
+    Offsets of different topic partitions do not compare, so messages are ordered
+    by the topic's time first.  The first batch is all the topic holds unless
+    ``maxOffsetsPerTrigger`` bounds it.
+    """
     settings = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
         "startingOffsets": "earliest",
-        "kafka.group.id": group_id,
     } | options
     messages = spark.readStream.format("kafka").options(**settings).load()
     return messages.select(
         F.col("value").cast("string").alias("value"),
         F.col("timestamp").alias("received_at"),
-        F.col("offset").alias("sequence"),
+        sequence(F.col("timestamp"), F.col("partition"), F.col("offset")),
     )
 
 
+def sequence(at: Column, partition: Column | None = None, offset: Column | None = None) -> Column:
+    """The order of writes: by time, then by place in the topic."""
+    parts = (at, F.lit(0) if partition is None else partition, F.lit(0) if offset is None else offset)
+    return F.struct(*parts).cast(SEQUENCE).alias("sequence")
+
+
 def stream_files(spark: SparkSession, path: str, **options) -> DataFrame:
     """Message text from JSON-lines files, for tests and replays.
 
@@ -44,7 +48,7 @@ def stream_files(spark: SparkSession, path: str, **options) -> DataFrame:
     return lines.select(
         "value",
         arrived.alias("received_at"),
-        F.unix_micros(arrived).alias("sequence"),
+        sequence(arrived),
     )
 
 
@@ -55,8 +59,7 @@ def encode(df: DataFrame, key: str = "city", columns: Sequence[str] | None = Non
 
 
 def publish(messages: DataFrame, format: str = "kafka", path: str | None = None, **options) -> None:
-    """Write encoded messages to a topic, or to files with another ``format``."""
-    options = ({"topic": TOPIC} if format == "kafka" else {}) | options
+    """Write encoded messages to a topic (option ``topic``), or to files with another ``format``."""
     writer = messages.write.format(format).options(**options).mode("append")
     writer.save(path) if path else writer.save()
 
@@ -91,9 +94,23 @@ MESSAGE = T.StructType(
 )
 
 
+JSON_WHITE = " \t\r\n"
+
+
+def decoded(messages: DataFrame, schema, column: str = "value", name: str = "_doc") -> DataFrame:
+    """``messages`` with the text of ``column`` decoded once, in column ``name``.
+
+    The decoder stands in a generator, so that filters on what it gives do not
+    bring it in a second time.
+    """
+    options = {"columnNameOfCorruptRecord": "_bad"}
+    return messages.select("*", F.explode(F.array(F.from_json(column, schema, options))).alias(name))
+
+
 def is_object(text: Column, flagged: Column) -> Column:
     """Whether a text is one JSON object; only ``flagged`` texts are looked at again."""
-    braced = F.trim(text).startswith("{") & F.trim(text).endswith("}")
+    stripped = F.btrim(text, F.lit(JSON_WHITE))
+    braced = stripped.startswith("{") & stripped.endswith("}")
     return F.coalesce(braced & (~flagged | F.json_object_keys(text).isNotNull()), F.lit(False))
 
 
@@ -112,10 +129,8 @@ def parse(messages: DataFrame, now: Column | None = None, extra: Sequence[str] =
     its hourly series at the hour of its time.
     """
     now = F.current_timestamp() if now is None else now
-    options = {"columnNameOfCorruptRecord": "_bad"}
-    decoded = messages.withColumn("_doc", F.from_json("value", MESSAGE, options))
     time = F.col("_doc.current.time")
-    dated = decoded.withColumns({"_seconds": whole_seconds(time), "_missing": time.isNull()})
+    dated = decoded(messages, MESSAGE).withColumns({"_seconds": whole_seconds(time), "_missing": time.isNull()})
     hour = F.col("_seconds") - F.pmod(F.col("_seconds"), F.lit(3600).cast("bigint"))
     position = F.array_position("_doc.hourly.time", hour)
     timed = dated.withColumn("_at", F.when(position > 0, position.cast("int")))

@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from obsweave.functions import columns as fn
-from obsweave.operators.keyed import upsert, with_day, write_days
+from obsweave.operators.keyed import compact, touched, upsert, with_day
 from obsweave.schemas import CURRENT_OBS, RAW_OBS
-from obsweave.sources.messages import parse
+from obsweave.sources.messages import parse, sequence
 
 
 @dataclass(frozen=True)
@@ -99,37 +100,66 @@ def snapshot_rows(parsed: DataFrame, now: Column | None = None) -> DataFrame:
 
 
 def store_batch(messages: DataFrame, tables: Tables, now: Column | None = None) -> None:
-    """Write one batch to its tables.  Replaying a batch leaves the same rows."""
+    """Write one batch to its tables.  Replaying a batch leaves the same rows.
+
+    ``sequence`` orders the writes and is stored, so a late batch does not
+    replace newer rows; a plain number counts within ``received_at``.
+    """
+    if not isinstance(messages.schema["sequence"].dataType, StructType):
+        messages = messages.withColumn("sequence", sequence(F.col("received_at"), offset=F.col("sequence")))
     extra = ["received_at", "sequence"]
     parsed = parse(messages, now=F.col("received_at") if now is None else now, extra=extra)
     parsed = parsed.persist()
     try:
         good = parsed.where("valid")
         if not good.isEmpty():
-            upsert(raw_rows(good, now), tables.raw, order="sequence", drop=["sequence"])
-            upsert(snapshot_rows(good, now), tables.current, order="sequence", drop=["sequence"])
+            upsert(raw_rows(good, now), tables.raw, order="sequence")
+            upsert(snapshot_rows(good, now), tables.current, order="sequence")
         bad = parsed.where(~F.col("valid"))
         if not bad.isEmpty():
             letters = bad.select(
                 F.col("payload_json").alias("value"),
                 "received_at",
                 F.lit("not a JSON object").alias("reason"),
+                "sequence",
             )
-            write_days(with_day(letters, "received_at"), tables.dead_letter, "append", sort=())
+            keep_letters(letters, tables.dead_letter)
     finally:
         parsed.unpersist()
 
 
+def keep_letters(letters: DataFrame, path: str) -> None:
+    """Keyed write of dead letters, so that a replayed batch adds none."""
+    upsert(letters, path, keys=("received_at", "sequence", "value"), time="received_at", part_by="value")
+
+
+def compact_days(messages: DataFrame, tables: Tables) -> None:
+    """Merge the files of the days that a batch has written to."""
+    parsed = parse(messages, now=F.col("received_at"))
+    days = [d for (d,) in touched(with_day(parsed.where("valid")))]
+    for path in (tables.raw, tables.current):
+        compact(messages.sparkSession, path, days)
+
+
 def start_ingest(
-    messages: DataFrame, tables: Tables, checkpoint: str, **trigger
+    messages: DataFrame, tables: Tables, checkpoint: str, compact_every: int = 30, **trigger
 ) -> StreamingQuery:
     """Run the ingest over a message stream with value, received_at and sequence.
 
+    After every ``compact_every`` batches the days just written are compacted
+    (0: never).
+
     The checkpoint commits a batch after all its writes, so a batch may be
     written again after a failure; keyed replacement makes that harmless.
     """
+
+    def store(batch: DataFrame, number: int) -> None:
+        store_batch(batch, tables)
+        if compact_every and number % compact_every == compact_every - 1:
+            compact_days(batch, tables)
+
     return (
-        messages.writeStream.foreachBatch(lambda batch, _: store_batch(batch, tables))
+        messages.writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "2 minutes"}))
         .start()

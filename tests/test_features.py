@@ -9,7 +9,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from obsweave.config import FeatureConfig
-from obsweave.operators import series
 from obsweave.plans import features, incremental
 from obsweave.schemas import FLAT_OBS, MEASURES
 
@@ -76,19 +75,19 @@ def test_absent_measure_is_skipped(madrid):
     assert built.count() == 5
 
 
-@pytest.mark.parametrize("dense", [False, True])
-def test_range_frames_close_both_ends(spark, dense):
+@pytest.mark.parametrize("frames", ["sliding", "split"])
+def test_range_frames_close_both_ends(spark, frames):
     obs = spark.createDataFrame([observation(i, cape=1.0) for i in range(12)], FLAT_OBS)
-    built = features.build_features(obs.withColumn("precipitation", F.lit(1.0)), dense=dense)
+    built = features.build_features(obs.withColumn("precipitation", F.lit(1.0)), FeatureConfig(frames=frames))
     counts = [r.precip_sum_6h for r in ordered(built)]
     assert counts == [1, 2, 3, 4, 5, 6, 7, 7, 7, 7, 7, 7]
 
 
-@pytest.mark.parametrize("dense", [False, True])
-def test_gap_moves_lags_by_rows_and_frames_by_time(spark, dense):
+@pytest.mark.parametrize("frames", ["sliding", "split"])
+def test_gap_moves_lags_by_rows_and_frames_by_time(spark, frames):
     times = [0, 1, 5, 6, 30]
     rows = [observation(i, at=START + timedelta(hours=h)) for i, h in enumerate(times)]
-    found = ordered(features.build_features(spark.createDataFrame(rows, FLAT_OBS), dense=dense))
+    found = ordered(features.build_features(spark.createDataFrame(rows, FLAT_OBS), FeatureConfig(frames=frames)))
     assert [r.temperature_lag_1h for r in found] == [None, 20, 21, 22, 23]
     assert [r.temperature_mean_6h for r in found] == [20, 20.5, 21, 21.5, 24]
     assert [r.temperature_min_24h for r in found] == [20, 20, 20, 20, 23]
@@ -159,12 +158,12 @@ def same(a, b):
     return a == pytest.approx(b, rel=1e-9, abs=1e-7)
 
 
-@pytest.mark.parametrize("dense", [False, True])
+@pytest.mark.parametrize("frames", ["sliding", "split"])
 @pytest.mark.parametrize("bucket_hours, horizon", [(24, 1), (168, 3)])
-def test_features_equal_brute_force(spark, dense, bucket_hours, horizon):
-    config = FeatureConfig(bucket_hours=bucket_hours, horizon=horizon)
+def test_features_equal_brute_force(spark, frames, bucket_hours, horizon):
+    config = FeatureConfig(bucket_hours=bucket_hours, horizon=horizon, frames=frames)
     rows = random_series(bucket_hours)
-    built = features.build_features(spark.createDataFrame(rows, FLAT_OBS), config, dense=dense)
+    built = features.build_features(spark.createDataFrame(rows, FLAT_OBS), config)
     want = brute_force(rows, config)
     found = built.collect()
     assert len(found) == len(want)
@@ -174,16 +173,24 @@ def test_features_equal_brute_force(spark, dense, bucket_hours, horizon):
         assert not wrong, (row.city, row.timestamp, wrong)
 
 
-def test_dense_is_chosen_by_measured_frame(spark):
-    rows = [observation(at=START + timedelta(seconds=60 * i)) for i in range(90)]
-    obs = spark.createDataFrame(rows, FLAT_OBS)
-    assert series.rows_per_frame(obs, 24) == 90
-    assert series.rows_per_frame(obs.limit(0), 24) == 0
+def test_building_starts_no_job(spark, madrid):
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    for frames in ("sliding", "split"):
+        features.build_features(madrid, FeatureConfig(frames=frames, resample="hour"))
+    assert set(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_hourly_rows(spark):
+    rows = [observation(i, at=START + timedelta(minutes=20 * i)) for i in range(7)]
+    found = ordered(features.build_features(spark.createDataFrame(rows, FLAT_OBS), FeatureConfig(resample="hour")))
+    assert [r.temperature for r in found] == [22, 25, 26]
+    assert [r.temperature_lag_1h for r in found] == [None, 22, 25]
 
 
 def test_constant_dense_series_has_zero_spread(spark):
     rows = [observation(at=START + timedelta(minutes=17 * i), pressure=1013.1) for i in range(200)]
-    built = features.build_features(spark.createDataFrame(rows, FLAT_OBS), dense=True)
+    built = features.build_features(spark.createDataFrame(rows, FLAT_OBS), FeatureConfig(frames="split"))
     spreads = [r[0] for r in built.select("pressure_std_24h").collect()]
     assert spreads.count(None) == 1 and max(s for s in spreads if s is not None) < 1e-9
 
@@ -193,9 +200,9 @@ def test_bucket_must_cover_the_frames():
         FeatureConfig(bucket_hours=12)
 
 
-@pytest.mark.parametrize("bucket_hours", [24, 168])
-def test_refresh_equals_full_derivation(spark, bucket_hours):
-    config = FeatureConfig(bucket_hours=bucket_hours, horizon=2)
+@pytest.mark.parametrize("bucket_hours, frames", [(24, "sliding"), (168, "sliding"), (168, "split")])
+def test_refresh_equals_full_derivation(spark, bucket_hours, frames):
+    config = FeatureConfig(bucket_hours=bucket_hours, horizon=2, frames=frames)
     rows = random_series(7)
     rng = random.Random(1)
     late = {i for i in range(len(rows)) if rng.random() < 0.03}
@@ -204,9 +211,9 @@ def test_refresh_equals_full_derivation(spark, bucket_hours):
     changed = spark.createDataFrame(
         [r[:2] for i, r in enumerate(rows) if i in late], "city string, timestamp timestamp"
     )
-    stale = features.build_features(old, config, dense=False)
-    refresh = incremental.Refresh(obs, changed, config, dense=False)
-    full = features.build_features(obs, config, dense=False)
+    stale = features.build_features(old, config)
+    refresh = incremental.Refresh(obs, changed, config)
+    full = features.build_features(obs, config)
     assert ordered(refresh.replaced(stale)) == ordered(full)
     assert refresh.fresh().count() < full.count()
 

@@ -129,7 +129,7 @@ def test_upsert_last_write_wins_and_replay_is_harmless(spark, tmp_path):
     assert read_days(spark, path).count() == 4
 
 
-def test_upsert_rewrites_only_days_that_hold_a_key_already(spark, tmp_path):
+def test_upsert_rewrites_only_parts_that_hold_a_key_already(spark, tmp_path):
     path = tmp_path / "t"
 
     def write(*rows):
@@ -138,20 +138,78 @@ def test_upsert_rewrites_only_days_that_hold_a_key_already(spark, tmp_path):
         upsert(timed, str(path), order="v", drop=["v"])
 
     def files():
-        return {d.name: {f.name for f in d.glob("*.parquet")} for d in path.glob("day=*")}
+        return {(d.parent.name, d.name): {f.name for f in d.glob("*.parquet")} for d in path.glob("day=*/part=*")}
 
-    write(("a", T0, 1), ("a", T0 + 86400, 1))
+    write(*[(c, T0 + 86400 * d, 1) for c in "abcdefgh" for d in (0, 1)])
     before = files()
-    write(("b", T0, 1), ("a", T0 + 86400, 2))
+    write(("new", T0, 1), ("a", T0 + 86400, 2))
     after = files()
-    first, second = sorted(before)
-    assert before[first] < after[first]  # appended to
-    assert not before[second] & after[second]  # rewritten
+    rewritten = {place for place in before if not before[place] & after[place]}
+    grown = {place for place in after if before.get(place, set()) < after[place]}
+    assert len(rewritten) == len(grown) == 1 and len(before) > 4
+    assert all(before[place] == after[place] for place in before if place not in rewritten | grown)
+    assert next(iter(rewritten))[0] > next(iter(grown))[0]
     table = read_days(spark, str(path))
-    assert table.count() == 3 and "v" not in table.columns
+    assert table.count() == 17 and "v" not in table.columns
     compact(spark, str(path), [r[0] for r in table.select("day").distinct().collect()])
     assert all(len(names) == 1 for names in files().values())
-    assert read_days(spark, str(path)).count() == 3
+    assert read_days(spark, str(path)).count() == 17
+
+
+def test_stored_order_keeps_late_writes_out(spark, tmp_path):
+    path = str(tmp_path / "t")
+
+    def write(value, seq):
+        rows = spark.createDataFrame([(None, T0, value, seq)], "city string, t bigint, v int, seq int")
+        upsert(rows.withColumn("timestamp", F.timestamp_seconds("t")).drop("t"), path, order="seq")
+
+    for value, seq in ((1, 5), (2, 9), (3, 7)):
+        write(value, seq)
+    assert [r.v for r in read_days(spark, path).collect()] == [2]  # null keys match as well
+
+
+def test_topic_time_orders_across_partitions(spark, tmp_path):
+    where = ingest.Tables.under(str(tmp_path))
+    rows = []
+    for when, partition, offset, temperature in ((100, 0, 900, 1.0), (200, 1, 7, 2.0)):
+        doc = {"city": "a", "current": {"time": T0, "temperature_2m": temperature}}
+        rows.append((" \n" + json.dumps(doc) + "\r\n", when, partition, offset))
+    rows.append(("[1]", 100, 0, 901))
+    frame = spark.createDataFrame(rows, "value string, at bigint, p int, o bigint").withColumn("received_at", F.timestamp_seconds("at"))
+    batch = frame.select("value", "received_at", messages.sequence(F.col("received_at"), F.col("p"), F.col("o")))
+    for part in (batch, batch.where("p = 0"), batch):
+        ingest.store_batch(part, where)
+    stored = read_days(spark, where.current).collect()
+    assert [r.data.main.temp for r in stored] == [2.0]
+    assert read_days(spark, where.dead_letter).count() == 1
+
+
+def test_decoding_stands_in_the_plan_once(spark, capsys):
+    texts = spark.createDataFrame([("{}",)], "value string")
+    messages.parse(texts.withColumn("sequence", F.lit(0))).where("valid").explain("extended")
+    plan = capsys.readouterr().out
+    assert plan[plan.index("Optimized Logical Plan"):plan.index("Physical Plan")].count("from_json") == 1
+
+
+def test_backfill_keeps_what_does_not_parse(spark, tmp_path):
+    good = {"city": None, "hourly": {"time": [T0, 10**17, None], "temperature_2m": [1.0, 2.0, 3.0]}}
+    texts = [json.dumps(good), "no json", "[1]", json.dumps({"city": "a"})]
+    batch = spark.createDataFrame([(t,) for t in texts], "value string")
+    raw, letters = str(tmp_path / "raw"), str(tmp_path / "letters")
+    assert backfill.backfill(batch, raw, letters) == (1, 0)
+    assert backfill.backfill(batch, raw, letters) == (0, 1)
+    assert [r.city for r in read_days(spark, raw).collect()] == ["unknown"]
+    reasons = sorted(r.reason for r in read_days(spark, letters).collect())
+    assert reasons == ["no usable time series", "not a JSON object", "not a JSON object", "unusable times"]
+
+
+def test_insert_if_absent_keeps_the_first(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = spark.createDataFrame([("a", T0, 5, 2), ("a", T0, 4, 1), (None, T0, 1, 3)], "city string, t bigint, v int, seq int")
+    rows = rows.withColumn("timestamp", F.timestamp_seconds("t")).drop("t")
+    assert insert_if_absent(rows, path, order="seq") == (2, 1)
+    assert insert_if_absent(rows, path, order="seq") == (0, 3)
+    assert sorted(r.v for r in read_days(spark, path).collect()) == [1, 4]
 
 
 def test_upsert_needs_the_time_in_its_key(spark, tmp_path):

@@ -126,7 +126,7 @@ def test_scoring_is_keyed_and_reloads_the_model(spark, tables, trained):
     saved = read_days(spark, path)
     rows = saved.collect()
     assert len(rows) == 2
-    assert saved.drop("day").columns == PREDICTIONS.names
+    assert saved.drop("day", "part").columns == PREDICTIONS.names
     newest = datetime(2025, 6, 1) + timedelta(hours=149)
     for row in rows:
         assert row.source_timestamp == newest and row.horizon_hours == 1
