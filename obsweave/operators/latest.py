@@ -35,3 +35,16 @@ def newest_row(
     first = F.col(ascending).asc() if ascending else F.col(time).desc()
     order = Window.partitionBy(*keys).orderBy(first, *tie_break)
     return df.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
+def on_newest_days(df: DataFrame, key: str = "city", time: str = "timestamp") -> DataFrame:
+    """Of a table with day partitions, those that hold the newest row of some key.
+
+    Two columns of the whole table tell which; only those days are then read in
+    full.  A frame without days is returned as it is.
+    """
+    if "day" not in df.columns:
+        return df
+    greatest = df.groupBy(key).agg(F.max(time).alias("newest"))
+    days = greatest.select(F.to_date("newest")).distinct().dropna().collect()  # bounded by the calendar
+    return df.where(F.col("day").isin([day for (day,) in days]))

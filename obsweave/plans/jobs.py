@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from obsweave.config import FeatureConfig, TrainingConfig
-from obsweave.operators.keyed import DAY
+from obsweave.operators.keyed import DAY, read_days
+from obsweave.operators.latest import on_newest_days
 from obsweave.plans import scoring, training
 from obsweave.plans.features import usable_rows
 from obsweave.plans.incremental import derive_features, refresh_features
@@ -53,7 +54,10 @@ def run_scoring(
     spark: SparkSession, features_path: str, base: str, predictions_path: str, horizon: int = 1
 ) -> int:
     """Score the newest rows and keep the predictions; returns how many were written."""
-    features = usable_rows(read_features(spark, features_path))
+    saved = read_days(spark, features_path)
+    if saved is None:
+        return 0
+    features = on_newest_days(usable_rows(saved)).drop(DAY)
     scored = scoring.score_latest(spark, features, base, horizon)
     scored = scored.persist()  # one row per station, used by the count and the write
     try:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsweave.functions.columns import instant
-from obsweave.operators.latest import newest_row
+from obsweave.operators.latest import newest_row, on_newest_days
 from obsweave.sources.tables import on_days
 
 MAX_HOURS, MAX_HISTORY, MAX_PREDICTIONS = 168, 1000, 500
@@ -67,7 +67,7 @@ def of_city(rows: DataFrame, city: str) -> DataFrame:
 
 def current(obs: DataFrame, city: str) -> DataFrame:
     """The newest observation of one station."""
-    newest = of_city(obs, city).orderBy(F.col("timestamp").desc()).limit(1)
+    newest = on_newest_days(of_city(obs, city)).orderBy(F.col("timestamp").desc()).limit(1)
     return readings(newest)
 
 
@@ -77,7 +77,7 @@ def cities(obs: DataFrame) -> DataFrame:
 
 def current_all(obs: DataFrame) -> DataFrame:
     """The newest observation of every station."""
-    return newest_row(readings(obs))
+    return newest_row(readings(on_newest_days(obs)))
 
 
 def history(

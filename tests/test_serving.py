@@ -123,3 +123,15 @@ def test_latest_entry_by_prefix(spark):
     registry = spark.createDataFrame(rows, "model_name string, timestamp timestamp, version string")
     assert training.latest_entry(registry, "temp_prediction_1h").first().version == "2"
     assert training.latest_entry(registry, "wind").isEmpty()
+
+
+def test_newest_rows_read_only_their_days(spark, tmp_path, capsys):
+    from obsweave.operators.keyed import with_day, write_days
+
+    rows = [(c, datetime(2025, 6, d), float(d)) for c, last in (("a", 9), ("b", 3)) for d in range(1, last + 1)]
+    table = spark.createDataFrame(rows, "city string, timestamp timestamp, temperature double")
+    write_days(with_day(table), str(tmp_path / "t"), "overwrite")
+    newest = serving.current_all(spark.read.parquet(str(tmp_path / "t")))
+    assert sorted((r.city, r.temperature) for r in newest.collect()) == [("a", 9.0), ("b", 3.0)]
+    newest.explain()
+    assert "PartitionFilters: [day" in capsys.readouterr().out.replace("isnotnull(day", "day")
