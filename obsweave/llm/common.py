@@ -23,6 +23,13 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def release_arrow_memory() -> None:
+    """Give back what Arrow's pool keeps of the batches a Python task has read."""
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+
+
 def kept(frame: DataFrame, label: str) -> DataFrame:
     """The frame written to the shared folder and read back: lineage ends here.
 

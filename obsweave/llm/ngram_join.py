@@ -22,18 +22,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsweave.llm import wordhash
-from obsweave.llm.common import kept, whole_text
+from obsweave.llm.common import kept, release_arrow_memory, whole_text
 from obsweave.llm.components import components
 
 FREQUENT = 32  # documents that make a token frequent
 FREQUENT_TOKENS = 2_000_000  # frequent tokens that tasks hold (16 MB); beyond, only the more frequent count
 CLASSES = 8
 BUCKET_TOKENS = 2_000_000  # tokens that one counting task takes
-FLUSH_TOKENS = 2_000_000
+FLUSH_TOKENS = 1_000_000  # tokens that a counting task holds before it sends them
 BROADCAST_IDS = 2_000_000  # ids (16 MB) up to which texts are looked up without a shuffle
 
 
@@ -107,8 +107,9 @@ def frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
                     pending, size = [], 0
         if size:
             yield blocks(pending)
+        release_arrow_memory()
 
-    def count(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def count(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         times = np.zeros(1 << 24, np.int32)
         for block in frame["block"]:
             parts = np.frombuffer(block, np.uint8).reshape(-1, 3).astype(np.int32)
@@ -125,13 +126,26 @@ def frequent_tokens(texts: DataFrame, width: int) -> tuple[np.ndarray, int]:
     return np.sort(marks.astype(np.uint64)), shift
 
 
+def frequency_test(spark: SparkSession, marks: np.ndarray, shift: int):
+    """A function that tasks call: which of some tokens are frequent."""
+    held = spark.sparkContext.broadcast(marks)  # at most FREQUENT_TOKENS
+
+    def is_frequent(tokens: np.ndarray) -> np.ndarray:
+        marks, own = held.value, tokens >> np.uint64(shift)
+        if not len(marks):
+            return np.zeros(len(own), bool)
+        return marks[np.minimum(np.searchsorted(marks, own), len(marks) - 1)] == own
+
+    return is_frequent
+
+
 def index_keys(tokens: np.ndarray, often: np.ndarray, similar: Similarity) -> tuple[np.ndarray, np.ndarray]:
     """The keys a set is indexed by, and how many tokens it can share with whom it meets there first.
 
     ``often`` says which tokens are frequent.  Two sets first meet at their first
     shared token: what precedes it is not shared.  A set with pairs of frequent
     tokens is indexed by all its rare tokens, so sets that meet under such pairs
-    only share no rare token.
+    only share no rare token; there the number is negative, as a mark.
     """
     size = len(tokens)
     need = similar.need(size)
@@ -150,22 +164,18 @@ def index_keys(tokens: np.ndarray, often: np.ndarray, similar: Similarity) -> tu
         own = extended[extended % np.uint64(CLASSES) == c]
         i, j = np.triu_indices(len(own), 1)
         keys.append(wordhash.scramble(own[i] * np.uint64(0x9FB21C651E98DF25) + own[j]))
-        most.append(np.full(len(i), len(frequent)))
+        most.append(np.full(len(i), -len(frequent)))
     return np.concatenate(keys), np.concatenate(most)
 
 
-def described(texts: DataFrame, marks: np.ndarray, shift: int, similar: Similarity) -> DataFrame:
+def described(texts: DataFrame, is_frequent, similar: Similarity) -> DataFrame:
     """``id, named, size, rare, s1, s2, keys, most`` of each row; ``s1, s2`` identify its set."""
-    held = texts.sparkSession.sparkContext.broadcast(marks)
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        marks = held.value
         for batch in batches:
             rows = []
             for tokens in _sets(batch["text"].tolist(), similar.width):
-                own = tokens >> np.uint64(shift)
-                at = np.searchsorted(marks, own)
-                often = np.zeros(len(own), bool) if not len(marks) else marks[np.minimum(at, len(marks) - 1)] == own
+                often = is_frequent(tokens)
                 keys, most = index_keys(tokens, often, similar)
                 first = int(np.bitwise_xor.reduce(wordhash.scramble(tokens), initial=np.uint64(0)))
                 second = int(np.add.reduce(wordhash.scramble(tokens + np.uint64(1)), dtype=np.uint64))
@@ -173,6 +183,7 @@ def described(texts: DataFrame, marks: np.ndarray, shift: int, similar: Similari
                 rows.append((len(tokens), int((~often).sum()), *names, keys.view(np.int64), most.astype(np.int32)))
             out = pd.DataFrame(rows, columns=["size", "rare", "s1", "s2", "keys", "most"])
             yield pd.concat([batch[["id", "named"]].reset_index(drop=True), out], axis=1)
+        release_arrow_memory()
 
     schema = "id bigint, named boolean, size int, rare int, s1 bigint, s2 bigint, keys array<bigint>, most array<int>"
     return texts.mapInPandas(describe, schema)
@@ -205,20 +216,28 @@ def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     )
 
 
-def _verified(pairs: DataFrame, source: DataFrame, similar: Similarity) -> DataFrame:
-    """The stored pairs ``a, b`` whose whole texts link."""
+def _compared(pairs: DataFrame, source: DataFrame, similar: Similarity, is_frequent) -> DataFrame:
+    """The stored pairs ``a, b`` compared on whole texts.
+
+    ``links``, the tokens they have ``shared``, and how many frequent ones of a
+    lie ``outside`` of b.
+    """
 
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, own = None, None
         for batch in batches:
-            keep = []
+            found = []
             others = _sets(batch["text_b"].tolist(), similar.width)
             for a, text, other in zip(batch["a"], batch["text_a"], others):
                 if (a, text) != last:
                     last, own = (a, text), next(_sets([text], similar.width))
-                shared = len(np.intersect1d(own, other, assume_unique=True))
-                keep.append(similar.links(shared, len(own), len(other)))
-            yield batch.loc[keep, ["a", "b"]]
+                within = np.isin(own, other, assume_unique=True)
+                shared = int(within.sum())
+                outside = int(is_frequent(own[~within]).sum())
+                found.append((similar.links(shared, len(own), len(other)), shared, outside))
+            out = pd.DataFrame(found, columns=["links", "shared", "outside"])
+            yield pd.concat([batch[["a", "b"]].reset_index(drop=True), out], axis=1)
+        release_arrow_memory()
 
     ids = kept(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
     if ids.count() <= BROADCAST_IDS:
@@ -227,13 +246,17 @@ def _verified(pairs: DataFrame, source: DataFrame, similar: Similarity) -> DataF
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
-    return kept(both.mapInPandas(check, "a bigint, b bigint"), "verified")
+    schema = "a bigint, b bigint, links boolean, shared int, outside int"
+    return kept(both.mapInPandas(check, schema), "compared")
 
 
 def _fits(a: str, b: str, similar: Similarity) -> Column:
     """What two sets can share at most is enough to link them; columns ``{a}size, {a}most, ...``."""
-    shared = F.least(f"{a}most", f"{b}most")
-    return 100 * shared >= similar.percent * (F.col(f"{a}size") + F.col(f"{b}size") - shared)
+    return _enough(F.least(F.abs(f"{a}most"), F.abs(f"{b}most")), F.col(f"{a}size") + F.col(f"{b}size"), similar)
+
+
+def _enough(shared: Column, sizes: Column, similar: Similarity) -> Column:
+    return 100 * shared >= similar.percent * (sizes - shared)
 
 
 def _stars(met: DataFrame, similar: Similarity) -> DataFrame:
@@ -244,14 +267,21 @@ def _stars(met: DataFrame, similar: Similarity) -> DataFrame:
         .agg(F.count("*").alias("keys"))
     )
     best = counted.groupBy("node").agg(F.max_by("centre", F.struct("keys", -F.col("centre"))).alias("centre"))
-    return best.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    return best.select(F.col("node").alias("a"), F.col("centre").alias("b"))
 
 
-def _crossing(met: DataFrame, roots: DataFrame, similar: Similarity) -> DataFrame:
-    """Pairs that share a key and lie in different components."""
-    placed = kept(
-        met.drop("centre_size", "centre_most").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "placed"
-    )
+def _crossing(met: DataFrame, stars: DataFrame, roots: DataFrame, similar: Similarity) -> DataFrame:
+    """Pairs that share a key, lie in different components and may still link.
+
+    Two sets that meet under pairs of frequent tokens only share no rare token.
+    If both were compared with one hub, they share inside it no more than either
+    shares with it, and outside it no more than either has frequent tokens there:
+    who failed against the hub rarely can link to the hub's other near copies.
+    Such sets are paired by hub, once, and not again under each of their keys.
+    """
+    hubs = stars.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("shared").alias("inside"), "outside")
+    placed = met.drop("centre_size", "centre_most").join(hubs, "node", "left").join(roots, "node", "left")
+    placed = kept(placed.withColumn("root", F.coalesce("root", "node")), "placed")
     split = (
         placed.groupBy("key")
         .agg(
@@ -264,15 +294,36 @@ def _crossing(met: DataFrame, roots: DataFrame, similar: Similarity) -> DataFram
     )
     rows = kept(placed.join(split, "key"), "split-keys")
     few = rows.filter("root <> main").select(
-        "key", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("most").alias("a_most"), F.col("root").alias("a_root")
+        "key", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("size", "most", "root", "hub")]
     )
-    return (
+    by_key = (
         few.join(rows, "key")
         .filter("root <> a_root and (root = main or a < node)")
+        .filter("not (a_hub <=> node) and not (hub <=> a)")  # compared already
+        .filter("not (most < 0 and coalesce(hub = a_hub, false))")  # paired by hub
         .filter(_fits("a_", "", similar))
-        .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    )
+    hub_roots = roots.select(F.col("node").alias("hub"), F.col("root").alias("hub_root"))
+    around = (
+        rows.filter("most < 0 and hub is not null")
+        .select("node", "size", "root", "hub", "inside", "outside")
         .distinct()
+        .join(hub_roots, "hub", "left")
+        .withColumn("main", F.coalesce("hub_root", "hub"))
+        .drop("hub_root")
+    )
+    around = kept(around, "around-hubs")
+    outer = around.filter("root <> main").select(
+        "hub", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("size", "root", "inside", "outside")]
+    )
+    shared = F.least("inside", "a_inside") + F.least("outside", "a_outside")
+    by_hub = (
+        outer.join(around, "hub")
+        .filter("root <> a_root and (root = main or a < node)")
+        .filter(_enough(shared, F.col("size") + F.col("a_size"), similar))
     )
+    pair = [F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")]
+    return by_key.select(*pair).union(by_hub.select(*pair)).distinct()
 
 
 def join_components(
@@ -288,8 +339,8 @@ def join_components(
     and give no component id.  An empty table gives no rows.
     """
     source = identified(docs, id_col, text_col)
-    marks, shift = frequent_tokens(source, similar.width)
-    rows = kept(described(source, marks, shift, similar), "described")
+    is_frequent = frequency_test(docs.sparkSession, *frequent_tokens(source, similar.width))
+    rows = kept(described(source, is_frequent, similar), "described")
     by_set = rows.filter("size > 0").groupBy("s1", "s2")
     nodes = kept(by_set.agg(F.min("id").alias("node"), F.min(F.when(F.col("named"), F.col("id"))).alias("real")), "nodes")
 
@@ -302,11 +353,11 @@ def join_components(
         postings.repartition("key").mapInPandas(_meetings, _MET),
         "meetings",
     )
-    stars = kept(_stars(met, similar), "stars")
-    links = _verified(stars, source, similar)
-    crossing = _crossing(met, components(links), similar).join(stars, ["a", "b"], "left_anti")
-    links = links.union(_verified(kept(crossing, "crossing"), source, similar))
-    roots = components(links)
+    stars = _compared(kept(_stars(met, similar), "stars"), source, similar, is_frequent)
+    linked = stars.filter("links").select("a", "b")
+    crossing = kept(_crossing(met, stars, components(linked), similar), "crossing")
+    across = _compared(crossing, source, similar, is_frequent)
+    roots = components(linked.union(across.filter("links").select("a", "b")))
 
     rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("real").alias("component_id"), F.min("node").alias("least_node"))

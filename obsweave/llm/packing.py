@@ -23,10 +23,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from obsweave.llm.common import kept, whole_text
+from obsweave.llm.common import kept, release_arrow_memory, whole_text
 
 END_ID = 1  # follows the ids of every document
-MEMO_WORDS = 400_000  # words whose ids a worker remembers, and as many older ones
+MEMO_WORDS = 300_000  # words whose ids a task remembers, and as many older ones
 RANK_ROWS = 200_000  # pieces of one length that one task ranks
 
 _PIECES = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -122,6 +122,8 @@ def _cutter(tokenizer_path: str, capacity: int):
                     own = ids[at : at + step]
                     rows.append((doc_id, piece, at // 4, len(own) // 4, zlib.crc32(own)))
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        encoder.memo, encoder.older = {}, {}  # the worker goes on to other work
+        release_arrow_memory()
 
     return cut
 

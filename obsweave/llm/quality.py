@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsweave.llm import wordhash
-from obsweave.llm.common import kept, whole_text
+from obsweave.llm.common import kept, release_arrow_memory, whole_text
 
 SAMPLE = 8_000  # labelled documents that a fit takes at most
 BINS = 1 << 18  # hashed words
@@ -27,6 +27,7 @@ TELLING = 640  # bins that the model of a flaw may weigh
 SURE = 3.0  # standard errors that a telling bin differs by
 RIDGE = 0.3
 BROADCAST_PATHS = 100_000  # beyond, verdicts join by shuffle
+SCORED = 500  # texts whose features a task holds at once
 MARGIN = 12.0  # evidence is held within this many log odds
 
 _KINDS = np.zeros(256, np.int64)  # other
@@ -171,7 +172,9 @@ def evidence(model: Model, text: Column) -> Column:
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(model.evidence(batch.tolist()))
+            parts = [model.evidence(batch.iloc[at : at + SCORED].tolist()) for at in range(0, len(batch), SCORED)]
+            yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
+        release_arrow_memory()
 
     return score(text)
 

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-SLICE = 1 << 20  # bytes hashed at once
+SLICE = 1 << 18  # bytes hashed at once
 _ROOT = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ROOT, -1, 1 << 64)
 _BYTES = np.random.Generator(np.random.PCG64(7)).integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -67,24 +67,28 @@ def _long_words(raw: bytes, separators: np.ndarray) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def _joined_words(raws: list[bytes], separators: np.ndarray) -> list[np.ndarray]:
+    """Word hashes of each of several texts that fit one slice together."""
+    starts, hashes = _slice_words(b"\n".join(raws), separators)
+    offsets = np.cumsum([0] + [len(r) + 1 for r in raws])
+    return np.split(hashes, np.searchsorted(starts, offsets[1:-1]))
+
+
 def words(texts: list[str], separators: np.ndarray = WHITE) -> Iterator[np.ndarray]:
     """The word hashes of each text, in order of the text."""
-    raws = [t.encode("utf-8", "surrogatepass").lower() for t in texts]  # bytes.lower is ASCII only
-    at = 0
-    while at < len(raws):
-        if len(raws[at]) > SLICE:
-            yield _long_words(raws[at], separators)
-            at += 1
-            continue
-        stop, size = at, 0
-        while stop < len(raws) and size + len(raws[stop]) <= SLICE:
-            size += len(raws[stop]) + 1
-            stop += 1
-        stop = max(stop, at + 1)
-        starts, hashes = _slice_words(b"\n".join(raws[at:stop]), separators)
-        offsets = np.cumsum([0] + [len(r) + 1 for r in raws[at:stop]])
-        yield from np.split(hashes, np.searchsorted(starts, offsets[1:-1]))
-        at = stop
+    pending, size = [], 0
+    for text in texts:
+        raw = text.encode("utf-8", "surrogatepass").lower()  # bytes.lower is ASCII only
+        if pending and size + len(raw) > SLICE:
+            yield from _joined_words(pending, separators)
+            pending, size = [], 0
+        if len(raw) > SLICE:
+            yield _long_words(raw, separators)
+        else:
+            pending.append(raw)
+            size += len(raw) + 1
+    if pending:
+        yield from _joined_words(pending, separators)
 
 
 def shingle_set(hashes: np.ndarray, width: int) -> np.ndarray:
