@@ -40,6 +40,8 @@ def candidates(host: Column, path: Column, lengths: Sequence[int]) -> Column:
 
     Longest key first; of equal lengths, the one with the longer host first.
     """
+    if not lengths:  # no rules
+        return F.array().cast("array<string>")
     labels = F.split(host, r"\.", -1)
     count = F.size(labels)
     suffixes = F.transform(
