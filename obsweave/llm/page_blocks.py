@@ -9,11 +9,14 @@ DROP, MAIN, OPEN = 0, 1, 2  # boilerplate by markup; inside the article; neither
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|textarea|iframe|svg|canvas|object|title|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|textarea|title|xmp)(?=[\s/>])[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<soft>template|iframe|svg|canvas|object)(?=[\s/>])[^>]*>"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|</?[a-z][^>]*>|<[!?/][^>]*>",
     re.S | re.I,
 )
+# Elements whose content is no text; without an end tag only their tag is dropped.
+_SOFT_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("template", "iframe", "svg", "canvas", "object")}
 _ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small "
@@ -69,11 +72,19 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if text:
             found.append((*(stack[-1][1:] if stack else (False, False, False)), text))
 
-    at = 0
-    for token in _TOKEN.finditer(page):
+    at, unclosed = 0, set()  # names without an end tag from here on
+    while token := _TOKEN.search(page, at):
         if token.start() > at:
             pending.append(page[at : token.start()])
         at = token.end()
+        if soft := token["soft"]:
+            soft = soft.lower()
+            if soft not in unclosed and not (soft == "svg" and token[0].endswith("/>")):
+                if end := _SOFT_END[soft].search(page, at):
+                    at = end.end()
+                else:
+                    unclosed.add(soft)
+            continue
         name = token["name"]
         if not name:
             continue

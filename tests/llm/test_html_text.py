@@ -41,6 +41,19 @@ def test_markup():
     assert blocks("<p>unclosed <b>tag <article") != []
 
 
+def test_raw_elements_end_where_they_end():
+    texts = lambda page: " ".join(t for _, t in blocks(page))
+    for name in ("svg-icon", "title-bar", "template-x", "object-list", "script-note"):
+        assert texts(f"<p>a</p><{name} n=x></{name}><p>rest") == "a rest"
+    for tag in ("<svg class=i/>", "<svg/>", '<SVG class="i" />'):
+        assert texts(f"<p>a</p>{tag}<p>rest</p><svg><text>no</text></svg><p>end") == "a rest end"
+    for name in ("svg", "object", "canvas", "iframe", "template"):
+        assert texts(f"<p>a</p><{name} class=x><p>rest</p><{name}><p>end") == "a rest end"
+        assert texts(f"<p>a</p><{name} class=x><b>no</b></{name.upper()} ><p>rest") == "a rest"
+    for name in ("script", "style", "title", "textarea", "xmp", "noscript"):
+        assert texts(f"<p>a</p><{name}><p>no") == "a"
+
+
 def test_repeated_runs_fall_outside_articles(spark):
     menu = "home news sport travel weather contact about imprint legal"
     rows = [(i, f"http://a.b/{i}", f"<div>{menu}</div><p>page {i} says something of its own number {i}</p>") for i in range(6)]
