@@ -13,8 +13,11 @@ from __future__ import annotations
 
 import json
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from hashlib import blake2b
+from operator import xor
 
 import numpy as np
 import pandas as pd
@@ -27,8 +30,8 @@ from obsweave.llm.page_blocks import DROP, MAIN, blocks
 
 LONG = 8  # tokens of a repeated substring at least; a power of two
 CHUNK_PAGES = 1_000  # pages of a host whose streams are ordered together
-TEMPLATE_SHARE = 0.8  # of a chunk's pages that repeat a template block inside articles
-TEMPLATE_PAGES = 20
+TEMPLATE_SHARE = 0.8  # of a host's different pages that repeat a template block inside articles
+TEMPLATE_PAGES = 20  # different pages at least, as on few any share is chance
 
 _BLOCKS = "page_id string, url string, host string, blocks binary"
 _TEXTS = "page_id string, url string, text string, n_chars bigint"
@@ -74,8 +77,28 @@ def _long_runs(marks: np.ndarray) -> np.ndarray:
     return out
 
 
+def _block_hash(text: str) -> int:
+    """Of the words as they are compared: A-Z in lower case."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass").lower(), digest_size=8).digest(), "little", signed=True)
+
+
+def said(page: list[tuple[int, str]]) -> tuple[int, set[int]]:
+    """What a page says, and the hashes of its blocks inside the article.
+
+    Pages with equal blocks outside boilerplate say the same: they are copies,
+    and none is evidence against another.  Taking a block's hash out of the
+    first (by xor) gives what the page says besides that block.
+    """
+    own = {text: _block_hash(text) for zone, text in page if zone != DROP}
+    return reduce(xor, set(own.values()), 0), {own[text] for zone, text in page if zone == MAIN}
+
+
 def unique_runs(pages: list[list[tuple[int, str]]]) -> Iterator[str]:
-    """The text of each page of one chunk of a host."""
+    """The text of each page of one chunk of a host.
+
+    Copies count as one page.  A block inside articles is a template where
+    enough pages hold it that differ in what else they say.
+    """
     words = [[text.split() for _, text in page] for page in pages]
     streams = [np.array(h) for h in wordhash.words([" ".join(" ".join(w) for w in page) for page in words])]
     # Words of the hash end at ASCII white space, those of split() at any; where
@@ -87,16 +110,22 @@ def unique_runs(pages: list[list[tuple[int, str]]]) -> Iterator[str]:
     ends = [np.array([i], np.uint64) for i in range(len(pages))]
     tokens = np.concatenate([part for pair in zip(streams, ends) for part in pair] or [np.empty(0, np.uint64)])
     lengths = np.array([len(s) + 1 for s in streams], np.int64)
-    covered = repeated(tokens, np.repeat(np.arange(len(pages)), lengths))
-    holders = Counter(text for page in pages for text in {text for zone, text in page if zone == MAIN})
-    template = max(TEMPLATE_PAGES, TEMPLATE_SHARE * len(pages))
+    same, main = zip(*map(said, pages)) if pages else ((), ())
+    copies = np.unique(np.array(same, np.int64), return_inverse=True)[1]
+    covered = repeated(tokens, np.repeat(copies, lengths))
+    others = defaultdict(set)
+    for own, held in zip(same, main):
+        for block in held:
+            others[block].add(own ^ block)
+    enough = max(TEMPLATE_PAGES, TEMPLATE_SHARE * len(set(same)))
+    templates = {block for block, besides in others.items() if len(besides) >= enough}
     at = 0
     for page, page_words in zip(pages, words):
         parts = []
         for (zone, text), own in zip(page, page_words):
             marks = covered[at : at + len(own)]
             at += len(own)
-            if zone == DROP or (zone == MAIN and holders[text] >= template and marks.all()):
+            if zone == DROP or (zone == MAIN and marks.all() and _block_hash(text) in templates):
                 continue
             if zone == MAIN:
                 parts.append(text)
@@ -132,7 +161,8 @@ def main_text(
     Blocks in page order are joined by one blank, white space inside them is one
     blank, character references are decoded.  Null html or nothing but
     boilerplate gives an empty text; a null url belongs to the host without a
-    name; repeated rows are pages of their own; other columns are not read; an
+    name; repeated rows have a
+    text each, and copies are no evidence against each other; other columns are not read; an
     empty table gives no rows.  A host of more than ``CHUNK_PAGES`` pages is
     dealt into chunks of about that many, by id; repeats are sought in each.
     """

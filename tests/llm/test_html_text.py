@@ -76,6 +76,19 @@ def test_template_block_inside_articles():
     assert list(html_text.unique_runs(pages)) == [f"{notice if i % 2 else f'own {i}'} text {i}" for i in range(30)]
 
 
+def test_copies_are_one_page():
+    notice, story = "read all our terms and conditions before you go on", "one story that many rows carry again and again"
+    for zone in (MAIN, OPEN):
+        copies = [[(DROP, f"menu {i} of some words that every page has {i % 3}"), (zone, story), (zone, "short end")] for i in range(30)]
+        assert list(html_text.unique_runs(copies)) == [f"{story} short end"] * 30
+        assert list(html_text.unique_runs([copies[0]] * 30)) == [f"{story} short end"] * 30
+    # A template still goes where enough pages differ, from each of their copies too.
+    pages = [[(MAIN, notice), (MAIN, f"text {i} and more words that differ {i}")] for i in range(25) for _ in range(3 + 40 * (i == 7))]
+    assert list(html_text.unique_runs(pages)) == [page[1][1] for page in pages]
+    pages = [[(MAIN, notice), (MAIN, f"text {i % 19}")] for i in range(60)]
+    assert list(html_text.unique_runs(pages)) == [f"{notice} text {i % 19}" for i in range(60)]
+
+
 def test_repeats_by_brute_force():
     draw = np.random.Generator(np.random.PCG64(1))
     for _ in range(30):
