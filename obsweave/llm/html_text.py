@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from obsweave.llm import wordhash
 from obsweave.llm.common import kept, lower_ascii
-from obsweave.llm.page_blocks import DROP, MAIN, blocks
+from obsweave.llm.page_blocks import DROP, MAIN, OPEN, blocks
 
 LONG = 8  # tokens of a repeated substring at least; a power of two
-CHUNK_PAGES = 1_000  # pages of a host whose streams are ordered together
+CHUNK_PAGES = 1_000  # rows of a host that one task takes together
 TEMPLATE_SHARE = 0.8  # of a host's different pages that repeat a template block inside articles
 TEMPLATE_PAGES = 20  # different pages at least, as on few any share is chance
 
-_BLOCKS = "page_id string, url string, host string, blocks binary"
+_BLOCKS = "page_id string, url string, host string, same bigint, open boolean, blocks binary"
 _TEXTS = "page_id string, url string, text string, n_chars bigint"
 
 
@@ -93,13 +93,12 @@ def said(page: list[tuple[int, str]]) -> tuple[int, set[int]]:
     return reduce(xor, set(own.values()), 0), {own[text] for zone, text in page if zone == MAIN}
 
 
-def unique_runs(pages: list[list[tuple[int, str]]]) -> Iterator[str]:
-    """The text of each page of one chunk of a host.
+def _unpacked(packed: bytes) -> list[tuple[int, str]]:
+    return [tuple(b) for b in json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))]
 
-    Copies count as one page.  A block inside articles is a template where
-    enough pages hold it that differ in what else they say.
-    """
-    words = [[text.split() for _, text in page] for page in pages]
+
+def _streams(words: list[list[list[str]]]) -> list[np.ndarray]:
+    """The word hashes of each page, block after block."""
     streams = [np.array(h) for h in wordhash.words([" ".join(" ".join(w) for w in page) for page in words])]
     # Words of the hash end at ASCII white space, those of split() at any; where
     # a page has other white space its words are hashed one by one.
@@ -107,18 +106,60 @@ def unique_runs(pages: list[list[tuple[int, str]]]) -> Iterator[str]:
         n = sum(map(len, page))
         if len(streams[i]) != n:
             streams[i] = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for p in page for w in p), np.uint64, n)
-    ends = [np.array([i], np.uint64) for i in range(len(pages))]
-    tokens = np.concatenate([part for pair in zip(streams, ends) for part in pair] or [np.empty(0, np.uint64)])
+    return streams
+
+
+def _windows(tokens: np.ndarray) -> np.ndarray:
+    """The hash of each ``LONG`` tokens of a page that follow one another."""
+    hashes = np.zeros(max(0, len(tokens) - LONG + 1), np.uint64)
+    for i in range(LONG if len(hashes) else 0):
+        hashes += tokens[i : i + len(hashes)] * wordhash._COEFFICIENTS[i]
+    return wordhash.scramble(hashes).view(np.int64)
+
+
+def _inside(tokens: np.ndarray, windows: np.ndarray) -> np.ndarray:
+    """Which tokens of a page lie in one of the windows, given in order."""
+    own = _windows(tokens)
+    hit = np.zeros(len(own), bool)
+    if len(windows):
+        hit = windows[np.minimum(np.searchsorted(windows, own), len(windows) - 1)] == own
+    edges = np.zeros(len(tokens) + LONG, np.int64)
+    edges[: len(own)] += hit
+    edges[LONG : LONG + len(own)] -= hit
+    return np.cumsum(edges)[: len(tokens)] > 0
+
+
+def unique_runs(
+    pages: list[list[tuple[int, str]]], templates: set[int] | None = None, windows: np.ndarray | None = None
+) -> Iterator[str]:
+    """The text of each page of a host, or of one chunk of it.
+
+    Copies count as one page.  A block inside articles is a template where
+    enough pages hold it that differ in what else they say.  Of a chunk,
+    ``templates`` are those of the whole host, and ``windows`` the hashes, in
+    order, of what lies on different pages of the host and in the chunk.
+    """
+    words = [[text.split() for _, text in page] for page in pages]
+    streams = _streams(words)
     lengths = np.array([len(s) + 1 for s in streams], np.int64)
-    same, main = zip(*map(said, pages)) if pages else ((), ())
-    copies = np.unique(np.array(same, np.int64), return_inverse=True)[1]
-    covered = repeated(tokens, np.repeat(copies, lengths))
-    others = defaultdict(set)
-    for own, held in zip(same, main):
-        for block in held:
-            others[block].add(own ^ block)
-    enough = max(TEMPLATE_PAGES, TEMPLATE_SHARE * len(set(same)))
-    templates = {block for block, besides in others.items() if len(besides) >= enough}
+    if templates is None:
+        same, main = zip(*map(said, pages)) if pages else ((), ())
+        others = defaultdict(set)
+        for own, held in zip(same, main):
+            for block in held:
+                others[block].add(own ^ block)
+        enough = max(TEMPLATE_PAGES, TEMPLATE_SHARE * len(set(same)))
+        templates = {block for block, besides in others.items() if len(besides) >= enough}
+        if templates or any(zone == OPEN for page in pages for zone, _ in page):
+            ends = [np.array([i], np.uint64) for i in range(len(pages))]
+            tokens = np.concatenate([part for pair in zip(streams, ends) for part in pair])
+            copies = np.unique(np.array(same, np.int64), return_inverse=True)[1]
+            covered = repeated(tokens, np.repeat(copies, lengths))
+        else:  # nothing that repeats decide
+            covered = np.zeros(lengths.sum(), bool)
+    else:
+        none = np.zeros(1, bool)
+        covered = np.concatenate([part for s in streams for part in (_inside(s, windows), none)] or [none])
     at = 0
     for page, page_words in zip(pages, words):
         parts = []
@@ -147,12 +188,59 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            packed = [zlib.compress(json.dumps(blocks(h), ensure_ascii=False).encode("utf-8", "surrogatepass"), 1) for h in batch["html"]]
-            yield batch[["page_id", "url", "host"]].assign(blocks=packed)
+            found = [blocks(h) for h in batch["html"]]
+            packed = [zlib.compress(json.dumps(b, ensure_ascii=False).encode("utf-8", "surrogatepass"), 6) for b in found]
+            yield batch[["page_id", "url", "host"]].assign(
+                same=[said(b)[0] for b in found], open=[any(z == OPEN for z, _ in b) for b in found], blocks=packed
+            )
 
     return source.mapInPandas(parse, _BLOCKS)
 
 
+def _host_templates(large: DataFrame, hosts: DataFrame) -> DataFrame:
+    """``host, templates`` of the hosts that have such blocks; ``large`` are rows of large hosts."""
+
+    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (host, block, same ^ block)
+                for host, same, packed in zip(batch["host"], batch["same"], batch["blocks"])
+                for block in said(_unpacked(packed))[1]
+            ]
+            yield pd.DataFrame(rows, columns=["host", "block", "besides"])
+
+    besides = large.select("host", "same", "blocks").mapInPandas(held, "host string, block bigint, besides bigint")
+    holders = besides.distinct().groupBy("host", "block").agg(F.count("*").alias("holders"))
+    enough = F.greatest(F.lit(TEMPLATE_PAGES), F.lit(TEMPLATE_SHARE) * F.col("different"))
+    # At most 1 / TEMPLATE_SHARE times the blocks of a page.
+    found = holders.filter(F.col("holders") >= TEMPLATE_PAGES).join(hosts, "host").filter(F.col("holders") >= enough)
+    return kept(found.groupBy("host").agg(F.collect_list("block").alias("templates")), "templates")
+
+
+def _host_windows(dealt: DataFrame) -> DataFrame:
+    """``host, chunk, window`` of every window of a chunk that different pages of its host share."""
+
+    def seen(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("blocks")
+        streams = _streams([[text.split() for _, text in _unpacked(p)] for p in rows["blocks"]])
+        found = [_windows(s) for s in streams]
+        windows = np.concatenate(found)
+        same = np.repeat(rows["same"].to_numpy(np.int64), [len(w) for w in found])
+        order = np.argsort(windows, kind="stable")
+        windows, same = windows[order], same[order]
+        starts = np.flatnonzero(np.r_[True, windows[1:] != windows[:-1]][: len(windows)])
+        low, high = (f.reduceat(same, starts) if len(starts) else same for f in (np.minimum, np.maximum))
+        key = rows[["host", "chunk"]].iloc[[0] * len(starts)].reset_index(drop=True)
+        return key.assign(window=windows[starts], low=low, high=high)
+
+    schema = "host string, chunk bigint, window bigint, low bigint, high bigint"
+    rows = dealt.select("host", "chunk", "same", "blocks").groupBy("host", "chunk").applyInPandas(seen, schema)
+    rows = kept(rows, "windows")
+    shared = rows.groupBy("host", "window").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    shared = kept(shared.filter("low < high").select("host", "window"), "shared-windows")
+    return rows.select("host", "chunk", "window").join(shared, ["host", "window"], "left_semi")
+
+
 def main_text(
     pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
@@ -161,29 +249,39 @@ def main_text(
     Blocks in page order are joined by one blank, white space inside them is one
     blank, character references are decoded.  Null html or nothing but
     boilerplate gives an empty text; a null url belongs to the host without a
-    name; repeated rows have a
-    text each, and copies are no evidence against each other; other columns are not read; an
-    empty table gives no rows.  A host of more than ``CHUNK_PAGES`` pages is
-    dealt into chunks of about that many, by id; repeats are sought in each.
+    name; repeated rows have a text each, and copies are no evidence against each
+    other; other columns are not read; an empty table gives no rows.  Repeats are
+    sought in whole hosts.  One of more than ``CHUNK_PAGES`` rows is dealt into
+    chunks of about that many; what its pages share is found by aggregates over
+    all of them first, so the chunks do not show in the result.
     """
-    hosts = lower_ascii(
-        F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[^:/?#]*://([^/?#]*)", 1)
+    rows = parsed(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id())
+    rows = kept(rows, "parsed")
+    said_once = rows.groupBy("host", "same").agg(F.count("*").alias("rows"), F.max("open").alias("open"))
+    sizes = said_once.groupBy("host").agg(
+        F.sum("rows").alias("rows"), F.count("*").alias("different"), F.max("open").alias("any_open")
     )
-    sizes = pages.select(hosts.alias("_host")).groupBy("_host").agg(F.count("*").alias("pages"))
     # Stored, so that AQE can split the host of a third of the pages.
-    sizes = kept(sizes, "hosts")
-    chunks = F.ceil(F.col("pages") / CHUNK_PAGES)
-    dealt = (
-        parsed(pages, id_col, url_col, html_col)
-        .join(sizes, F.col("host") == F.col("_host"))
-        .withColumn("chunk", F.pmod(F.xxhash64("page_id", "url"), chunks))
-        .select("page_id", "url", "host", "blocks", "chunk")
-    )
+    sizes = kept(sizes.withColumn("chunks", F.ceil(F.col("rows") / CHUNK_PAGES)).drop("rows"), "hosts")
+    large = sizes.filter("chunks > 1")
+    templates = _host_templates(rows.join(large.select("host"), "host", "left_semi"), large)
+    facts = kept(sizes.join(templates, "host", "left"), "host-facts")
+    dealt = rows.join(facts, "host").withColumn("chunk", F.pmod(F.xxhash64("row"), "chunks"))
+    # Where no page is open and no block a template, repeats decide nothing.
+    windows = _host_windows(dealt.filter("chunks > 1 and (any_open or templates is not null)"))
 
-    def extract(rows: pd.DataFrame) -> pd.DataFrame:
-        unpacked = [[tuple(b) for b in json.loads(zlib.decompress(p).decode("utf-8", "surrogatepass"))] for p in rows["blocks"]]
-        text = list(unique_runs(unpacked))
+    def extract(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        once = rows.drop_duplicates("blocks")
+        unpacked = [_unpacked(p) for p in once["blocks"]]
+        if len(rows) and rows["chunks"].iloc[0] > 1:
+            held = rows["templates"].iloc[0]
+            told = set() if held is None else set(map(int, held)), np.sort(found["window"].to_numpy(np.int64))
+        else:
+            told = ()
+        texts = dict(zip(once["blocks"], unique_runs(unpacked, *told)))
+        text = [texts[p] for p in rows["blocks"]]
         return rows[["page_id", "url"]].assign(text=text, n_chars=[len(t) for t in text])
 
-    texts = dealt.groupBy("host", "chunk").applyInPandas(extract, _TEXTS)
+    own = dealt.select("page_id", "url", "host", "chunk", "chunks", "templates", "blocks").groupBy("host", "chunk")
+    texts = own.cogroup(windows.groupBy("host", "chunk")).applyInPandas(extract, _TEXTS)
     return texts.withColumn("page_id", F.col("page_id").cast("bigint"))

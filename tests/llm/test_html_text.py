@@ -89,6 +89,24 @@ def test_copies_are_one_page():
     assert list(html_text.unique_runs(pages)) == [f"{notice} text {i % 19}" for i in range(60)]
 
 
+def test_chunks_do_not_show(spark, monkeypatch):
+    draw = np.random.Generator(np.random.PCG64(2))
+    word = lambda n: " ".join(f"w{i}" for i in draw.integers(0, 10**6, n))
+    pair = [word(12) for _ in range(20)]  # each on two pages of 40 only
+    rows = [(i, f"http://big/{i}", f"<div>{pair[i % 20]}</div><p>{word(9)}</p><p>end</p>") for i in range(40)]
+    notice = word(4)  # short: goes only where its neighbours repeat as well
+    rows += [(100 + i, f"http://news/{i}", f"<article><p>{notice}<p>{'a b c d e f' if i % 2 else word(6)}<p>{word(5)}</article>") for i in range(30)]
+    rows += [(200 + i, "http://news/copy", rows[45][2]) for i in range(25)]
+    rows += [(300, "http://big/copy", rows[3][2])] * 25 + [(400, "http://small/", rows[3][2]), (401, None, "")]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    texts = lambda: sorted((r.page_id, r.text) for r in html_text.main_text(pages).collect())
+    want = texts()
+    assert not any(p in t for i, t in want if i < 40 or i == 300 for p in pair)
+    for size in (7, 3):
+        monkeypatch.setattr(html_text, "CHUNK_PAGES", size)
+        assert texts() == want
+
+
 def test_repeats_by_brute_force():
     draw = np.random.Generator(np.random.PCG64(1))
     for _ in range(30):
