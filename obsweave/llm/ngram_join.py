@@ -17,6 +17,7 @@ components is missed.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,9 +38,6 @@ FLUSH_TOKENS = 1_000_000  # tokens that a counting task holds before it sends th
 BROADCAST_IDS = 2_000_000  # ids (16 MB) up to which texts are looked up without a shuffle
 
 
-_MET = "key bigint, node bigint, size int, most int, centre bigint, centre_size int, centre_most int"
-
-
 @dataclass(frozen=True)
 class Similarity:
     """Shingle width, and the Jaccard similarity in percent that links."""
@@ -189,31 +187,31 @@ def described(texts: DataFrame, is_frequent, similar: Similarity) -> DataFrame:
     return texts.mapInPandas(describe, schema)
 
 
-def _meetings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of one partition's postings, those whose key several nodes have, with the key's centre."""
-    frames = [b for b in batches if len(b)]
-    if not frames:
-        return
-    rows = pd.concat(frames, ignore_index=True)
-    order = np.lexsort((rows["node"], rows["rare"], rows["key"]))
-    key, node = rows["key"].to_numpy()[order], rows["node"].to_numpy()[order]
-    own = np.r_[True, (key[1:] != key[:-1]) | (node[1:] != node[:-1])]
-    order, key, node = order[own], key[own], node[own]
-    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-    length = np.diff(np.r_[starts, len(key)])
-    shared = np.repeat(length > 1, length)
-    yield pd.DataFrame(
-        {
-            "key": key[shared],
-            "node": node[shared],
-            "size": (size := rows["size"].to_numpy()[order])[shared],
-            "most": (most := rows["most"].to_numpy()[order])[shared],
-            # First in order: the one with the fewest rare tokens.
-            "centre": np.repeat(node[starts], length)[shared],
-            "centre_size": np.repeat(size[starts], length)[shared],
-            "centre_most": np.repeat(most[starts], length)[shared],
-        }
+def _meetings(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The postings whose key several nodes have, with the key's centre: a node with the fewest rare tokens.
+
+    Keys are counted by combining aggregates and joined to stored postings, so
+    memory is bounded at any number of postings a partition and AQE can split the
+    key that a third of all nodes have.
+    """
+    # Of all rows: copies of one set only add keys that fall below.
+    often = rows.filter("size > 0").select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("rows"))
+    often = kept(often.filter("rows > 1").select("key"), "met-keys")
+    spoken = rows.join(nodes.select("row"), "row")
+    pair = F.explode(F.arrays_zip("keys", "most")).alias("pair")
+    postings = spoken.select(F.col("id").alias("node"), "size", "rare", pair).select(
+        "node", "size", "rare", F.col("pair.keys").alias("key"), F.col("pair.most").alias("most")
     )
+    postings = kept(postings.join(often, "key"), "postings")
+    # One number, so that the aggregate works in place; ties are as good as any.
+    rank = F.shiftleft(F.col("rare").cast("bigint"), 32).bitwiseOR(F.hash("node").cast("bigint").bitwiseAND(0xFFFFFFFF))
+    centres = postings.withColumn("rank", rank).groupBy("key").agg(
+        F.count("*").alias("nodes"),
+        *[F.min_by(c, "rank").alias(n) for c, n in (("node", "centre"), ("size", "centre_size"), ("most", "centre_most"))],
+    )
+    centres = kept(centres.filter("nodes > 1").drop("nodes"), "centres")
+    met = postings.join(centres, "key")
+    return met.select("key", "node", "size", "most", "centre", "centre_size", "centre_most")
 
 
 def _compared(pairs: DataFrame, source: DataFrame, similar: Similarity, is_frequent) -> DataFrame:
@@ -278,6 +276,8 @@ def _crossing(met: DataFrame, stars: DataFrame, roots: DataFrame, similar: Simil
     shares with it, and outside it no more than either has frequent tokens there:
     who failed against the hub rarely can link to the hub's other near copies.
     Such sets are paired by hub, once, and not again under each of their keys.
+    Only those are paired whose sizes lie in the same or neighbouring bands: of
+    sets that link, the smaller has ``percent`` of the larger's size at least.
     """
     hubs = stars.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("shared").alias("inside"), "outside")
     placed = met.drop("centre_size", "centre_most").join(hubs, "node", "left").join(roots, "node", "left")
@@ -312,13 +312,18 @@ def _crossing(met: DataFrame, stars: DataFrame, roots: DataFrame, similar: Simil
         .withColumn("main", F.coalesce("hub_root", "hub"))
         .drop("hub_root")
     )
-    around = kept(around, "around-hubs")
+    # The most it can share with any other there must do for a set that is as small as may be.
+    around = around.filter(100 * (F.col("inside") + F.col("outside")) >= similar.percent * F.col("size"))
+    # A little wider than the ratio, so that rounding parts no pair by two bands.
+    width = math.log(100 / similar.percent) + 1e-6
+    around = kept(around.withColumn("band", F.floor(F.log("size") / F.lit(width))), "around-hubs")
     outer = around.filter("root <> main").select(
-        "hub", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("size", "root", "inside", "outside")]
+        "hub", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("size", "root", "inside", "outside")],
+        F.explode(F.array(*[F.col("band") + step for step in (-1, 0, 1)])).alias("band"),
     )
     shared = F.least("inside", "a_inside") + F.least("outside", "a_outside")
     by_hub = (
-        outer.join(around, "hub")
+        outer.join(around, ["hub", "band"])
         .filter("root <> a_root and (root = main or a < node)")
         .filter(_enough(shared, F.col("size") + F.col("a_size"), similar))
     )
@@ -340,26 +345,21 @@ def join_components(
     """
     source = identified(docs, id_col, text_col)
     is_frequent = frequency_test(docs.sparkSession, *frequent_tokens(source, similar.width))
-    rows = kept(described(source, is_frequent, similar), "described")
+    rows = described(source, is_frequent, similar).withColumn("row", F.monotonically_increasing_id())
+    rows = kept(rows, "described")
     by_set = rows.filter("size > 0").groupBy("s1", "s2")
-    nodes = kept(by_set.agg(F.min("id").alias("node"), F.min(F.when(F.col("named"), F.col("id"))).alias("real")), "nodes")
+    spoken = F.min(F.struct("id", "row")).alias("spoken")
+    nodes = by_set.agg(spoken, F.min(F.when(F.col("named"), F.col("id"))).alias("real"))
+    nodes = kept(nodes.select("s1", "s2", F.col("spoken.id").alias("node"), F.col("spoken.row").alias("row"), "real"), "nodes")
 
-    spoken = rows.filter("size > 0").join(nodes, ["s1", "s2"]).filter("id = node")
-    pair = F.explode(F.arrays_zip("keys", "most")).alias("pair")
-    postings = spoken.select("node", "size", "rare", pair).select(
-        "node", "size", "rare", F.col("pair.keys").alias("key"), F.col("pair.most").alias("most")
-    )
-    met = kept(
-        postings.repartition("key").mapInPandas(_meetings, _MET),
-        "meetings",
-    )
+    met = kept(_meetings(rows, nodes), "meetings")
     stars = _compared(kept(_stars(met, similar), "stars"), source, similar, is_frequent)
     linked = stars.filter("links").select("a", "b")
     crossing = kept(_crossing(met, stars, components(linked), similar), "crossing")
     across = _compared(crossing, source, similar, is_frequent)
     roots = components(linked.union(across.filter("links").select("a", "b")))
 
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = nodes.drop("row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("real").alias("component_id"), F.min("node").alias("least_node"))
     placed = kept(rooted.join(least, "root").select("s1", "s2", "component_id", "least_node"), "components")
     own = F.when(F.col("named"), F.col("id"))

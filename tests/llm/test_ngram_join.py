@@ -88,6 +88,23 @@ def test_odd_rows(frame):
     assert ngram_join.join_components(frame([])).collect() == []
 
 
+def test_meetings_of_a_hot_key(spark):
+    """No Python and no sort of whole partitions; one row of a set speaks for it."""
+    rows = [(i, True, 9, i % 5 + 1, i, i, [7, 100 + i, 200 + i // 2], [9, 8, 7], i) for i in range(60)]
+    rows += [(0, True, 9, 1, 0, 0, [7, 100, 200], [9, 8, 7], 60 + i) for i in range(5)]
+    schema = "id bigint, named boolean, size int, rare int, s1 bigint, s2 bigint, keys array<bigint>, most array<int>, row bigint"
+    nodes = spark.createDataFrame([(i,) for i in range(60)], "row bigint")
+    met = ngram_join._meetings(spark.createDataFrame(rows, schema), nodes)
+    plan = met._jdf.queryExecution().toString()
+    assert "InPandas" not in plan and "Window" not in plan
+    found = met.collect()
+    assert sorted((r.key, r.node) for r in found) == sorted([(7, i) for i in range(60)] + [(200 + i // 2, i) for i in range(60)])
+    centre = {r.key: r.centre for r in found}
+    assert len({(r.key, r.centre) for r in found}) == len(centre) == 31 and centre[7] % 5 == 0
+    assert all(centre[200 + i // 2] == min((i // 2 * 2, i // 2 * 2 + 1), key=lambda n: n % 5) for i in range(60))
+    assert all((r.size, r.centre_size, r.centre_most) == (9, 9, 9 if r.key == 7 else 7) for r in found)
+
+
 def test_components(spark):
     draw = random.Random(3)
     links = [(draw.randint(0, 300), draw.randint(0, 300)) for _ in range(170)] + [(i, i + 1) for i in range(1000, 1040)]
