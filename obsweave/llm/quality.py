@@ -137,7 +137,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col="doc_id
     """A model of ``quality = 1`` and ``toxic = 0`` from at most ``sample`` labelled documents.
 
     The sample is the labels whose id hashes lowest, so it is the same on every
-    run.  Labels with a null are left out.
+    run.  Labels with a null are left out.  Of rows that repeat a labelled id one
+    counts, the one whose text hashes lowest.
     """
     chosen = (
         labels.dropna(subset=["doc_id", "quality", "toxic"])
@@ -149,16 +150,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col="doc_id
         .limit(sample)
     )
     texts = docs.select(F.col(id_col).alias("_doc_id"), whole_text(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), F.col("_doc_id") == F.col("_label_id")).select("text", "good")
+    joined = texts.join(F.broadcast(chosen), F.col("_doc_id") == F.col("_label_id"))
+    rows = joined.groupBy("_label_id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             style, bins = features(batch["text"].tolist())
             yield pd.DataFrame(
-                {"style": list(style), "bins": [b.astype(np.int32) for b in bins], "good": batch["good"]}
+                {"id": batch["_label_id"], "style": list(style), "bins": [b.astype(np.int32) for b in bins], "good": batch["good"]}
             )
 
-    described = rows.mapInPandas(describe, "style array<double>, bins array<int>, good array<boolean>").toPandas()
+    schema = "id bigint, style array<double>, bins array<int>, good array<boolean>"
+    described = rows.withColumn("_label_id", F.col("_label_id").cast("bigint")).mapInPandas(describe, schema).toPandas()
+    described = described.sort_values("id", kind="stable")  # sums in one order on every run
     width = len(_style("", np.empty(0, np.uint64)))
     style = np.array(described["style"].tolist(), float).reshape(len(described), width)
     bins = [np.asarray(b, np.int64) for b in described["bins"]]

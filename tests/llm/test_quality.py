@@ -39,3 +39,11 @@ def test_odd_rows(frame, spark):
     assert quality.classify(docs.limit(0), model).collect() == []
     without = quality.fit(docs, labels.limit(0))
     assert all(r.kept for r in quality.classify(docs, without).collect())
+
+
+def test_repeated_ids_count_once(frame, spark):
+    rows = [(i, ("good words " if i % 2 else "bad thing ") * (i + 1), "s") for i in range(20)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)], "doc_id bigint, quality int, toxic int")
+    once, often = (quality.fit(frame(docs), labels) for docs in (rows, rows + rows[3:4] * 50))
+    texts = [r[1] for r in rows]
+    assert np.array_equal(once.evidence(texts), often.evidence(texts))
