@@ -130,11 +130,11 @@ def parse_archive(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]
 
     def more() -> bool:
         nonlocal fed, inflate
-        if fed >= len(content) and not inflate.unconsumed_tail:
-            return False
         if inflate.eof:  # the next gzip member
             fed -= len(inflate.unused_data)
             inflate = zlib.decompressobj(wbits=31)
+        if fed >= len(content) and not inflate.unconsumed_tail:
+            return False
         take = inflate.unconsumed_tail or content[fed : fed + (1 << 16)]
         if not inflate.unconsumed_tail:
             fed += len(take)

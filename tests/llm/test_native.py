@@ -1,5 +1,7 @@
 """The operators with SQL, on odd rows and against it."""
 
+import gzip
+
 import duckdb
 import pytest
 from compare import compare, connect
@@ -133,3 +135,13 @@ def test_loser_tree(k):
     runs = [sorted((str(i * j % 11), "t", i * 100 + j) for j in range(i * 3 % 7)) for i in range(k)]
     runs = [sorted(r, key=warc._order) for r in runs]
     assert list(warc.loser_tree(runs)) == sorted((r for run in runs for r in run), key=warc._order)
+
+
+def test_archive_of_one_member_a_record():
+    for n, size in ((3, 10), (40, 9000)):
+        bodies = [bytes([65 + i % 26]) * size + str(i).encode() for i in range(n)]
+        raw = [b"WARC/1.1\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (len(b), b) for b in bodies]
+        for content in (b"".join(map(gzip.compress, raw)), gzip.compress(b"".join(raw))):
+            found = list(warc.parse_archive(content))
+            assert [block for _, _, block in found] == bodies
+            assert [at for at, _, _ in found] == [sum(map(len, raw[:i])) for i in range(n)]
