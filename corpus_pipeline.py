@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsweave.llm import line_dedup, mixing, ngram_join, packing, quality
-from obsweave.llm.common import kept, table
+from obsweave.llm.common import kept, table, whole_text
 from obsweave.llm.queries import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -36,12 +36,18 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, the one with the least id; one row of an id."""
+    """One document of each group of near copies, the one with the least id.
+
+    Where an id is repeated, a row is known by id and text: of rows equal in both
+    the least stays, and unrelated texts of one id all stay.
+    """
     docs = _own(docs)
     groups = ngram_join.join_components(docs, ngram_join.Similarity(width=5, percent=80))
-    first = kept(groups.filter("first").select("id").distinct(), "firsts")
-    named = docs.withColumn("id", ngram_join.identity("doc_id", "text"))
-    return _own(named.join(first, "id", "left_semi").dropDuplicates(["id"]))
+    first = kept(groups.filter("first").select("id", "body").distinct(), "firsts")
+    body = F.xxhash64(whole_text("text"))
+    named = docs.withColumn("id", ngram_join.identity("doc_id", "text")).withColumn("body", body)
+    alike = named.join(first, ["id", "body"], "left_semi").groupBy("id", "body")
+    return alike.agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

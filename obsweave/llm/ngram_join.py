@@ -65,11 +65,12 @@ def identity(id_col: str, text_col: str) -> Column:
 
 
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``named, id, text``: ``id`` is never null, ``named`` tells whether it was."""
+    """``named, id, text, body``: ``id`` is never null, ``named`` tells whether it was, ``body`` is the text's hash."""
     return docs.select(
         F.col(id_col).isNotNull().alias("named"),
         identity(id_col, text_col).alias("id"),
         whole_text(text_col).alias("text"),
+        F.xxhash64(whole_text(text_col)).alias("body"),
     )
 
 
@@ -167,7 +168,7 @@ def index_keys(tokens: np.ndarray, often: np.ndarray, similar: Similarity) -> tu
 
 
 def described(texts: DataFrame, is_frequent, similar: Similarity) -> DataFrame:
-    """``id, named, size, rare, s1, s2, keys, most`` of each row; ``s1, s2`` identify its set."""
+    """``id, named, body, size, rare, s1, s2, keys, most`` of each row; ``s1, s2`` identify its set."""
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -180,10 +181,10 @@ def described(texts: DataFrame, is_frequent, similar: Similarity) -> DataFrame:
                 names = np.array([first, second], np.uint64).view(np.int64)
                 rows.append((len(tokens), int((~often).sum()), *names, keys.view(np.int64), most.astype(np.int32)))
             out = pd.DataFrame(rows, columns=["size", "rare", "s1", "s2", "keys", "most"])
-            yield pd.concat([batch[["id", "named"]].reset_index(drop=True), out], axis=1)
+            yield pd.concat([batch[["id", "named", "body"]].reset_index(drop=True), out], axis=1)
         release_arrow_memory()
 
-    schema = "id bigint, named boolean, size int, rare int, s1 bigint, s2 bigint, keys array<bigint>, most array<int>"
+    schema = "id bigint, named boolean, body bigint, size int, rare int, s1 bigint, s2 bigint, keys array<bigint>, most array<int>"
     return texts.mapInPandas(describe, schema)
 
 
@@ -334,7 +335,7 @@ def _crossing(met: DataFrame, stars: DataFrame, roots: DataFrame, similar: Simil
 def join_components(
     docs: DataFrame, similar: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """``doc_id, id, n_shingles, component_id, first`` of every row of ``docs``.
+    """``doc_id, id, n_shingles, component_id, first, body`` of every row of ``docs``.
 
     Links join documents whose shingle sets reach the similarity, exactly; a text
     with fewer words than a shingle is one shingle; one without words links with
@@ -364,7 +365,7 @@ def join_components(
     placed = kept(rooted.join(least, "root").select("s1", "s2", "component_id", "least_node"), "components")
     own = F.when(F.col("named"), F.col("id"))
     empty = rows.filter("size = 0").select(
-        own.alias("doc_id"), "id", "size", own.alias("component_id"), F.lit(True).alias("first")
+        own.alias("doc_id"), "id", "size", own.alias("component_id"), F.lit(True).alias("first"), "body"
     )
     full = rows.filter("size > 0").join(placed, ["s1", "s2"]).select(
         own.alias("doc_id"),
@@ -372,5 +373,6 @@ def join_components(
         "size",
         "component_id",
         (F.col("id") == F.coalesce("component_id", "least_node")).alias("first"),
+        "body",
     )
     return full.union(empty).withColumnRenamed("size", "n_shingles")

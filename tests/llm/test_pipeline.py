@@ -106,3 +106,11 @@ def test_odd_rows_through_every_stage(spark, sf_dir):
         stage(spark, frame, sf_dir).collect()
     assert corpus_pipeline.distinct_documents(spark, frame, sf_dir).filter("doc_id = 2").count() == 1
     assert corpus_pipeline.fresh_lines(spark, frame, sf_dir).count() == len(odd)
+
+
+def test_unrelated_texts_of_one_id_stay(spark, sf_dir):
+    text = "a story of seven words and more words"
+    found = [(7, text, "en", "b", 1), (7, text, "en", "a", 1), (7, "quite another text that shares nothing at all", "en", "a", 1), (9, text, "en", "a", 1)]
+    frame = spark.createDataFrame(found, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    rows = sorted(map(tuple, corpus_pipeline.distinct_documents(spark, frame, sf_dir).collect()))
+    assert rows == sorted(found[1:3])
