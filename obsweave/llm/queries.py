@@ -9,15 +9,18 @@ from obsweave.llm import (
     exact_dedup,
     graph_search,
     html_text,
+    infill,
     line_dedup,
+    merkle,
     mixing,
     ngram_join,
     packing,
     quality,
+    secret_scan,
     url_filter,
     warc,
 )
-from obsweave.llm.common import table
+from obsweave.llm.common import lower_ascii, table
 from obsweave.session import scratch_path
 
 # Fixed rules of the contract.
@@ -105,6 +108,37 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", F.col("n_shingles").cast("bigint").alias("n_shingles"), "component_id")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof; a third of them come back with other letters."""
+    text = F.col("text")
+    altered = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    proven = merkle.manifest(
+        table(spark, sf_dir, "documents"),
+        ("doc_id", "source", "lang", "n_chars", "text"),
+        group="lang",
+        id_col="doc_id",
+        received={"text": F.when(altered, lower_ascii(text)).otherwise(text)},
+    )
+    digests = {name: merkle.hex_text(F.col(name)) for name in ("leaf", "subroot", "root", "folded_root")}
+    proof = F.sha2(merkle.hex_text(merkle.proof_digests(F.col("path"))), 256)
+    return proven.select(
+        F.col("id").alias("doc_id"),
+        *[column.alias(name) for name, column in digests.items()],
+        proof.alias("proof_sha256"),
+        "verified",
+    )
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as an example, its digests streamed from frames."""
+    return infill.with_digests(infill.examples(table(spark, sf_dir, "documents")))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets."""
+    return secret_scan.scan(table(spark, sf_dir, "documents"), tokenizer_path()).drop("found")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -118,5 +152,8 @@ QUERIES = {
         op8_quality_classifier,
         op9_line_dedup,
         op10_ngram_join,
+        op11_merkle_manifest,
+        op12_fill_in_middle,
+        op13_secret_scan,
     )
 }
