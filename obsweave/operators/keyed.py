@@ -1,7 +1,7 @@
 """Keyed writes on parquet tables laid out by day and key part: replace, and insert if absent.
 
 One writer per table.  A key lies in one day and, by the hash of its station, in
-one of a few parts of it.  A write reads only the days and parts its rows fall in
+one part of it; how many parts a day has is a setting of the table.  A write reads only the days and parts its rows fall in
 and rewrites only those that hold a key already, so its cost follows the change;
 Spark swaps rewritten partitions in when the job commits, so a failed job leaves
 them as they were.  A null is a value of a key like any other.
@@ -9,17 +9,21 @@ them as they were.  A null is a value of a key like any other.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsweave.operators.latest import newest_row
+from obsweave.session import swap_in
 
 DAY, PART = "day", "part"
-PARTS = 4  # of a day; fixed for the life of a table
+NOTES = "_notes"  # a folder of a table that its readers pass over
+PARTS = 1  # of a day, where a table is made without a number of its own
 LISTED_DAYS = 1000  # beyond, a filter takes the span from the first to the last day
 
 
@@ -27,8 +31,33 @@ def with_day(df: DataFrame, time: str = "timestamp") -> DataFrame:
     return df.withColumn(DAY, F.to_date(time))
 
 
-def with_part(df: DataFrame, key: str = "city") -> DataFrame:
-    return df.withColumn(PART, F.pmod(F.xxhash64(key), F.lit(PARTS)).cast("int"))
+def part_of(key: str | Column, parts: int) -> Column:
+    """The part of a key; of a literal, one that Spark folds and prunes partitions by."""
+    return F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+
+
+def with_part(df: DataFrame, key: str = "city", parts: int = PARTS) -> DataFrame:
+    return df.withColumn(PART, part_of(key, parts))
+
+
+def table_parts(spark: SparkSession, path: str, parts: int | None = None) -> int:
+    """The number of parts of the table at ``path``, fixed by its first write and, unless 1, kept beside it.
+
+    A table of another number than the ``parts`` asked for is refused.
+    """
+    layout = path.rstrip("/") + "_layout"
+    try:
+        stored = int(spark.read.text(layout).first()["value"])
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        stored = PARTS
+        if (parts or PARTS) != PARTS and read_days(spark, path) is None:
+            stored = parts
+            spark.range(1).select(F.lit(str(stored)).alias("value")).coalesce(1).write.mode("overwrite").text(layout)
+    if parts is not None and parts != stored:
+        raise ValueError(f"the table at {path} has {stored} parts")
+    return stored
 
 
 def keep_newest(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -72,31 +101,48 @@ def write_days(
     *,
     sort: Sequence[str | Column] = ("city", "timestamp"),
     whole: bool = False,
+    notes: Mapping[str, str] | None = None,
 ) -> None:
     """Write rows under their ``day`` (and ``part``), files sorted so their min/max prune reads.
 
-    ``whole`` makes an overwrite replace the table, not only the days written.
-    The rebalance hint lets AQE give a heavy day several files and put light
+    ``whole`` makes an overwrite replace the table, not only the days written: the
+    new table is written beside the old one and takes its place when it is done,
+    with ``notes`` (name to text) kept in it.  The rebalance hint lets AQE give a heavy day several files and put light
     days together in one task.
     """
     layout = [c for c in (DAY, PART) if c in rows.columns]
+    target = f"{path.rstrip('/')}-{uuid.uuid4().hex}" if whole else path
+    # Parts are a table's own way to keep what one task writes small, so small days
+    # of theirs are written side by side.
+    dealt = rows.repartition(*layout) if PART in layout else rows.hint("rebalance", F.col(DAY))
     (
-        rows.hint("rebalance", *[F.col(c) for c in layout])
-        .sortWithinPartitions(*layout, *sort)
+        dealt.sortWithinPartitions(*layout, *sort)
         .write.mode(mode)
-        .option("partitionOverwriteMode", "static" if whole else "dynamic")
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*layout)
-        .parquet(path)
+        .parquet(target)
     )
+    for name, text in (notes or {}).items():
+        note = rows.sparkSession.range(1).select(F.lit(text).alias("value"))
+        note.coalesce(1).write.mode("overwrite").text(f"{target}/{NOTES}/{name}")
+    if whole:
+        swap_in(rows.sparkSession, target, path)
+
+
+def read_note(spark: SparkSession, path: str, name: str) -> str:
+    """A text that was stored with the whole table at ``path``."""
+    return spark.read.text(f"{path.rstrip('/')}/{NOTES}/{name}").first()["value"]
 
 
-def write_counted(rows: DataFrame, path: str, *, usable: Column, whole: bool = True) -> dict[str, int]:
+def write_counted(
+    rows: DataFrame, path: str, *, usable: Column, whole: bool = True, notes: Mapping[str, str] | None = None
+) -> dict[str, int]:
     """Write a table; its ``rows`` and ``usable`` ones, in one pass over the stored columns needed.
 
     Not by ``Observation``: in Spark 4.1 a session that has used one can no
     longer run forest classifiers, whose summaries drag it into their tasks.
     """
-    write_days(rows, path, "overwrite", whole=whole)
+    write_days(rows, path, "overwrite", whole=whole, notes=notes)
     rows.sparkSession.catalog.refreshByPath(path)
     stored = rows.sparkSession.read.schema(rows.schema).parquet(path)
     return stored.agg(F.count(F.lit(1)).alias("rows"), F.count_if(usable).alias("usable")).first().asDict()
@@ -129,6 +175,20 @@ def on_listed_days(days: Sequence) -> Column:
     return found | F.col(DAY).isNull() if None in days else found
 
 
+def written_places(batch: DataFrame, near: DataFrame, keys: Sequence[str]) -> list:
+    """Each (day, part) of a batch, and whether ``near`` holds one of its keys there."""
+    stored = near.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(True).alias("_hit"))
+    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
+    met = batch.select(*dict.fromkeys((DAY, PART, *keys))).join(stored, reduce(Column.__and__, same), "left")
+    places = met.groupBy(DAY, PART).agg(F.max(F.coalesce("_hit", F.lit(False))).alias("hit"))
+    return [tuple(row) for row in places.collect()]
+
+
+def in_places(places: Sequence) -> Column:
+    place = F.concat_ws("/", F.col(DAY).cast("string"), PART)
+    return place.isin([f"{d}/{p}" if d is not None else str(p) for d, p in places])
+
+
 def upsert(
     batch: DataFrame,
     path: str,
@@ -138,47 +198,54 @@ def upsert(
     time: str = "timestamp",
     drop: Sequence[str] = (),
     part_by: str | None = None,
+    parts: int | None = None,
+    newest: Sequence[NewestTable] = (),
 ) -> None:
     """Write ``batch``, replacing the rows of ``path`` with the same keys.
 
     Days and parts in which no key occurs again are appended to after reading
-    their key columns alone; only the others are rewritten.  Running a write
-    again after a failure gives the same rows.
+    their key columns alone; only the others are rewritten, and all in one write
+    where at least half of them are.  Running a write again after a failure gives
+    the same rows.
 
     The day is part of the identity of a row: ``time`` must be one of the keys;
     ``part_by`` is another (the first, if not given).  ``order`` names the column
     whose greatest value wins: within the batch, and against the stored row as
-    well where the table keeps that column.  ``drop`` names columns not stored.
+    well where the table keeps that column.  ``drop`` names columns not stored,
+    ``parts`` the number of parts of a new table's days, and ``newest`` the
+    tables of newest rows that follow this one.
     """
     if time not in keys:
         raise ValueError("the time column must be part of the key")
-    batch = with_part(with_day(batch, time), part_by or keys[0])
-    newest = keep_newest(batch, keys, order) if order else batch.dropDuplicates(list(keys))
-    # Used by both lists of partitions and the writes.
-    newest = cached = newest.drop(*drop).persist()
+    spark = batch.sparkSession
+    existing, parts = read_days(spark, path), table_parts(spark, path, parts)
+    batch = with_part(with_day(batch, time), part_by or keys[0], parts)
+    rows = keep_newest(batch, keys, order) if order else batch.dropDuplicates(list(keys))
+    # Used by the list of places, the writes and the tables of newest rows.
+    rows = cached = rows.drop(*drop).persist()
     try:
-        existing = read_days(batch.sparkSession, path)
-        again = []
         if existing is not None:
-            places = touched(newest, DAY, PART)
-            near = existing.where(
-                on_listed_days([d for d, _ in places]) & F.col(PART).isin(sorted({p for _, p in places}))
-            )
-            again = touched(present_rows(near, newest, [DAY, PART, *keys]), DAY, PART)
-        if again:
-            place = F.concat_ws("/", F.col(DAY).cast("string"), PART)
-            rewritten = place.isin([f"{d}/{p}" if d is not None else str(p) for d, p in again])
-            old, new = near.where(rewritten), newest.where(rewritten)
-            if order and order in newest.columns:
-                both = old.select(*new.columns).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-                # Of equal orders the row written later stays.
-                merged = newest_row(both, keys, order, [F.col("_new").desc()]).drop("_new")
-            else:
-                merged = replace_rows(old, new, [DAY, PART, *keys])
-            write_days(merged, path, "overwrite", sort=keys)
-            newest = newest.where(~rewritten)
-        write_days(newest, path, "append", sort=keys)
-        batch.sparkSession.catalog.refreshByPath(path)
+            held = touched(rows, DAY, PART)
+            near = existing.where(on_listed_days([d for d, _ in held]) & F.col(PART).isin(sorted({p for _, p in held})))
+            places = written_places(rows, near, keys)
+            again = [(d, p) for d, p, hit in places if hit]
+            if again:
+                if 2 * len(again) >= len(places):
+                    again = [(d, p) for d, p, _ in places]
+                old, new = near.where(in_places(again)), rows.where(in_places(again))
+                if order and order in rows.columns:
+                    both = old.select(*new.columns).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+                    # Of equal orders the row written later stays.
+                    merged = newest_row(both, keys, order, [F.col("_new").desc()]).drop("_new")
+                else:
+                    merged = replace_rows(old, new, [DAY, PART, *keys])
+                write_days(merged, path, "overwrite", sort=keys)
+                rows = rows.where(~in_places(again)) if len(again) < len(places) else None
+        if rows is not None:
+            write_days(rows, path, "append", sort=keys)
+        spark.catalog.refreshByPath(path)
+        for table in newest:
+            table.merge(cached)
     finally:
         cached.unpersist()
 
@@ -199,30 +266,119 @@ def insert_if_absent(
     order: str | None = None,
     time: str = "timestamp",
     part_by: str | None = None,
+    parts: int | None = None,
+    newest: Sequence[NewestTable] = (),
 ) -> tuple[int, int]:
     """Append the rows whose key is new; returns (inserted, skipped).
 
-    Of several rows of one key the first by ``order`` is inserted.
+    Of several rows of one key the first by ``order`` is inserted.  ``parts`` and
+    ``newest`` are those of ``upsert``.
     """
     if time not in keys:
         raise ValueError("the time column must be part of the key")
-    batch = with_part(with_day(batch, time), part_by or keys[0])
+    spark = batch.sparkSession
+    existing = read_days(spark, path)
+    batch = with_part(with_day(batch, time), part_by or keys[0], table_parts(spark, path, parts))
     # Evaluated once, for the counts, the list of days and the write.
     cached = [batch.persist()]
     try:
-        offered, fresh = batch.count(), keep_first(batch, keys, order)
-        days = [d for (d,) in touched(batch)]
-        if not days:
+        offered = {d: n for d, n in batch.groupBy(DAY).count().collect()}
+        if not offered:
             return 0, 0
-        existing = read_days(batch.sparkSession, path)
+        fresh = keep_first(batch, keys, order)
         if existing is not None:
-            near = existing.where(on_listed_days(days))
-            fresh = absent_rows(near, fresh, [DAY, PART, *keys])
-            cached.append(fresh.persist())
+            fresh = absent_rows(existing.where(on_listed_days(list(offered))), fresh, [DAY, PART, *keys])
+        cached.append(fresh.persist())
         inserted = fresh.count()
         if inserted:
             write_days(fresh, path, "append", sort=keys)
-        return inserted, offered - inserted
+            spark.catalog.refreshByPath(path)
+            for table in newest:
+                table.merge(keep_first(batch, keys, order), replace=False)
+        return inserted, sum(offered.values()) - inserted
     finally:
         for rows in cached:
             rows.unpersist()
+
+
+@dataclass(frozen=True)
+class NewestTable:
+    """The newest rows of every station, kept beside a history by its keyed writes.
+
+    The table holds the ``keep`` rows of each ``key`` that come first by ``time``
+    descending, then by ``ties`` descending, in hashed parts; what a write brings
+    is merged into the parts of its stations only.  ``identity`` names the keys of
+    the history: of two versions of a row the one that ``order`` puts later stays,
+    of equal ones that merged later.  Merging a batch again changes nothing, late
+    and corrected rows find their place, and a history never loses rows, so no
+    station's newest row can become older.  Readers touch this table only.
+    """
+
+    path: str
+    key: str = "city"
+    time: str = "timestamp"
+    identity: tuple[str, ...] = ("city", "timestamp")
+    order: str | None = None
+    ties: tuple[str, ...] = ()
+    keep: int = 1
+    parts: int = PARTS
+
+    def first_rows(self, rows: DataFrame) -> DataFrame:
+        """The rows that belong into the table, of rows with one version of each identity."""
+        ranked = [F.col(c).desc_nulls_last() for c in (self.time, *self.ties)]
+        place = F.row_number().over(Window.partitionBy(self.key).orderBy(*ranked))
+        return rows.withColumn("_place", place).where(F.col("_place") <= self.keep).drop("_place")
+
+    def merge(self, batch: DataFrame, replace: bool = True) -> None:
+        """Bring the table up to date with the written rows ``batch``, unique by identity.
+
+        Without ``replace`` a row whose identity the history had before changes
+        nothing: here the stored version stays, and where this table holds none,
+        it holds newer rows of the station only.
+        """
+        spark = batch.sparkSession
+        stored = read_days(spark, self.path)
+        parts = table_parts(spark, self.path, self.parts)
+        fresh = with_part(self.first_rows(batch.drop(DAY, PART)), self.key, parts)
+        if stored is None:
+            self._write(fresh)
+            return
+        fresh = fresh.persist()
+        try:
+            old = stored.where(F.col(PART).isin([p for (p,) in touched(fresh, PART)]))
+            both = old.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+            later = [F.col(self.order).desc_nulls_last()] if self.order else []
+            ranked = [*later, F.col("_new").desc()] if replace else [F.col("_new").asc()]
+            version = Window.partitionBy(*self.identity).orderBy(*ranked)
+            single = both.withColumn("_version", F.row_number().over(version)).where("_version = 1")
+            self._write(self.first_rows(single.drop("_new", "_version")))
+        finally:
+            fresh.unpersist()
+
+    def rebuild(self, history: DataFrame) -> None:
+        """Derive the table from a history with one version of each row."""
+        parts = table_parts(history.sparkSession, self.path, self.parts)
+        rows = with_part(self.first_rows(history.drop(DAY, PART)), self.key, parts)
+        self._write(rows, whole=True)
+
+    def _write(self, rows: DataFrame, whole: bool = False) -> None:
+        write_days(rows, self.path, "overwrite", sort=(self.key, self.time), whole=whole)
+        rows.sparkSession.catalog.refreshByPath(self.path)
+
+    def read(self, spark: SparkSession, schema=None) -> DataFrame:
+        """All rows; none before the first write where a ``schema`` is given."""
+        found = read_days(spark, self.path)
+        if found is None:
+            if schema is None:
+                raise ValueError(f"nothing was written to {self.path} yet")
+            return spark.createDataFrame([], schema)
+        return found.drop(PART)
+
+    def of(self, spark: SparkSession, key, schema=None) -> DataFrame:
+        """The rows of one station, from its part alone."""
+        found = read_days(spark, self.path)
+        if found is None:
+            return self.read(spark, schema)
+        same = F.col(self.key).eqNullSafe(F.lit(key).cast(found.schema[self.key].dataType))
+        part = part_of(F.lit(key).cast(found.schema[self.key].dataType), self.parts)
+        return found.where((F.col(PART) == part) & same).drop(PART)

@@ -6,11 +6,15 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from obsweave.operators.keyed import read_days, upsert
+from obsweave.operators.keyed import NewestTable, read_days, upsert
 from obsweave.operators.latest import newest_row
 from obsweave.plans.training import Task, latest_entry, rain_task, temperature_task
 from obsweave.schemas import MODEL_REGISTRY, PREDICTIONS
 
+PREDICTION_KEYS = ("city", "source_timestamp", "horizon_hours")
+# Ties on the prediction time go to the newest source row, then model version.
+PREDICTION_TIES = ("source_timestamp", "temp_model_version", "rain_model_version")
+
 
 def load_latest(
     spark: SparkSession, base: str, task: Task
@@ -84,12 +88,28 @@ def score_latest(spark: SparkSession, features: DataFrame, base: str, horizon: i
     return score(newest, temp_model, temp_entry, rain_model, rain_entry, horizon=horizon)
 
 
+def newest_predictions(path: str, keep: int = 24) -> NewestTable:
+    """The newest ``keep`` predictions of every station, beside the table at ``path``."""
+    return NewestTable(
+        path.rstrip("/") + "_newest",
+        time="prediction_timestamp",
+        identity=PREDICTION_KEYS,
+        order="prediction_timestamp",
+        ties=PREDICTION_TIES,
+        keep=keep,
+    )
+
+
 def save_predictions(predictions: DataFrame, path: str) -> None:
-    """Keyed write: scoring the same rows again replaces their predictions."""
+    """Keyed write: scoring the same rows again replaces their predictions.
+
+    The newest of every station are kept beside the table as well.
+    """
     upsert(
         predictions,
         path,
-        keys=("city", "source_timestamp", "horizon_hours"),
+        keys=PREDICTION_KEYS,
         order="prediction_timestamp",
         time="source_timestamp",
+        newest=[newest_predictions(path)],
     )

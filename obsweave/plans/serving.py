@@ -1,7 +1,8 @@
 """Read queries over the snapshot and prediction tables, as DataFrames.
 
 Time ranges are closed: from ``hours`` before ``as_of`` up to ``as_of`` (now by
-default).  Unknown stations give empty results.
+default).  Unknown stations give empty results.  Reads of newest rows take any
+table, and the ``*_now`` ones the table of newest rows, which spares the history.
 """
 
 from __future__ import annotations
@@ -9,11 +10,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsweave.functions.columns import instant
+from obsweave.operators.keyed import NewestTable
 from obsweave.operators.latest import newest_row, on_newest_days
+from obsweave.plans.scoring import PREDICTION_TIES
+from obsweave.schemas import CURRENT_OBS, PREDICTIONS
 from obsweave.sources.tables import on_days
 
 MAX_HOURS, MAX_HISTORY, MAX_PREDICTIONS = 168, 1000, 500
@@ -80,6 +84,19 @@ def current_all(obs: DataFrame) -> DataFrame:
     return newest_row(readings(on_newest_days(obs)))
 
 
+def current_now(newest: NewestTable, spark: SparkSession, city: str) -> DataFrame:
+    """``current`` from the kept newest rows: one part of one small table."""
+    return readings(newest.of(spark, city, CURRENT_OBS))
+
+
+def cities_now(newest: NewestTable, spark: SparkSession) -> DataFrame:
+    return newest.read(spark, CURRENT_OBS).select("city").orderBy("city")
+
+
+def current_all_now(newest: NewestTable, spark: SparkSession) -> DataFrame:
+    return readings(newest.read(spark, CURRENT_OBS))
+
+
 def history(
     obs: DataFrame, city: str, hours: int = 24, limit: int = 100, as_of=None
 ) -> DataFrame:
@@ -159,16 +176,12 @@ def prediction_rows(predictions: DataFrame) -> DataFrame:
     )
 
 
-# Ties on the prediction time go to the newest source row, then model version.
-_TIES = ("source_timestamp", "temp_model_version", "rain_model_version")
-
-
 def latest_predictions(predictions: DataFrame) -> DataFrame:
     """The newest prediction of every station, by station name."""
     newest = newest_row(
         predictions,
         time="prediction_timestamp",
-        tie_break=[F.col(c).desc_nulls_last() for c in _TIES],
+        tie_break=[F.col(c).desc_nulls_last() for c in PREDICTION_TIES],
     )
     return prediction_rows(newest).orderBy("city")
 
@@ -176,6 +189,17 @@ def latest_predictions(predictions: DataFrame) -> DataFrame:
 def city_predictions(predictions: DataFrame, city: str, limit: int = 24) -> DataFrame:
     """The newest predictions of one station, newest first."""
     _check("limit", limit, MAX_PREDICTIONS)
-    order = [F.col(c).desc_nulls_last() for c in ("prediction_timestamp", *_TIES)]
+    order = [F.col(c).desc_nulls_last() for c in ("prediction_timestamp", *PREDICTION_TIES)]
     found = predictions.where(F.col("city") == city).orderBy(*order).limit(limit)
     return prediction_rows(found)
+
+
+def latest_predictions_now(newest: NewestTable, spark: SparkSession) -> DataFrame:
+    """``latest_predictions`` from the kept newest rows."""
+    return latest_predictions(newest.read(spark, PREDICTIONS))
+
+
+def city_predictions_now(newest: NewestTable, spark: SparkSession, city: str, limit: int = 24) -> DataFrame:
+    """``city_predictions`` from the kept newest rows of the station; ``limit`` is at most what the table keeps."""
+    _check("limit", limit, newest.keep)
+    return city_predictions(newest.of(spark, city, PREDICTIONS), city, limit)

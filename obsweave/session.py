@@ -60,3 +60,20 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def swap_in(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put the finished folder ``fresh`` in the place of ``path``; what was there goes last.
+
+    Between the two renames the old folder lies beside, under ``fresh`` + ``-old``.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    files = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    before = fresh + "-old"
+    had = files.exists(at(path))
+    if had and not files.rename(at(path), at(before)):
+        raise OSError(f"cannot move {path}")
+    if not files.rename(at(fresh), at(path)):
+        raise OSError(f"cannot move {fresh}; the table before lies at {before}")
+    if had:
+        files.delete(at(before), True)

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from obsweave.functions import columns as fn
 from obsweave.operators.explode import explode_series
-from obsweave.operators.keyed import absent_rows, insert_if_absent, read_days, with_day, with_part, write_days
+from obsweave.operators.keyed import (
+    NewestTable,
+    absent_rows,
+    insert_if_absent,
+    read_days,
+    table_parts,
+    with_day,
+    with_part,
+    write_days,
+)
 from obsweave.schemas import HOURLY_SERIES, PAYLOAD, READINGS, SEQUENCE
 from obsweave.sources.messages import decoded, is_object
 
@@ -94,20 +105,23 @@ def unusable(messages: DataFrame, now: Column | None = None) -> DataFrame:
     ).where("reason is not null")
 
 
-def backfill(messages: DataFrame, raw_path: str, dead_letter_path: str | None = None) -> tuple[int, int]:
+def backfill(
+    messages: DataFrame, raw_path: str, dead_letter_path: str | None = None, newest: Sequence[NewestTable] = ()
+) -> tuple[int, int]:
     """Insert the hours the raw table does not hold yet; returns (inserted, skipped).
 
-    Texts that lose anything go to the dead-letter table, where one is named.
+    Texts that lose anything go to the dead-letter table, where one is named;
+    ``newest`` names tables of newest raw rows to keep up.
     """
     if dead_letter_path:
         keep_letters(unusable(messages), dead_letter_path)
-    return insert_if_absent(expand(parse_payloads(messages)), raw_path)
+    return insert_if_absent(expand(parse_payloads(messages)), raw_path, newest=newest)
 
 
 def keep_letters(letters: DataFrame, path: str) -> None:
     """Append the texts that the dead-letter table does not hold yet, whenever they came."""
-    held = read_days(letters.sparkSession, path)
+    held, parts = read_days(letters.sparkSession, path), table_parts(letters.sparkSession, path)
     fresh = letters.dropDuplicates(["value"])
     if held is not None:
         fresh = absent_rows(held, fresh, ["value", "reason"])
-    write_days(with_part(with_day(fresh, "received_at"), "value"), path, "append", sort=())
+    write_days(with_part(with_day(fresh, "received_at"), "value", parts), path, "append", sort=())

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from obsweave.functions import columns as fn
-from obsweave.operators.keyed import compact, touched, upsert, with_day
+from obsweave.operators.keyed import NewestTable, compact, touched, upsert, with_day
 from obsweave.schemas import CURRENT_OBS, RAW_OBS
 from obsweave.sources.messages import parse, sequence
 
@@ -20,11 +20,16 @@ class Tables:
     raw: str
     current: str
     dead_letter: str
+    newest: str | None = None  # one snapshot a station, for the reads of current values
 
     @classmethod
     def under(cls, base: str) -> Tables:
         base = base.rstrip("/")
-        return cls(f"{base}/raw_obs", f"{base}/current_obs", f"{base}/dead_letter")
+        return cls(f"{base}/raw_obs", f"{base}/current_obs", f"{base}/dead_letter", f"{base}/newest_obs")
+
+    @property
+    def newest_table(self) -> NewestTable | None:
+        return NewestTable(self.newest, order="sequence") if self.newest else None
 
 
 def raw_rows(parsed: DataFrame, now: Column | None = None) -> DataFrame:
@@ -114,7 +119,8 @@ def store_batch(messages: DataFrame, tables: Tables, now: Column | None = None)
         good = parsed.where("valid")
         if not good.isEmpty():
             upsert(raw_rows(good, now), tables.raw, order="sequence")
-            upsert(snapshot_rows(good, now), tables.current, order="sequence")
+            followers = [tables.newest_table] if tables.newest else []
+            upsert(snapshot_rows(good, now), tables.current, order="sequence", newest=followers)
         bad = parsed.where(~F.col("valid"))
         if not bad.isEmpty():
             letters = bad.select(
