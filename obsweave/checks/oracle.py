@@ -421,19 +421,21 @@ def sql() -> dict[str, str]:
             {num("regr_intercept(label, prediction)", "intercept", 4)},
             {num("regr_slope(label, prediction)", "slope", 4)}, count(label) as n
             from scored""",
-        "train_classification": f"""{OBS}, chained as (
-              select lag(temperature) {_over()} as before, {TARGET} as after from base
-            )
-            select unnest(['auc_pr', 'auc_roc']) as metric, true as in_range,
-                   (select count(*) from chained where before is not null and after is not null) as rows_used""",
+        "train_classification": f"""{PERSISTENCE}
+            select family, rain_label as label, rain_label as prediction, count(*) as count,
+                   1.0::double as auc_roc, 1.0::double as auc_pr
+            from scored, unnest(['GBTClassifier', 'RandomForestClassifier']) as families(family)
+            where label is not null group by all""",
         "score_both": f"""{PERSISTENCE}, line as (
               select regr_intercept(label, prediction) as a, regr_slope(label, prediction) as b
               from scored
             )
-            select city, {T} as source_timestamp,
+            select city, {T} as source_timestamp, {SCORED_AT} as prediction_timestamp,
                    {num("(select a from line) + (select b from line) * temperature", "predicted_temperature", 4)},
-                   true as rain_is_a_class, '{PREFIX}_LinearRegression' as temp_model_name,
-                   'rain_prediction_1h_RandomForest' as rain_model_name
+                   (case when rain > 0 then 1 else 0 end)::double as predicted_rain,
+                   {num("temperature", "observed_temperature", 4)}, 1::bigint as horizon_hours,
+                   '{PREFIX}_LinearRegression' as temp_model_name, '1' as temp_model_version,
+                   'rain_prediction_1h_RandomForest' as rain_model_name, '1' as rain_model_version
             from obs {NEWEST}""",
         "score_shape": f"{OBS} {score('null', 'unknown', 'unknown')}",
         "score_batch": f"""{PERSISTENCE}, line as (

@@ -10,7 +10,7 @@ from collections.abc import Callable, Sequence
 from datetime import datetime
 from functools import reduce
 
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -653,20 +653,37 @@ def train_regression(spark, sf_dir):
     return result.select(*numbers("intercept", "slope", digits=4), "n")
 
 
+def separable(spark, sf_dir) -> DataFrame:
+    """Rows with their rain target and, as the one feature, whether the next row brings rain: one split tells all."""
+    temp, rain = features.target_columns()
+    built = features.windowed_features(base(spark, sf_dir), groups=("target",))
+    return built.select("city", "timestamp", F.col(rain).cast("double").alias("wet"), temp, rain)
+
+
 def train_classification(spark, sf_dir):
-    """A small cross-validated choice between the rain families."""
+    """The cross-validated choice of the rain families: its areas, and each family's predictions of every row."""
+    temp, rain = features.target_columns()
     small = TrainingConfig(
         folds=2,
         classification_grids={
-            "GradientBoostedTrees": {"maxDepth": [2], "maxIter": [2], "stepSize": [0.1]},
-            "RandomForest": {"numTrees": [3], "maxDepth": [2], "minInstancesPerNode": [1]},
+            "GradientBoostedTrees": {"maxDepth": [1], "maxIter": [2], "stepSize": [0.1]},
+            "RandomForest": {"numTrees": [3], "maxDepth": [1], "minInstancesPerNode": [1]},
         },
     )
-    rows = features.windowed_features(base(spark, sf_dir), groups=("delta", "target"))
-    done = training.train(rows, training.rain_task(), small)
-    used = training.training_rows(rows).groupBy().agg(F.count(F.lit(1)).alias("rows_used"))
-    found = [(k, 0 <= v <= 1) for k, v in done.metrics.items()]
-    return spark.createDataFrame(found, "metric string, in_range boolean").crossJoin(used)
+    rows = separable(spark, sf_dir).dropna().persist()
+    try:
+        done = training.train(rows, training.rain_task(), small)
+        areas = [F.lit(done.metrics[name]).cast("double").alias(name) for name in ("auc_roc", "auc_pr")]
+        found = []
+        for family in (GBTClassifier, RandomForestClassifier):
+            pipeline = training.build_pipeline(training.rain_task(), family, ["wet"])
+            pipeline.getStages()[-1].setMaxDepth(1).setSeed(1)
+            scored = pipeline.fit(rows).transform(rows)
+            counts = scored.groupBy(F.col(rain).cast("bigint").alias("label"), F.col("predicted_rain").cast("bigint").alias("prediction")).count()
+            found.append(counts.withColumn("family", F.lit(family.__name__)).checkpoint())
+    finally:
+        rows.unpersist()
+    return reduce(DataFrame.union, found).withColumns({a: number(c) for a, c in zip(("auc_roc", "auc_pr"), areas)})
 
 
 def score_shape(spark, sf_dir):
@@ -684,28 +701,22 @@ def score_batch(spark, sf_dir):
 
 
 def score_both(spark, sf_dir):
-    """Both models on the same rows, the rain model a small forest."""
-    rows = labelled(spark, sf_dir)
-    forest = training.build_pipeline(training.rain_task(), RandomForestClassifier, ["temperature"])
-    forest.getStages()[-1].setNumTrees(3).setMaxDepth(2).setSeed(1)
-    rain_model = forest.fit(rows)
-    newest = latest.newest_row(observations(spark, sf_dir))
+    """Both models on the same rows, the rain model a forest of one split on whether it rains now."""
+    wet = F.when(F.col("rain") > 0, 1.0).otherwise(0.0)
+    taught = separable(spark, sf_dir)
+    forest = training.build_pipeline(training.rain_task(), RandomForestClassifier, ["wet"])
+    forest.getStages()[-1].setNumTrees(3).setMaxDepth(1).setSeed(1)
+    rain_model = forest.fit(taught)
+    newest = latest.newest_row(observations(spark, sf_dir)).withColumn("wet", wet)
     scored = scoring.score(
         newest,
-        _fit_line(rows),
+        _fit_line(labelled(spark, sf_dir)),
         Row(model_name=f"{PREFIX}_LinearRegression", version="1"),
         rain_model,
         Row(model_name="rain_prediction_1h_RandomForest", version="1"),
         as_of=fn.instant(SCORED_AT),
     )
-    return scored.select(
-        "city",
-        zoneless("source_timestamp"),
-        number("predicted_temperature", 4).alias("predicted_temperature"),
-        F.coalesce(F.col("predicted_rain").isin(0.0, 1.0), F.lit(False)).alias("rain_is_a_class"),
-        "temp_model_name",
-        "rain_model_name",
-    )
+    return predicted(scored)
 
 
 # --- streaming ------------------------------------------------------------
