@@ -29,7 +29,7 @@ def daily_sketches(rows: DataFrame, value: str, distinct: str, key: str = "city"
     return with_day(rows, time).groupBy(key, DAY).agg(
         F.count(known).alias("n"),
         F.kll_sketch_agg_double(known, F.lit(K)).alias("quantiles"),
-        F.hll_sketch_agg(F.col(distinct), F.lit(LG_K)).alias("distinct"),
+        F.hll_sketch_agg(F.col(distinct).cast("string"), F.lit(LG_K)).alias("distinct"),
     )
 
 
