@@ -2,11 +2,12 @@
 
 Pages become blocks with zones.  The token streams of a host's pages are
 concatenated and their suffixes ordered; what neighbours in that order share
-over ``LONG`` tokens or more, on distinct pages, is repeated.  Blocks the markup
-leaves open go if all of them is repeated, else lose long repeated runs and keep
-their unique ones; inside an article a
-block goes only if it is repeated as a whole on nearly every page, since
-passages shared by some pages are text.  Blocks that markup marks are dropped.
+over ``LONG`` tokens or more, on distinct pages, is repeated.  Repeats decide
+what markup leaves open.  Without an article, blocks go if all of them is
+repeated, else lose long repeated runs and keep their unique ones; a page that
+has no unique run of ``LONG`` tokens is a near copy of others, and repeats say
+nothing about it.  Inside an article, a block that is only named like
+boilerplate goes if all of it is repeated.  Blocks that markup marks are dropped.
 """
 
 from __future__ import annotations
@@ -26,12 +27,10 @@ from pyspark.sql import functions as F
 
 from obsweave.llm import wordhash
 from obsweave.llm.common import kept, lower_ascii
-from obsweave.llm.page_blocks import DROP, MAIN, OPEN, blocks
+from obsweave.llm.page_blocks import DROP, MAIN, NAMED, OPEN, blocks
 
 LONG = 8  # tokens of a repeated substring at least; a power of two
 CHUNK_PAGES = 1_000  # rows of a host that one task takes together
-TEMPLATE_SHARE = 0.8  # of a host's different pages that repeat a template block inside articles
-TEMPLATE_PAGES = 20  # different pages at least, as on few any share is chance
 
 _BLOCKS = "page_id string, url string, host string, same bigint, open boolean, blocks binary"
 _TEXTS = "page_id string, url string, text string, n_chars bigint"
@@ -82,15 +81,14 @@ def _block_hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass").lower(), digest_size=8).digest(), "little", signed=True)
 
 
-def said(page: list[tuple[int, str]]) -> tuple[int, set[int]]:
-    """What a page says, and the hashes of its blocks inside the article.
+def said(page: list[tuple[int, str]]) -> int:
+    """What a page says: pages with equal blocks outside boilerplate are copies, and no evidence against each other."""
+    return reduce(xor, {_block_hash(text) for zone, text in page if zone != DROP}, 0)
 
-    Pages with equal blocks outside boilerplate say the same: they are copies,
-    and none is evidence against another.  Taking a block's hash out of the
-    first (by xor) gives what the page says besides that block.
-    """
-    own = {text: _block_hash(text) for zone, text in page if zone != DROP}
-    return reduce(xor, set(own.values()), 0), {own[text] for zone, text in page if zone == MAIN}
+
+def _decided(zone: int) -> bool:
+    """Whether markup alone decides on blocks of a zone."""
+    return zone in (DROP, MAIN)
 
 
 def _unpacked(packed: bytes) -> list[tuple[int, str]]:
@@ -129,51 +127,54 @@ def _inside(tokens: np.ndarray, windows: np.ndarray) -> np.ndarray:
     return np.cumsum(edges)[: len(tokens)] > 0
 
 
-def unique_runs(
-    pages: list[list[tuple[int, str]]], templates: set[int] | None = None, windows: np.ndarray | None = None
-) -> Iterator[str]:
+def _named(page: list[tuple[int, str]]) -> list[int]:
+    """The hashes of the blocks that are only named like boilerplate, short ones being no runs."""
+    return [_block_hash(text) for zone, text in page if zone == NAMED]
+
+
+def unique_runs(pages: list[list[tuple[int, str]]], elsewhere: np.ndarray | None = None) -> Iterator[str]:
     """The text of each page of a host, or of one chunk of it.
 
-    Copies count as one page.  A block inside articles is a template where
-    enough pages hold it that differ in what else they say.  Of a chunk,
-    ``templates`` are those of the whole host, and ``windows`` the hashes, in
-    order, of what lies on different pages of the host and in the chunk.
+    Copies count as one page.  ``elsewhere`` holds the hashes, in order, of the
+    windows and named blocks of a chunk that other chunks of the host repeat.
     """
+    if all(_decided(zone) for page in pages for zone, _ in page):
+        yield from (" ".join(text for zone, text in page if zone == MAIN) for page in pages)
+        return
+    elsewhere = np.zeros(0, np.int64) if elsewhere is None else elsewhere
     words = [[text.split() for _, text in page] for page in pages]
     streams = _streams(words)
-    lengths = np.array([len(s) + 1 for s in streams], np.int64)
-    if templates is None:
-        same, main = zip(*map(said, pages)) if pages else ((), ())
-        others = defaultdict(set)
-        for own, held in zip(same, main):
-            for block in held:
-                others[block].add(own ^ block)
-        enough = max(TEMPLATE_PAGES, TEMPLATE_SHARE * len(set(same)))
-        templates = {block for block, besides in others.items() if len(besides) >= enough}
-        if templates or any(zone == OPEN for page in pages for zone, _ in page):
-            ends = [np.array([i], np.uint64) for i in range(len(pages))]
-            tokens = np.concatenate([part for pair in zip(streams, ends) for part in pair])
-            copies = np.unique(np.array(same, np.int64), return_inverse=True)[1]
-            covered = repeated(tokens, np.repeat(copies, lengths))
-        else:  # nothing that repeats decide
-            covered = np.zeros(lengths.sum(), bool)
-    else:
-        none = np.zeros(1, bool)
-        covered = np.concatenate([part for s in streams for part in (_inside(s, windows), none)] or [none])
+    copies = np.unique(np.array([said(page) for page in pages], np.int64), return_inverse=True)[1]
+    ends = [np.array([i], np.uint64) for i in range(len(pages))]
+    tokens = np.concatenate([part for pair in zip(streams, ends) for part in pair])
+    covered = repeated(tokens, np.repeat(copies, [len(s) + 1 for s in streams]))
+    holders = defaultdict(set)
+    for copy, page in zip(copies, pages):
+        for block in _named(page):
+            holders[block].add(copy)
+    known = {block for block, found in holders.items() if len(found) > 1} | (set(holders) & set(elsewhere.tolist()))
     at = 0
-    for page, page_words in zip(pages, words):
-        parts = []
-        for (zone, text), own in zip(page, page_words):
-            marks = covered[at : at + len(own)]
-            at += len(own)
-            if zone == DROP or (zone == MAIN and marks.all() and _block_hash(text) in templates):
-                continue
-            if zone == MAIN:
-                parts.append(text)
-            elif not marks.all():
-                parts += [w for w, gone in zip(own, _long_runs(marks)) if not gone]
-        at += 1
-        yield " ".join(parts)
+    for page, page_words, stream in zip(pages, words, streams):
+        marks = covered[at : at + len(stream)] | _inside(stream, elsewhere)
+        at += len(stream) + 1
+        yield " ".join(_kept(page, page_words, marks, known))
+
+
+def _kept(page: list[tuple[int, str]], words: list[list[str]], marks: np.ndarray, known: set[int]) -> Iterator[str]:
+    """What stays of a page, given which of its tokens are repeated."""
+    bounds = np.cumsum([0, *map(len, words)])
+    of_block = [marks[a:b] for a, b in zip(bounds, bounds[1:])]
+    open_marks = [m for (zone, _), m in zip(page, of_block) if zone == OPEN]
+    own = ~np.concatenate(open_marks) if open_marks else np.zeros(0, bool)
+    near_copy = not _long_runs(own).any()
+    for (zone, text), own_words, repeats in zip(page, words, of_block):
+        if zone == MAIN or (zone == OPEN and near_copy):
+            yield text
+        elif zone == NAMED:
+            if not repeats.all() and _block_hash(text) not in known:
+                yield text
+        elif zone == OPEN and not repeats.all():
+            yield from (w for w, gone in zip(own_words, _long_runs(repeats)) if not gone)
 
 
 def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -191,39 +192,20 @@ def parsed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFr
             found = [blocks(h) for h in batch["html"]]
             packed = [zlib.compress(json.dumps(b, ensure_ascii=False).encode("utf-8", "surrogatepass"), 6) for b in found]
             yield batch[["page_id", "url", "host"]].assign(
-                same=[said(b)[0] for b in found], open=[any(z == OPEN for z, _ in b) for b in found], blocks=packed
+                same=[said(b) for b in found], open=[not all(_decided(z) for z, _ in b) for b in found], blocks=packed
             )
 
     return source.mapInPandas(parse, _BLOCKS)
 
 
-def _host_templates(large: DataFrame, hosts: DataFrame) -> DataFrame:
-    """``host, templates`` of the hosts that have such blocks; ``large`` are rows of large hosts."""
-
-    def held(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [
-                (host, block, same ^ block)
-                for host, same, packed in zip(batch["host"], batch["same"], batch["blocks"])
-                for block in said(_unpacked(packed))[1]
-            ]
-            yield pd.DataFrame(rows, columns=["host", "block", "besides"])
-
-    besides = large.select("host", "same", "blocks").mapInPandas(held, "host string, block bigint, besides bigint")
-    holders = besides.distinct().groupBy("host", "block").agg(F.count("*").alias("holders"))
-    enough = F.greatest(F.lit(TEMPLATE_PAGES), F.lit(TEMPLATE_SHARE) * F.col("different"))
-    # At most 1 / TEMPLATE_SHARE times the blocks of a page.
-    found = holders.filter(F.col("holders") >= TEMPLATE_PAGES).join(hosts, "host").filter(F.col("holders") >= enough)
-    return kept(found.groupBy("host").agg(F.collect_list("block").alias("templates")), "templates")
-
-
 def _host_windows(dealt: DataFrame) -> DataFrame:
-    """``host, chunk, window`` of every window of a chunk that different pages of its host share."""
+    """``host, chunk, window`` of every window, or named block, of a chunk that different pages of its host share."""
 
     def seen(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates("blocks")
-        streams = _streams([[text.split() for _, text in _unpacked(p)] for p in rows["blocks"]])
-        found = [_windows(s) for s in streams]
+        pages = [_unpacked(p) for p in rows["blocks"]]
+        streams = _streams([[text.split() for _, text in page] for page in pages])
+        found = [np.r_[_windows(s), np.array(_named(page), np.int64)] for s, page in zip(streams, pages)]
         windows = np.concatenate(found)
         same = np.repeat(rows["same"].to_numpy(np.int64), [len(w) for w in found])
         order = np.argsort(windows, kind="stable")
@@ -252,36 +234,26 @@ def main_text(
     name; repeated rows have a text each, and copies are no evidence against each
     other; other columns are not read; an empty table gives no rows.  Repeats are
     sought in whole hosts.  One of more than ``CHUNK_PAGES`` rows is dealt into
-    chunks of about that many; what its pages share is found by aggregates over
-    all of them first, so the chunks do not show in the result.
+    chunks of about that many, each with a suffix array of its own; what pages of
+    different chunks share is found by aggregates over all of them first, so the
+    chunks do not show in the result.
     """
     rows = parsed(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id())
     rows = kept(rows, "parsed")
-    said_once = rows.groupBy("host", "same").agg(F.count("*").alias("rows"), F.max("open").alias("open"))
-    sizes = said_once.groupBy("host").agg(
-        F.sum("rows").alias("rows"), F.count("*").alias("different"), F.max("open").alias("any_open")
-    )
+    sizes = rows.groupBy("host").agg(F.count("*").alias("rows"), F.max("open").alias("any_open"))
     # Stored, so that AQE can split the host of a third of the pages.
     sizes = kept(sizes.withColumn("chunks", F.ceil(F.col("rows") / CHUNK_PAGES)).drop("rows"), "hosts")
-    large = sizes.filter("chunks > 1")
-    templates = _host_templates(rows.join(large.select("host"), "host", "left_semi"), large)
-    facts = kept(sizes.join(templates, "host", "left"), "host-facts")
-    dealt = rows.join(facts, "host").withColumn("chunk", F.pmod(F.xxhash64("row"), "chunks"))
-    # Where no page is open and no block a template, repeats decide nothing.
-    windows = _host_windows(dealt.filter("chunks > 1 and (any_open or templates is not null)"))
+    dealt = rows.join(sizes, "host").withColumn("chunk", F.pmod(F.xxhash64("row"), "chunks"))
+    # Where markup decides on every block, repeats are not sought.
+    windows = _host_windows(dealt.filter("chunks > 1 and any_open"))
 
     def extract(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         once = rows.drop_duplicates("blocks")
         unpacked = [_unpacked(p) for p in once["blocks"]]
-        if len(rows) and rows["chunks"].iloc[0] > 1:
-            held = rows["templates"].iloc[0]
-            told = set() if held is None else set(map(int, held)), np.sort(found["window"].to_numpy(np.int64))
-        else:
-            told = ()
-        texts = dict(zip(once["blocks"], unique_runs(unpacked, *told)))
+        texts = dict(zip(once["blocks"], unique_runs(unpacked, np.sort(found["window"].to_numpy(np.int64)))))
         text = [texts[p] for p in rows["blocks"]]
         return rows[["page_id", "url"]].assign(text=text, n_chars=[len(t) for t in text])
 
-    own = dealt.select("page_id", "url", "host", "chunk", "chunks", "templates", "blocks").groupBy("host", "chunk")
+    own = dealt.select("page_id", "url", "host", "chunk", "blocks").groupBy("host", "chunk")
     texts = own.cogroup(windows.groupBy("host", "chunk")).applyInPandas(extract, _TEXTS)
     return texts.withColumn("page_id", F.col("page_id").cast("bigint"))

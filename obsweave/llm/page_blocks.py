@@ -5,7 +5,8 @@ from __future__ import annotations
 import html
 import re
 
-DROP, MAIN, OPEN = 0, 1, 2  # boilerplate by markup; inside the article; neither
+# Boilerplate by markup; inside the article; neither; inside it, but named like boilerplate.
+DROP, MAIN, OPEN, NAMED = 0, 1, 2, 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -32,45 +33,78 @@ _MARKED = frozenset(
     "trending comment comments disqus respond replies pagination pager toolbar copyright".split()
 )
 _MARKED_ARTICLE = frozenset("ad ads advert advertisement sponsored promo related teaser comment comments reply".split())
+_LOOSE = "~"  # in place of the name of an inline element without an end tag
+# As a whole class inside an article these say what an element is; other marks,
+# and these as a piece of a longer class, may be about the article itself.
+_MARKED_INSIDE = frozenset(
+    "ad ads advert adverts advertisement advertising sponsored sponsor sidebar widget navbar navigation breadcrumb "
+    "breadcrumbs cookie cookies consent gdpr popup modal overlay newsletter subscribe share sharing related "
+    "recommendations comment comments disqus respond pagination pager".split()
+)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar".split())
 
 
-def _hidden(name: str, rest: str) -> tuple[bool, bool]:
-    """Whether markup makes the element boilerplate, and whether its role is main."""
+def _hidden(name: str, rest: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether markup makes the element boilerplate, only names it like some, and whether its role is main.
+
+    ``inside`` an article or a main element names count less.
+    """
     if name in _BOILERPLATE:
-        return True, False
+        return True, False, False
     if not rest or name in ("html", "body"):
-        return False, False
-    words, role = set(), ""
+        return False, False, False
+    whole, role = set(), ""
     for key, value in _ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "role":
             role = value
         elif key == "hidden" or key == "aria-hidden":
             if key == "hidden" or value == "true":
-                return True, False
+                return True, False, False
         else:
-            words.update(re.split(r"[^a-z0-9]+", value))
-    marked = _MARKED_ARTICLE if name in ("article", "main") or role == "main" else _MARKED
-    return bool(words & marked) or role in _ROLES, role == "main"
+            whole.update(value.split())
+    pieces = {piece for word in whole for piece in re.split(r"[^a-z0-9]+", word)}
+    if role in _ROLES:
+        return True, False, False
+    if name in ("article", "main") or role == "main":
+        return bool(pieces & _MARKED_ARTICLE), False, role == "main"
+    if inside:
+        return bool(whole & _MARKED_INSIDE), bool(pieces & _MARKED), False
+    return bool(pieces & _MARKED), False, False
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
     """(zone, text) of each block: references decoded, white space one blank, none empty.
 
     Scripts, styles, comments and tags are no text.  A block ends where an
-    element that is not inline starts or ends.  Without an article element (or
-    main, if there is none) no block is ``MAIN``.
+    element that is not inline starts or ends, and where an inline one that is
+    boilerplate does; that one ends with its own end tag, or with its block if it
+    has none.  Without an article element (or main, if there is none) no block
+    is ``MAIN`` or ``NAMED``.
     """
-    stack: list[tuple[str, bool, bool, bool]] = []  # name, boilerplate, in article, in main: of it or an outer one
-    found: list[tuple[bool, bool, bool, str]] = []
+    # Name, boilerplate, named like it, in article, in main: of it or an outer one.
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
+    found: list[tuple[bool, bool, bool, bool, str]] = []
     pending: list[str] = []
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(pending)).split())
         pending.clear()
         if text:
-            found.append((*(stack[-1][1:] if stack else (False, False, False)), text))
+            found.append((*(stack[-1][1:] if stack else (False, False, False, False)), text))
+
+    with_end: dict[str, set[int]] = {}
+
+    def ended(name: str) -> set[int]:
+        """Where the elements of a name start that have an end tag of their own."""
+        if name not in with_end:
+            with_end[name], open_at = set(), []
+            for tag in re.finditer(rf"<(/?){re.escape(name)}(?=[\s/>])", page, re.I):
+                if not tag[1]:
+                    open_at.append(tag.start())
+                elif open_at:
+                    with_end[name].add(open_at.pop())
+        return with_end[name]
 
     at, unclosed = 0, set()  # names without an end tag from here on
     while token := _TOKEN.search(page, at):
@@ -89,32 +123,49 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if not name:
             continue
         name = name.lower()
-        if name in _INLINE and not token["rest"]:
-            continue
+        inline = name in _INLINE
+        depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None) if token["close"] or inline else None
         if token["close"]:
-            if name in _INLINE and not any(s[0] == name for s in stack):
+            # An inline element ends one on the stack only within its own block.
+            if inline and depth is None:
                 continue
-            flush()
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
-                    break
+            if not inline or stack[depth][1] or stack[depth][2]:
+                flush()
+            if depth is not None:
+                del stack[depth:]
             continue
-        boilerplate, is_main = _hidden(name, token["rest"])
-        if name in _INLINE and not boilerplate:
+        outer = stack[-1] if stack else ("", False, False, False, False)
+        boilerplate, named, is_main = _hidden(name, token["rest"], outer[3] or outer[4])
+        empty = name in _VOID or token["rest"].endswith("/")
+        if inline and not boilerplate and not named:
+            # Within one of its name it is kept count of, so that each end tag finds its own.
+            if depth is not None and not empty:
+                stack.append((name, *outer[1:]))
             continue
         flush()
-        if name in _VOID or token["rest"].endswith("/"):
+        if empty:
             continue
-        if stack and stack[-1][0] in _CLOSED_BY_NEXT:
-            closers = _CLOSED_BY_NEXT[stack[-1][0]]
-            if closers is None or name in closers:
+        if inline and token.start() not in ended(name):
+            name = _LOOSE
+        elif not inline:
+            while stack and stack[-1][0] == _LOOSE:
                 stack.pop()
-        outer = stack[-1] if stack else ("", False, False, False)
-        article = outer[2] or (name == "article" and not boilerplate)
-        main = outer[3] or name == "main" or is_main
-        stack.append((name, outer[1] or boilerplate, article, main))
+            block = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] not in _INLINE), None)
+            if block is not None and stack[block][0] in _CLOSED_BY_NEXT:
+                closers = _CLOSED_BY_NEXT[stack[block][0]]
+                if closers is None or name in closers:
+                    del stack[block:]
+            outer = stack[-1] if stack else ("", False, False, False, False)
+        article = outer[3] or (name == "article" and not boilerplate)
+        main = outer[4] or name == "main" or is_main
+        stack.append((name, outer[1] or boilerplate, outer[2] or named, article, main))
     pending.append(page[at:])
     flush()
-    inside = 1 if any(f[1] and not f[0] for f in found) else 2 if any(f[2] and not f[0] for f in found) else 0
-    return [(DROP if f[0] else MAIN if inside and f[inside] else DROP if inside else OPEN, f[3]) for f in found]
+    inside = next((i for i in (2, 3) if any(f[i] and not f[0] for f in found)), 0)
+
+    def zone(hidden: bool, named: bool, article: bool, main: bool) -> int:
+        if hidden or (inside and not (article if inside == 2 else main)):
+            return DROP
+        return OPEN if not inside else NAMED if named else MAIN
+
+    return [(zone(*f[:4]), f[4]) for f in found]

@@ -1,12 +1,14 @@
 """Extraction against pages made from known articles, and odd markup."""
 
 import html as references
+import random
 import re
 
 import numpy as np
+import pytest
 
 from obsweave.llm import html_text, queries
-from obsweave.llm.page_blocks import DROP, MAIN, OPEN, blocks
+from obsweave.llm.page_blocks import _INLINE, _VOID, DROP, MAIN, NAMED, OPEN, blocks
 
 
 def article_text(page):
@@ -67,26 +69,81 @@ def test_repeated_runs_fall_outside_articles(spark):
     assert html_text.main_text(pages.limit(0)).collect() == []
 
 
-def test_template_block_inside_articles():
+def main_texts(page):
+    return " ".join(t for z, t in blocks(page) if z in (MAIN, NAMED))
+
+
+@pytest.mark.parametrize("name", sorted(_INLINE - _VOID))
+def test_inline_boilerplate_ends_where_it_ends(name):
+    for word in ("related", "ad", "share", "comment", "newsletter"):
+        mark = f'<{name} class="{word}">'
+        assert main_texts(f"<article><p>a {mark}inline</{name}> b</p><p>c</p></article>") == "a b c"
+        assert main_texts(f"<article><p>a {mark}in <{name}>x</{name}> y</{name}> b</p><p>c</p></article>") == "a b c"
+        assert main_texts(f"<article><p>a {mark}in <{name} id=q>x</{name} ><u>y</u></{name}> b<p>c</article>") == "a b c"
+        assert main_texts(f"<article><p>a {mark}one</{name}> b {mark}two</{name}> c</p>d</article>") == "a b c d"
+        assert main_texts(f"<article>{mark}<div>no <p>no</p></div></{name}><p>c</p></article>") == "c"
+        # Without an end tag it ends with its block, or with the next.
+        assert main_texts(f"<article><p>a {mark}inline</p><p>c <{name}>d</{name}></p></article>") == "a c d"
+        assert main_texts(f"<article><p>a {mark}inline<p>c</article>") == "a c"
+        assert main_texts(f"<article>a {mark}inline<div>c</div> d</article>e") == "a c d"
+
+
+def test_made_pages_by_brute_force():
+    """Articles put together from known pieces, some of them boilerplate, in any nesting."""
+    draw = random.Random(5)
+
+    def piece(depth, tell):
+        word = f"w{draw.randrange(10**6)}"
+        kind = draw.randrange(6 if depth else 3)
+        if kind == 0:
+            return word, word if tell else ""
+        if kind == 1:
+            name, word_of = draw.choice(["span", "b", "em", "a", "i"]), draw.choice(["ad", "related", "share"])
+            return f'<{name} class="{word_of}">{word}</{name}>', ""
+        if kind == 2:
+            return f"<b>{word}</b>", word if tell else ""
+        inner = [piece(depth - 1, tell and kind != 5) for _ in range(draw.randrange(1, 4))]
+        opened, closed = ("<p>", "</p>") if kind == 3 else ("<div>", "</div>") if kind == 4 else ("<aside>", "</aside>")
+        if kind == 3:
+            inner = [piece(0, tell) for _ in inner]
+        return opened + " ".join(a for a, _ in inner) + closed, " ".join(t for _, t in inner if t)
+
+    for _ in range(300):
+        parts = [piece(3, True) for _ in range(4)]
+        page = f"<nav>n</nav><article>{' '.join(a for a, _ in parts)}</article><footer>f</footer>"
+        assert main_texts(page) == " ".join(" ".join(t for _, t in parts).split())
+
+
+def test_names_inside_articles_need_repeats():
+    """A class that may be about the article itself drops a block only if other pages repeat it."""
+    for mark in ("p class=content-notice", "div class=promo-article", "h2 class=menu", "li class=social", "div class='article-header'"):
+        tag = mark.split()[0]
+        page = lambda i, text: blocks(f"<article><{mark}>{text}</{tag}><p>story {i} of this page</article>")
+        assert list(html_text.unique_runs([page(i, f"says {i}") for i in range(4)])) == [f"says {i} story {i} of this page" for i in range(4)]
+        assert list(html_text.unique_runs([page(i, "the same") for i in range(2)])) == [f"story {i} of this page" for i in range(2)]
+        assert list(html_text.unique_runs([page(1, "the same")] * 3)) == ["the same story 1 of this page"] * 3
+
+
+def test_what_articles_share_is_text():
     notice = "read all our terms and conditions before you go on"
-    pages = [[(MAIN, notice), (MAIN, f"text {i} and more words that differ {i}")] for i in range(30)]
-    assert list(html_text.unique_runs(pages)) == [f"text {i} and more words that differ {i}" for i in range(30)]
-    # A passage that only some pages share is text.
-    pages = [[(MAIN, notice if i % 2 else f"own {i}"), (MAIN, f"text {i}")] for i in range(30)]
-    assert list(html_text.unique_runs(pages)) == [f"{notice if i % 2 else f'own {i}'} text {i}" for i in range(30)]
+    for n in (2, 19, 20, 30):
+        pages = [[(MAIN, notice), (MAIN, f"text {i}")] for i in range(n)]
+        assert list(html_text.unique_runs(pages)) == [f"{notice} text {i}" for i in range(n)]
 
 
 def test_copies_are_one_page():
-    notice, story = "read all our terms and conditions before you go on", "one story that many rows carry again and again"
+    story = "one story that many rows carry again and again"
     for zone in (MAIN, OPEN):
         copies = [[(DROP, f"menu {i} of some words that every page has {i % 3}"), (zone, story), (zone, "short end")] for i in range(30)]
         assert list(html_text.unique_runs(copies)) == [f"{story} short end"] * 30
         assert list(html_text.unique_runs([copies[0]] * 30)) == [f"{story} short end"] * 30
-    # A template still goes where enough pages differ, from each of their copies too.
-    pages = [[(MAIN, notice), (MAIN, f"text {i} and more words that differ {i}")] for i in range(25) for _ in range(3 + 40 * (i == 7))]
-    assert list(html_text.unique_runs(pages)) == [page[1][1] for page in pages]
-    pages = [[(MAIN, notice), (MAIN, f"text {i % 19}")] for i in range(60)]
-    assert list(html_text.unique_runs(pages)) == [f"{notice} text {i % 19}" for i in range(60)]
+
+
+def test_near_copies_keep_their_text():
+    body = " ".join(f"word{i}" for i in range(100))
+    for n in (2, 40):
+        pages = [[(OPEN, f"on day {i} of the month"), (OPEN, body)] for i in range(n)]
+        assert list(html_text.unique_runs(pages)) == [f"on day {i} of the month {body}" for i in range(n)]
 
 
 def test_chunks_do_not_show(spark, monkeypatch):
@@ -94,14 +151,15 @@ def test_chunks_do_not_show(spark, monkeypatch):
     word = lambda n: " ".join(f"w{i}" for i in draw.integers(0, 10**6, n))
     pair = [word(12) for _ in range(20)]  # each on two pages of 40 only
     rows = [(i, f"http://big/{i}", f"<div>{pair[i % 20]}</div><p>{word(9)}</p><p>end</p>") for i in range(40)]
-    notice = word(4)  # short: goes only where its neighbours repeat as well
-    rows += [(100 + i, f"http://news/{i}", f"<article><p>{notice}<p>{'a b c d e f' if i % 2 else word(6)}<p>{word(5)}</article>") for i in range(30)]
+    notice = word(4)
+    rows += [(100 + i, f"http://news/{i}", f"<article><p class=top-menu>{notice if i in (3, 25) else word(4)}<p>{word(5)}</article>") for i in range(30)]
     rows += [(200 + i, "http://news/copy", rows[45][2]) for i in range(25)]
     rows += [(300, "http://big/copy", rows[3][2])] * 25 + [(400, "http://small/", rows[3][2]), (401, None, "")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
     texts = lambda: sorted((r.page_id, r.text) for r in html_text.main_text(pages).collect())
     want = texts()
     assert not any(p in t for i, t in want if i < 40 or i == 300 for p in pair)
+    assert not any(notice in t for _, t in want)
     for size in (7, 3):
         monkeypatch.setattr(html_text, "CHUNK_PAGES", size)
         assert texts() == want
