@@ -3,19 +3,21 @@
 The index is a Parquet table bucketed and sorted by the SHA-256 of the
 normalised text.  A batch is reduced to one row per digest before it meets the
 index, so a group of copies never makes a partition heavy; digests the index
-lacks are found by a sort-merge anti join of equal buckets and appended.
+lacks are found by a sort-merge anti join of equal buckets and appended under the
+name of their batch, so a batch that is run again finds its own entries.
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsweave.llm.common import kept, lower_ascii, whole_text
+from obsweave.session import swap_in
 
 
 @dataclass(frozen=True)
@@ -43,6 +45,25 @@ class DigestIndex:
         self.open(rows.sparkSession)
         rows.select("digest", "keep_id", "group_size", "batch").write.insertInto(self.name)
 
+    def compact(self, spark: SparkSession, buckets: int | None = None) -> DigestIndex:
+        """One sorted file a bucket, however many batches came; with ``buckets``, that many from now on.
+
+        The new files are written beside the old ones and take their place when
+        they are complete.  Returns the index to go on with.
+        """
+        after = replace(self, buckets=buckets or self.buckets)
+        fresh = f"{self.path.rstrip('/')}-{uuid.uuid4().hex}"
+        # Read as plain files, or Spark would take the shuffle for done.
+        rows = spark.read.schema(self.open(spark).schema).parquet(self.path).repartition(after.buckets, "digest")
+        writer = rows.write.bucketBy(after.buckets, "digest").sortBy("digest").option("path", fresh)
+        writer.saveAsTable(f"{self.name}_compacted")
+        for name in (f"{self.name}_compacted", self.name):  # the files stay
+            spark.sql(f"DROP TABLE {name}")
+        swap_in(spark, fresh, self.path)
+        after.open(spark)
+        spark.catalog.refreshTable(after.name)
+        return after
+
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per (digest, id) with the number of its rows, ``copies``."""
@@ -54,19 +75,22 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
 
 
-def ingest(docs: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ingest(
+    docs: DataFrame, index: DigestIndex, batch: str, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """Add a batch to the index; one verdict per row of the batch.
 
     Columns ``doc_id, keep_id, group_size, kept, text_sha256``.  Of equal texts
-    within the batch the row with the largest id stays, if the index lacks the
-    text; else none does, and ``keep_id`` and ``group_size`` tell of the batch
-    that brought it.  A null text counts as empty.  Of rows that repeat both id
+    within the batch the row with the largest id stays, if no other batch brought
+    the text; else none does, and ``keep_id`` and ``group_size`` tell of the batch
+    that did.  ``batch`` names the rows: running them again under their name, after
+    a failure at whatever point, appends what is missing and gives the same
+    verdicts; other rows need another name.  A null text counts as empty.  Of rows that repeat both id
     and text one stays.  A null id loses to every other; a group of null ids
     keeps one row, with ``keep_id`` null.  Other columns are not read.  An empty
     batch leaves the index alone and returns no rows.
     """
     spark = docs.sparkSession
-    batch = uuid.uuid4().hex
     rows = kept(digests(docs, id_col, text_col), "digests")
     groups = rows.groupBy("digest").agg(
         F.max("doc_id").alias("keep_id"),

@@ -70,7 +70,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against a new digest index."""
     index = exact_dedup.DigestIndex(scratch_path(spark, "digest-index"))
-    return exact_dedup.ingest(table(spark, sf_dir, "documents"), index)
+    return exact_dedup.ingest(table(spark, sf_dir, "documents"), index, "documents")
 
 
 def op6_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
