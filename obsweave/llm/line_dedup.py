@@ -14,8 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsweave.llm.common import WHITE, kept, lower_ascii, whole_text
+from obsweave.operators.ranking import free_name
 
-HEAVY_PARTS = 256  # a key with more than this part of all lines is heavy
+HEAVY_LINES = 5_000  # a key with more lines than this is heavy
+HEAVY_KEYS = 1_000_000  # at most; the bound grows with tables in which there would be more
 
 
 def line_key(line: Column) -> Column:
@@ -45,10 +47,9 @@ def repeated_lines(lines: DataFrame, min_docs: int) -> DataFrame:
     """``doc_id, body, pos`` of every line that falls."""
     key = ["h1", "h2"]
     total = lines.count()
-    heavy = (
-        lines.groupBy(*key).count().filter(F.col("count") > total / HEAVY_PARTS).select(*key)
-    )
-    heavy = F.broadcast(kept(heavy, "heavy-lines"))  # fewer than HEAVY_PARTS rows
+    most = max(HEAVY_LINES, total / HEAVY_KEYS)
+    heavy = lines.groupBy(*key).count().filter(F.col("count") > most).select(*key)
+    heavy = F.broadcast(kept(heavy, "heavy-lines"))  # fewer than HEAVY_KEYS rows of 16 bytes
 
     largest_first = Window.partitionBy(*key).orderBy(F.col("doc_id").desc_nulls_last(), "pos")
     run = Window.partitionBy(*key)
@@ -98,27 +99,34 @@ def keep_bitmaps(
 def apply_bitmaps(
     docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """The documents with ``kept_text, n_lines, n_dropped`` added; null text reads as empty."""
-    marks = bitmaps.select(
-        F.col("doc_id").alias("_id"), F.col("body").alias("_body"), F.col("keep").alias("_keep")
-    )
-    text = whole_text(text_col)
+    """The documents with ``kept_text, n_lines, n_dropped`` added; null text reads as empty.
+
+    Columns of these three names that the documents have already are replaced;
+    all others stay, whatever they are called.
+    """
+    mark, text = free_name(docs, "_mark"), free_name(docs, "_text")
+    key = F.struct(F.col("doc_id").alias("id"), "body", "keep")
+    marks = bitmaps.select(key.alias(mark))
     stays = F.expr(
-        "filter(split(_text, '\\n', -1), (line, i) -> "
-        "(shiftright(coalesce(try_element_at(_keep, i div 64), -1L), i % 64) & 1) = 1)"
+        f"filter(split({text}, '\\n', -1), (line, i) -> "
+        f"(shiftright(coalesce(try_element_at({mark}.keep, i div 64), -1L), i % 64) & 1) = 1)"
     )
-    fallen = F.expr("aggregate(map_values(_keep), 0L, (n, w) -> n + bit_count(~w))")
-    return (
-        docs.withColumn("_text", text)
-        .withColumn("_hash", F.xxhash64("_text"))
-        .join(marks, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_body")), "left")
-        .withColumn("n_lines", (F.char_length("_text") - F.char_length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1).cast("bigint"))
-        .withColumn("n_dropped", F.coalesce(fallen, F.lit(0).cast("bigint")))
-        .withColumn("kept_text", F.when(F.col("_keep").isNull(), F.col("_text")).otherwise(F.array_join(stays, "\n")))
-        .drop("_text", "_hash", "_id", "_body", "_keep")
+    fallen = F.expr(f"aggregate(map_values({mark}.keep), 0L, (n, w) -> n + bit_count(~w))")
+    joined = docs.withColumn(text, whole_text(text_col)).join(
+        marks,
+        F.col(id_col).eqNullSafe(F.col(f"{mark}.id")) & (F.xxhash64(text) == F.col(f"{mark}.body")),
+        "left",
     )
+    breaks = F.char_length(text) - F.char_length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+    return joined.withColumns(
+        {
+            "n_lines": (breaks + 1).cast("bigint"),
+            "n_dropped": F.coalesce(fallen, F.lit(0).cast("bigint")),
+            "kept_text": F.when(F.col(mark).isNull(), F.col(text)).otherwise(F.array_join(stays, "\n")),
+        }
+    ).drop(mark, text)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **limits) -> DataFrame:
-    """``apply_bitmaps`` of ``keep_bitmaps``: one row per document, in no order."""
+    """``apply_bitmaps`` of ``keep_bitmaps``: one row per document, in no order, all its columns kept."""
     return apply_bitmaps(docs, keep_bitmaps(docs, id_col, text_col, **limits), id_col, text_col)

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from obsweave.llm import wordhash
 from obsweave.llm.common import kept, release_arrow_memory, whole_text
+from obsweave.operators.ranking import free_name
 
 SAMPLE = 8_000  # labelled documents that a fit takes at most
 BINS = 1 << 18  # hashed words
@@ -236,19 +237,24 @@ def classify(
     and paths; repeated rows are judged alike; an empty table stays empty.
     Columns of these names that the input has already are replaced.
     """
-    judged = docs.drop("host_rate", "path_rate", "quality", "kept").withColumn(
+    made = [c for c in ("host_rate", "path_rate", "quality", "kept") if c not in (host, path)]
+    judged = docs.drop(*made).withColumn(
         "evidence", evidence(model, whole_text(text_col))
     )
     scores = judged.select(
         F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"), "evidence"
     )
-    rates = kept(posteriors(scores), "rates")
+    found = free_name(judged, "_rates")
+    rates = kept(posteriors(scores), "rates").select(F.struct("_host", "_path", "host_rate", "path_rate", "shift").alias(found))
     if rates.count() <= BROADCAST_PATHS:
         rates = F.broadcast(rates)
-    same = F.col(host).cast("string").eqNullSafe(F.col("_host")) & F.col(path).cast("string").eqNullSafe(F.col("_path"))
+    sites = ((host, "_host"), (path, "_path"))
+    same = [F.col(c).cast("string").eqNullSafe(F.col(f"{found}.{name}")) for c, name in sites]
+    odds = F.col("evidence") + F.col(f"{found}.shift")
     return (
-        judged.join(rates, same)
-        .withColumn("quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("evidence") + F.col("shift")))))
+        judged.join(rates, same[0] & same[1])
+        .withColumns({c: F.col(f"{found}.{c}") for c in ("host_rate", "path_rate")})
+        .withColumn("quality", F.lit(1.0) / (F.lit(1.0) + F.exp(-odds)))
         .withColumn("kept", F.col("quality") >= 0.5)
-        .drop("_host", "_path", "shift")
+        .drop(found)
     )

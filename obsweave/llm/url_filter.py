@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from obsweave.llm.common import kept, lower_ascii
+from obsweave.operators.ranking import free_name
 
 MAX_BITS = 1 << 26  # 8 MB a level; a longer list raises
 
@@ -169,12 +170,10 @@ def judge(
         lambda key: F.struct(key.alias("rule"), verdict(key).alias("verdict")),
     )
     first = F.get(F.filter(judged, lambda j: j["verdict"].isNotNull()), F.lit(0))
+    of_page = pages.drop("rule", "verdict").withColumns({"host": host, "path": path})
+    hit = free_name(of_page, "_hit")
     return (
-        pages.drop("rule", "verdict")
-        .withColumns({"host": host, "path": path})
-        .withColumn("_first", first)
-        .withColumns(
-            {"rule": F.col("_first.rule"), "verdict": F.coalesce("_first.verdict", F.lit(default))}
-        )
-        .drop("_first")
+        of_page.withColumn(hit, first)
+        .withColumns({"rule": F.col(f"{hit}.rule"), "verdict": F.coalesce(f"{hit}.verdict", F.lit(default))})
+        .drop(hit)
     )

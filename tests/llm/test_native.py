@@ -42,16 +42,61 @@ ODD_DOCS = [
 def test_exact_dedup_odd_rows(frame):
     docs = frame([*ODD_DOCS, (3, "Text A")])
     index = exact_dedup.DigestIndex(scratch_path(docs.sparkSession, "index"), 4)
-    same(exact_dedup.ingest(docs, index).collect(), answers(docs, "documents", oracle.SQL["op5_exact_dedup"]))
+    same(exact_dedup.ingest(docs, index, "b").collect(), answers(docs, "documents", oracle.SQL["op5_exact_dedup"]))
 
 
 def test_exact_dedup_next_batch(frame, spark):
     index = exact_dedup.DigestIndex(scratch_path(spark, "index"), 4)
-    exact_dedup.ingest(frame([(1, "a"), (2, "b")]), index).collect()
-    found = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.ingest(frame([(3, "A"), (4, "c"), (5, "c")]), index).collect()}
+    exact_dedup.ingest(frame([(1, "a"), (2, "b")]), index, "first").collect()
+    found = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.ingest(frame([(3, "A"), (4, "c"), (5, "c")]), index, "second").collect()}
     assert found == {3: (1, False), 4: (5, False), 5: (5, True)}
     assert index.open(spark).count() == 3
-    assert exact_dedup.ingest(frame([]), index).collect() == []
+    assert exact_dedup.ingest(frame([]), index, "third").collect() == []
+
+
+def test_exact_dedup_batch_run_again(frame, spark, monkeypatch):
+    index = exact_dedup.DigestIndex(scratch_path(spark, "index"), 4)
+    exact_dedup.ingest(frame([(1, "a"), (2, "b")]), index, "first").collect()
+    rows = frame([(3, "A"), (4, "c"), (5, "c"), (6, None), (None, "")])
+    first = sorted(exact_dedup.ingest(rows, index, "second").collect(), key=str)
+    assert sorted(exact_dedup.ingest(rows, index, "second").collect(), key=str) == first
+    assert index.open(spark).count() == 4
+    # Lost between the append and the verdicts.
+    more = frame([(7, "d"), (8, "d"), (9, "a")])
+    with monkeypatch.context() as broken:
+        append = exact_dedup.DigestIndex.append
+        broken.setattr(exact_dedup.DigestIndex, "append", lambda self, r: (append(self, r), 1 / 0))
+        with pytest.raises(ZeroDivisionError):
+            exact_dedup.ingest(more, index, "third")
+    found = {r.doc_id: (r.keep_id, r.kept) for r in exact_dedup.ingest(more, index, "third").collect()}
+    assert found == {7: (8, False), 8: (8, True), 9: (1, False)}
+
+
+def test_exact_dedup_compaction(frame, spark):
+    index = exact_dedup.DigestIndex(scratch_path(spark, "index"), 4)
+    for batch in range(4):
+        exact_dedup.ingest(frame([(10 * batch + i, f"text {i + batch}") for i in range(9)]), index, str(batch)).collect()
+    before = sorted(index.open(spark).collect())
+    files = lambda: len(index.open(spark).inputFiles())
+    assert files() > 4
+    index = index.compact(spark)
+    assert files() == 4 and sorted(index.open(spark).collect()) == before
+    index = index.compact(spark, buckets=2)
+    assert files() == 2 and sorted(index.open(spark).collect()) == before
+    found = {r.doc_id: r.kept for r in exact_dedup.ingest(frame([(90, "text 3"), (91, "new")]), index, "last").collect()}
+    assert found == {90: False, 91: True}
+
+
+def test_helper_names_clash(spark):
+    """Input columns of the helpers' own names stay as they are."""
+    names = ["_id", "_keep", "_body", "_hash", "_text", "_mark", "_first", "_hit", "__mark", "position"]
+    rows = [(i, f"http://example.org/en/{i}", LINE if i < 3 else "own", *[f"{n}{i}" for n in names]) for i in range(4)]
+    docs = spark.createDataFrame(rows, ["doc_id", "url", "text", *names])
+    for out in (
+        line_dedup.dedup_lines(docs),
+        url_filter.judge(docs, spark.sql(queries.URL_RULES_SQL)),
+    ):
+        assert sorted(tuple(r) for r in out.select(docs.columns).collect()) == rows
 
 
 def test_exact_dedup_anti_join_keeps_the_buckets(frame, spark, capsys):

@@ -47,3 +47,13 @@ def test_repeated_ids_count_once(frame, spark):
     once, often = (quality.fit(frame(docs), labels) for docs in (rows, rows + rows[3:4] * 50))
     texts = [r[1] for r in rows]
     assert np.array_equal(once.evidence(texts), often.evidence(texts))
+
+
+def test_helper_names_clash(frame, spark):
+    names = ["_host", "_path", "shift", "_rates", "_mark", "host", "path", "good", "rows"]
+    rows = [(i, "good words" if i % 2 else "bad thing", "s", "en", *[f"{n}{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, ["doc_id", "text", "source", "lang", *names])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id bigint, quality int, toxic int")
+    judged = quality.classify(docs, quality.fit(docs, labels))
+    assert sorted(tuple(r) for r in judged.select(docs.columns).collect()) == rows
+    assert judged.columns == [*docs.columns, "evidence", "host_rate", "path_rate", "quality", "kept"]
