@@ -145,6 +145,17 @@ def mix(
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(rate + 1e-12)
     chunks = F.ceil(F.col("rows") / CHUNK_ROWS)
+    # Rows alike in all that counts, which may be a third of a source, are counted
+    # and numbered, so that they are dealt to as many nodes as others.
+    again = F.sequence(F.lit(0).cast("bigint"), F.call_function("div", F.col("alike") - 1, F.lit(CHUNK_ROWS)))
+    block = F.col("block") * CHUNK_ROWS
+    copies = F.sequence(block, F.least(block + CHUNK_ROWS, F.col("alike")) - 1)
+    sized = (
+        sized.groupBy("doc_id", "source", "size")
+        .agg(F.count("*").alias("alike"))
+        .withColumn("block", F.explode(again))
+        .withColumn("copy", F.explode(copies))
+    )
     rows = sized.join(targets, F.col("source").eqNullSafe(F.col("_source"))).select(
         "doc_id",
         "source",
@@ -153,7 +164,7 @@ def mix(
         "target",
         whole.cast("bigint").alias("whole"),
         F.greatest(rate - whole, F.lit(0.0)).alias("part"),
-        F.pmod(F.xxhash64("doc_id", "size"), chunks).alias("node"),
+        F.pmod(F.when(F.col("alike") == 1, F.xxhash64("doc_id", "size")).otherwise(F.xxhash64("doc_id", "size", "copy")), chunks).alias("node"),
         F.lit(False).alias("done"),
     )
     nodes = -(-(targets.agg(F.max("rows")).first()[0] or 1) // CHUNK_ROWS)
