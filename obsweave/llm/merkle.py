@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from obsweave.llm.common import kept
-from obsweave.operators.ranking import with_position
+from obsweave.operators.ranking import small, with_position
 
 WIDTH = 8
-BLOCK = WIDTH**3  # nodes that a window orders at once, 64 runs
+BLOCK = WIDTH**2  # nodes that a window orders at once, 8 runs
+GROUPS = 10_000  # whose facts are broadcast; with more groups a join deals the rows by them
 
 NOTHING = bytearray()
 
@@ -135,7 +136,7 @@ def _placed(nodes: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Nodes with ``position`` and ``total`` within their group."""
     placed = with_position(nodes, order, within=["grp"])
     totals = placed.groupBy(F.col("grp").alias("of_grp")).agg(F.count(F.lit(1)).alias("total"))
-    return placed.join(totals, F.col("grp") == F.col("of_grp")).drop("of_grp")
+    return placed.join(small(totals, "merkle-totals", GROUPS), F.col("grp") == F.col("of_grp")).drop("of_grp")
 
 
 def manifest(
@@ -177,7 +178,7 @@ def manifest(
     upper = levels(tops)
     root = subroots(upper).select(F.col("grp"), F.col("digest").alias("root"))  # one row
     tops = with_paths(upper).select("grp", "of", F.col("digest").alias("subroot"), F.col("path").alias("top_path"))
-    tops = tops.join(F.broadcast(root), "grp").drop("grp")
+    tops = small(tops.join(F.broadcast(root), "grp").drop("grp"), "merkle-tops", GROUPS)
 
     path = F.concat("path", "top_path")
     return (
