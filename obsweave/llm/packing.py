@@ -20,14 +20,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from obsweave.llm.common import kept, release_arrow_memory, whole_text
+from obsweave.operators.ranking import with_position
 
 END_ID = 1  # follows the ids of every document
 MEMO_WORDS = 300_000  # words whose ids a task remembers, and as many older ones
-RANK_ROWS = 200_000  # pieces of one length that one task ranks
 
 _PIECES = "doc_id string, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -207,28 +207,6 @@ def plan(counts: dict[int, int], capacity: int) -> np.ndarray:
     return np.array(sorted(segments), np.int64).reshape(-1, 5)
 
 
-def _ranked(rows: DataFrame, most: int) -> DataFrame:
-    """``rank`` of each piece among those of its length, from 0; long ranks are split."""
-    salts = -(-most // RANK_ROWS)
-    order = ["doc_id", "piece", "start", "ids_crc32"]
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*order), F.lit(max(1, salts))))
-    before = F.sum("rows").over(
-        Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        salted.groupBy("length", "salt")
-        .agg(F.count("*").alias("rows"))
-        .select("length", "salt", F.coalesce(before, F.lit(0)).alias("before"))
-    )
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1
-    return (
-        salted.withColumn("within", within)
-        .join(offsets, ["length", "salt"])
-        .withColumn("rank", F.col("before") + F.col("within"))
-        .drop("salt", "within", "before")
-    )
-
-
 def pack(
     docs: DataFrame,
     tokenizer_path: str,
@@ -259,7 +237,8 @@ def pack(
             )
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    ranked = _ranked(rows, max(counts.values(), default=1)).select(*columns, "rank")
+    # Pieces of one length are interchangeable; their ranks come from ranges.
+    ranked = with_position(rows, columns, within=["length"], name="rank").select(*columns, "rank")
     placed = ranked.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(
         place, _PIECES + ", sequence_id bigint, offset bigint"
     )
