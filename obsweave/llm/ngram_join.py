@@ -4,15 +4,17 @@ Tokens are a document's distinct word shingles.  All documents order them alike:
 rare ones first, frequent ones last, by hash within.  Two documents that link
 share at least ``need`` tokens, so they share one among the first ``size - need
 + 1`` of either.  A rare token there is indexed by itself.  Frequent tokens fall
-into ``CLASSES`` classes; the prefix is extended by as many tokens, and where all
-shared tokens in it are frequent, two of them are of one class: pairs within a
-class are indexed.  Documents with equal sets stand for one another.
+into classes, the more the longer the text; the prefix is extended by as many
+tokens, and where all shared tokens in it are frequent, two of them are of one
+class: pairs within a class are indexed.  Documents with equal sets stand for one
+another.
 
 Who meets under a key is verified on whole texts: first each document against
-one centre, the most ordinary document it meets most often; then, across the
-components this leaves, whoever still meets.  Members of one component are never
-paired, so a group of near copies costs about its size, and no link between
-components is missed.
+one centre, the most ordinary document it meets most often; then, round by round,
+against one member of another component, as long as that makes much fewer pairs
+of those that are left; at last, across the components that remain, whoever still
+meets.  Members of one component are never paired, so a group of near copies
+costs about its size, and no link between components is missed.
 """
 
 from __future__ import annotations
@@ -32,7 +34,10 @@ from obsweave.llm.components import components
 
 FREQUENT = 32  # documents that make a token frequent
 FREQUENT_TOKENS = 2_000_000  # frequent tokens that tasks hold (16 MB); beyond, only the more frequent count
-CLASSES = 8
+CLASSES = 8  # of the frequent tokens of a short text
+CLASS_TOKENS = 50  # of a longer text's prefix a class may hold
+ROUND_PAIRS = 4  # pairs a document that may be left without a further round
+ROUND_GAIN = 0.9  # a round must leave at most this part of the pairs, or it was the last
 BUCKET_TOKENS = 2_000_000  # tokens that one counting task takes
 FLUSH_TOKENS = 1_000_000  # tokens that a counting task holds before it sends them
 BROADCAST_IDS = 2_000_000  # ids (16 MB) up to which texts are looked up without a shuffle
@@ -138,6 +143,17 @@ def frequency_test(spark: SparkSession, marks: np.ndarray, shift: int):
     return is_frequent
 
 
+def class_counts(size: int, similar: Similarity) -> list[int]:
+    """In how many classes a set's frequent tokens are dealt, once for each number that a partner may go by.
+
+    A pair goes by the larger of its sets; numbers change where sizes double, so
+    that there are few.  They grow with the size, and keys grow no faster.
+    """
+    largest = 100 * size // similar.percent
+    prefixes = ((1 << bits - 1) * (100 - similar.percent) // 100 for bits in range(max(1, size.bit_length()), max(1, largest.bit_length()) + 1))
+    return sorted({max(CLASSES, prefix // CLASS_TOKENS) for prefix in prefixes})
+
+
 def index_keys(tokens: np.ndarray, often: np.ndarray, similar: Similarity) -> tuple[np.ndarray, np.ndarray]:
     """The keys a set is indexed by, and how many tokens it can share with whom it meets there first.
 
@@ -150,20 +166,22 @@ def index_keys(tokens: np.ndarray, often: np.ndarray, similar: Similarity) -> tu
     need = similar.need(size)
     prefix = size - need + 1
     rare, frequent = tokens[~often], tokens[often]
-    room = prefix + CLASSES - len(rare)
-    if not len(frequent) or room <= 0:
+    counts = class_counts(size, similar)
+    if not len(frequent) or prefix + counts[-1] <= len(rare):
         own = rare[:prefix]
-        return own, size - np.arange(len(own))
-    keys, most = [rare], [size - np.arange(len(rare))]
-    if need <= CLASSES:  # too few shared tokens for two of a class
+        return own, size - np.arange(len(own), dtype=np.int32)
+    keys, most = [rare], [size - np.arange(len(rare), dtype=np.int32)]
+    if need <= counts[-1]:  # too few shared tokens for two of a class
         keys.append(frequent[: max(0, prefix - len(rare))])
-        most.append(len(frequent) - np.arange(len(keys[-1])))
-    extended = frequent[:room]
-    for c in range(CLASSES):
-        own = extended[extended % np.uint64(CLASSES) == c]
-        i, j = np.triu_indices(len(own), 1)
-        keys.append(wordhash.scramble(own[i] * np.uint64(0x9FB21C651E98DF25) + own[j]))
-        most.append(np.full(len(i), -len(frequent)))
+        most.append(len(frequent) - np.arange(len(keys[-1]), dtype=np.int32))
+    for classes in counts:
+        extended = frequent[: max(0, prefix + classes - len(rare))]
+        of_class = extended % np.uint64(classes)
+        salt = np.uint64(0 if classes == CLASSES else classes)
+        for own in np.split(extended[np.argsort(of_class, kind="stable")], np.cumsum(np.bincount(of_class.astype(np.int64), minlength=classes))[:-1]):
+            i, j = np.triu_indices(len(own), 1)
+            keys.append(wordhash.scramble(own[i] * np.uint64(0x9FB21C651E98DF25) + own[j] + salt))
+            most.append(np.full(len(i), -len(frequent), np.int32))
     return np.concatenate(keys), np.concatenate(most)
 
 
@@ -269,17 +287,8 @@ def _stars(met: DataFrame, similar: Similarity) -> DataFrame:
     return best.select(F.col("node").alias("a"), F.col("centre").alias("b"))
 
 
-def _crossing(met: DataFrame, stars: DataFrame, roots: DataFrame, similar: Similarity) -> DataFrame:
-    """Pairs that share a key, lie in different components and may still link.
-
-    Two sets that meet under pairs of frequent tokens only share no rare token.
-    If both were compared with one hub, they share inside it no more than either
-    shares with it, and outside it no more than either has frequent tokens there:
-    who failed against the hub rarely can link to the hub's other near copies.
-    Such sets are paired by hub, once, and not again under each of their keys.
-    Only those are paired whose sizes lie in the same or neighbouring bands: of
-    sets that link, the smaller has ``percent`` of the larger's size at least.
-    """
+def _split_keys(met: DataFrame, stars: DataFrame, roots: DataFrame) -> DataFrame:
+    """The postings of keys that several components have, with ``root`` and the ``main`` one of the key."""
     hubs = stars.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("shared").alias("inside"), "outside")
     placed = met.drop("centre_size", "centre_most").join(hubs, "node", "left").join(roots, "node", "left")
     placed = kept(placed.withColumn("root", F.coalesce("root", "node")), "placed")
@@ -293,7 +302,50 @@ def _crossing(met: DataFrame, stars: DataFrame, roots: DataFrame, similar: Simil
         .filter("low < high")
         .select("key", "main")
     )
-    rows = kept(placed.join(split, "key"), "split-keys")
+    return kept(placed.join(split, "key"), "split-keys")
+
+
+def _pairs_left(rows: DataFrame) -> tuple[int, int]:
+    """At most how many pairs the split keys would give, and how many documents they hold."""
+    sizes = rows.groupBy("key").agg(F.count_if(F.col("root") != F.col("main")).alias("few"), F.count("*").alias("rows"))
+    pairs = sizes.agg(F.sum(F.col("few").cast("double") * F.col("rows"))).first()[0] or 0
+    return pairs, rows.select("node").distinct().count() if pairs else 0
+
+
+def _proposals(rows: DataFrame, done: DataFrame, similar: Similarity, turn: int) -> DataFrame:
+    """For each document one of another component, of those it shares most keys with; none of ``done`` again.
+
+    A key offers two members of different components, each key others and others
+    each turn, so that a document finds those it shares most with.
+    """
+    draw = F.xxhash64("root", "key", F.lit(turn))
+    member = F.struct("root", "node", "size", "most")
+    offers = rows.groupBy("key").agg(F.min_by(member, draw).alias("one"), F.max_by(member, draw).alias("two"))
+    other = F.when(F.col("one.root") != F.col("root"), F.col("one")).otherwise(F.col("two"))
+    met = rows.join(offers, "key").withColumn("other", other).filter("other.root <> root")
+    met = met.select("node", "size", "most", *[F.col(f"other.{c}").alias(f"other_{c}") for c in ("node", "size", "most")])
+    counted = met.filter(_fits("", "other_", similar)).groupBy("node", "other_node").agg(F.count("*").alias("keys"))
+    pairs = counted.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"), "node", "keys")
+    pairs = pairs.join(done, ["a", "b"], "left_anti")
+    best = pairs.groupBy("node").agg(F.max_by(F.struct("a", "b"), F.struct("keys", "a", "b")).alias("pair"))
+    return best.select("pair.*").distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def _crossing(rows: DataFrame, roots: DataFrame, similar: Similarity) -> DataFrame:
+    """Pairs that share a key, lie in different components and may still link; ``rows`` are the split keys.
+
+    Two sets that meet under pairs of frequent tokens only share no rare token.
+    If both were compared with one hub, they share inside it no more than either
+    shares with it, and outside it no more than either has frequent tokens there:
+    who failed against the hub rarely can link to the hub's other near copies.
+    Such sets are paired by hub, once, and not again under each of their keys.
+    Only those are paired whose sizes lie in the same or neighbouring bands: of
+    sets that link, the smaller has ``percent`` of the larger's size at least.
+    """
     few = rows.filter("root <> main").select(
         "key", F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in ("size", "most", "root", "hub")]
     )
@@ -355,9 +407,19 @@ def join_components(
 
     met = kept(_meetings(rows, nodes), "meetings")
     stars = _compared(kept(_stars(met, similar), "stars"), source, similar, is_frequent)
-    linked = stars.filter("links").select("a", "b")
-    crossing = kept(_crossing(met, stars, components(linked), similar), "crossing")
-    across = _compared(crossing, source, similar, is_frequent)
+    linked, done = stars.filter("links").select("a", "b"), _ordered(stars)
+    roots = components(linked)
+    split, before, turn = _split_keys(met, stars, roots), math.inf, 0
+    while True:
+        left, documents = _pairs_left(split)
+        if left <= ROUND_PAIRS * documents or left > ROUND_GAIN * before:
+            break
+        tried = _compared(kept(_proposals(split, done, similar, turn), "proposals"), source, similar, is_frequent)
+        linked, done = linked.union(tried.filter("links").select("a", "b")), done.union(tried.select("a", "b"))
+        roots = components(linked)
+        split, before, turn = _split_keys(met, stars, roots), left, turn + 1
+    crossing = _crossing(split, roots, similar).join(done, ["a", "b"], "left_anti") if turn else _crossing(split, roots, similar)
+    across = _compared(kept(crossing, "crossing"), source, similar, is_frequent)
     roots = components(linked.union(across.filter("links").select("a", "b")))
 
     rooted = nodes.drop("row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

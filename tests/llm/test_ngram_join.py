@@ -75,6 +75,59 @@ def test_near_copies_with_frequent_tokens(frame, monkeypatch, seed):
     assert got(ngram_join.join_components(frame(docs), similar).collect()) == brute(docs, 5, 80)
 
 
+def template_pages(n, seed=1):
+    """Pages of one template of 200 words, each with three of 30 stock phrases in it."""
+    draw = random.Random(seed)
+    template = [f"t{i}" for i in range(200)]
+    phrases = [[f"p{i}w{j}" for j in range(8)] for i in range(30)]
+    docs = []
+    for i in range(n):
+        chosen = [w for p in draw.sample(range(30), 3) for w in phrases[p]]
+        docs.append((i, " ".join(template[:100] + chosen + template[100:])))
+    return docs
+
+
+def test_near_misses_of_a_template(frame, monkeypatch):
+    """Compared pairs grow with the documents, not with their square; the links are those of all pairs."""
+    compared, real = [], ngram_join._compared
+
+    def counted(pairs, *rest):
+        compared.append(pairs.count())
+        return real(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_compared", counted)
+    for n in (300, 600):
+        docs, before = template_pages(n), sum(compared)
+        found = got(ngram_join.join_components(frame(docs), ngram_join.Similarity()).collect())
+        assert found == brute(docs, 5, 80)
+        assert sum(compared) - before <= 8 * n
+
+
+def test_keys_of_long_texts():
+    """As many as the text is long, whatever part of its tokens is frequent; sets that link share one."""
+    similar, draw = ngram_join.Similarity(), np.random.Generator(np.random.PCG64(4))
+    for size in (50_000, 200_000):
+        tokens = np.unique(draw.integers(0, 2**63, size).astype(np.uint64))
+        keys, most = ngram_join.index_keys(tokens, np.ones(len(tokens), bool), similar)
+        assert len(keys) == len(most) <= 20 * size
+    for size in (30, 200, 3_000, 4_090, 5_000, 20_000):
+        for often in (0.0, 0.5, 1.0):
+            for _ in range(20):
+                union = np.unique(draw.integers(0, 2**63, size).astype(np.uint64))
+                is_frequent = draw.random(len(union)) < often
+                # Rare ones first, as all documents order them.
+                union = np.concatenate([union[~is_frequent], union[is_frequent]])
+                is_frequent = np.sort(is_frequent)
+                owner = np.zeros(len(union), int)  # 0: both, 1: first only, 2: second only
+                lost = draw.choice(len(union), len(union) // 5, replace=False)
+                owner[lost] = draw.choice([1, 2], len(lost), p=draw.choice([[0.5, 0.5], [0.05, 0.95], [1, 0]]))
+                found = []
+                for other in (2, 1):
+                    own = owner != other
+                    found.append(set(ngram_join.index_keys(union[own], is_frequent[own], similar)[0].tolist()))
+                assert found[0] & found[1], (size, often)
+
+
 def test_odd_rows(frame):
     text = "one two three four five six"
     docs = [(5, text), (5, text), (None, text), (None, "alone and without an id here"), (7, text + " "), (None, None), (-3, text.upper())]
