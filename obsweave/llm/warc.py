@@ -25,6 +25,7 @@ from obsweave.session import scratch_path
 RECORD_END = "\r\n\r\n"
 MIN_REVISIT_BYTES = 100
 FILE_RECORDS = 20_000  # records of one archive at most
+ARCHIVE_BYTES = 1 << 28  # payload bytes of one archive at most, but for a single record
 MERGE_ROWS = 100_000  # captures that one merge task takes
 CAPTURED = "2024-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -60,7 +61,7 @@ def captures(pages: DataFrame, id_col="page_id", url_col="url", html_col="html",
 
 
 def records(found: DataFrame) -> DataFrame:
-    """One WARC record a capture, without the record end, in column ``value``."""
+    """One WARC record a capture, without the record end, in column ``value``; beside it ``payload_bytes``."""
     equal = (
         found.filter(F.col("payload_bytes") >= MIN_REVISIT_BYTES)
         .groupBy("payload_digest")
@@ -101,18 +102,33 @@ def records(found: DataFrame) -> DataFrame:
         F.octet_length("_block"),
         F.lit(RECORD_END),
     )
-    return joined.withColumn("_block", block).select(F.concat(head, F.col("_block")).alias("value"))
+    return joined.withColumn("_block", block).select(F.concat(head, F.col("_block")).alias("value"), "payload_bytes")
 
 
 def write_archives(pages: DataFrame, folder: str, **columns) -> None:
-    """Write every row of ``pages`` as a record of gzipped archives below ``folder``."""
-    (
-        records(captures(pages, **columns))
-        .write.option("lineSep", RECORD_END)
-        .option("compression", "gzip")
-        .option("maxRecordsPerFile", FILE_RECORDS)
-        .text(folder)
-    )
+    """Write every row of ``pages`` as a record of gzipped archives below ``folder``.
+
+    An archive is one gzip member, read as one value, so its bytes are bounded:
+    payloads of which ``FILE_RECORDS`` stay below ``ARCHIVE_BYTES`` share archives
+    by number, and larger ones as few at a time as the largest asks for.
+    """
+    found = captures(pages, **columns)
+    largest = pages.select(F.max(F.octet_length(F.col(columns.get("html_col", "html")).cast("string")))).first()[0] or 0
+    ordinary = ARCHIVE_BYTES // FILE_RECORDS
+    written = records(found)
+    parts = [(F.col("payload_bytes") <= ordinary, FILE_RECORDS)]
+    if largest > ordinary:
+        parts.append((F.col("payload_bytes") > ordinary, max(1, ARCHIVE_BYTES // largest)))
+    for part, most in parts:
+        rows = written if largest <= ordinary else written.filter(part)
+        (
+            rows.select("value")
+            .write.mode("append")
+            .option("lineSep", RECORD_END)
+            .option("compression", "gzip")
+            .option("maxRecordsPerFile", most)
+            .text(folder)
+        )
 
 
 def url_key(url: str) -> str:
@@ -124,7 +140,7 @@ def url_key(url: str) -> str:
 
 
 def parse_archive(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Place (in the unzipped stream), headers and block of each record."""
+    """Place (in the unzipped stream, so no offset to seek to in the file), headers and block of each record."""
     inflate = zlib.decompressobj(wbits=31)
     buffer, at, fed = bytearray(), 0, 0
 

@@ -87,6 +87,21 @@ def test_exact_dedup_compaction(frame, spark):
     assert found == {90: False, 91: True}
 
 
+def test_archives_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_RECORDS", 10)
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 2_000)
+    rows = [(i, f"http://a.b/{i}", f"{i} " + "x" * (900 if i % 10 == 0 else 5000 if i == 7 else 50)) for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").coalesce(1)
+    folder = scratch_path(spark, "warc")
+    found = {r.page_id: r.payload_bytes for r in warc.capture_history(pages, folder).collect()}
+    assert found == {i: len(html) for i, _, html in rows}
+    runs = {}
+    for row in warc.read_runs(spark, folder).collect():
+        runs.setdefault(row.run, []).append(row.payload_bytes)
+    assert max(map(len, runs.values())) == 10
+    assert all(sum(sizes) <= 2_000 or len(sizes) == 1 for sizes in runs.values())
+
+
 def test_helper_names_clash(spark):
     """Input columns of the helpers' own names stay as they are."""
     names = ["_id", "_keep", "_body", "_hash", "_text", "_mark", "_first", "_hit", "__mark", "position"]
