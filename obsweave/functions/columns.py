@@ -45,6 +45,7 @@ FIRST_SECOND, LAST_SECOND = -62135596800, 253402300799
 
 def specific_humidity(temperature: Column, humidity: Column, pressure: Column) -> Column:
     """Specific humidity in kg/kg from degrees C, percent and hPa; null where undefined."""
+    # The constants of the saturation formula and of the gas ratio.
     saturation = 6.112 * F.exp(F.try_divide(17.67 * temperature, temperature + 243.5))
     vapour = humidity / 100.0 * saturation
     return F.try_divide(0.622 * vapour, pressure - 0.378 * vapour).cast("double")

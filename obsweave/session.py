@@ -38,20 +38,41 @@ def shared_dir(spark: SparkSession) -> str:
 
     ``spark.checkpoint.dir`` names it.  Where that is unset, a folder set with
     ``setCheckpointDir`` is taken, else one below the warehouse, which Spark
-    shares between executors as well.  Checkpoints go there too.
+    shares between executors as well; a warehouse on the driver's own disk serves
+    a local master only.  Checkpoints go there too.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/obsweave-scratch"
+        own_disk = folder.startswith(("/", "file:"))
+        if own_disk and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+_scratch: dict[str, list[str]] = {}  # by application
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete what this application has put below the shared folder, and say how many paths that were.
+
+    Results that still read from there are lost, so store them first.
+    """
+    made = _scratch.pop(spark.sparkContext.applicationId, [])
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    for path in made:
+        at(path).getFileSystem(spark._jsc.hadoopConfiguration()).delete(at(path), True)
+    return len(made)
 
 
 def stored(frame: DataFrame, label: str) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from obsweave import session
 from obsweave.config import FeatureConfig
 from obsweave.operators import keyed
 from obsweave.plans import features, incremental, scoring, serving
@@ -164,3 +165,20 @@ def test_refresh_reads_reached_days_only(spark, capsys):
     refresh.fresh().explain()
     scans = [line for line in capsys.readouterr().out.splitlines() if "FileScan" in line and "temperature" in line]
     assert scans and all(re.search(r"PartitionFilters: \[[^\]]*day#\d+ (IN|=)", line) for line in scans)
+
+
+def test_scratch_can_be_removed(spark, monkeypatch):
+    monkeypatch.setattr(session, "_scratch", {})
+    rows = session.stored(spark.range(3), "kept")
+    assert rows.count() == 3 and session.remove_scratch(spark) == 1 and session.remove_scratch(spark) == 0
+    with pytest.raises(Exception):
+        spark.read.parquet(rows.inputFiles()[0]).count()
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    class Elsewhere:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, *default: default[0] if default else "file:/home/me/warehouse")})
+        sparkContext = type("Context", (), {"master": "spark://somewhere:7077", "getCheckpointDir": staticmethod(lambda: None)})
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        session.shared_dir(Elsewhere)
