@@ -205,7 +205,7 @@ def upsert(
 
     Days and parts in which no key occurs again are appended to after reading
     their key columns alone; only the others are rewritten, and all in one write
-    where at least half of them are.  Running a write again after a failure gives
+    where most of them are.  Running a write again after a failure gives
     the same rows.
 
     The day is part of the identity of a row: ``time`` must be one of the keys;
@@ -230,7 +230,7 @@ def upsert(
             places = written_places(rows, near, keys)
             again = [(d, p) for d, p, hit in places if hit]
             if again:
-                if 2 * len(again) >= len(places):
+                if 2 * len(again) > len(places):
                     again = [(d, p) for d, p, _ in places]
                 old, new = near.where(in_places(again)), rows.where(in_places(again))
                 if order and order in rows.columns:

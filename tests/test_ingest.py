@@ -135,7 +135,7 @@ def test_upsert_rewrites_only_parts_that_hold_a_key_already(spark, tmp_path):
     def write(*rows):
         frame = spark.createDataFrame(rows, "city string, t bigint, v int")
         timed = frame.withColumn("timestamp", F.timestamp_seconds("t")).drop("t")
-        upsert(timed, str(path), order="v", drop=["v"])
+        upsert(timed, str(path), order="v", drop=["v"], parts=4)
 
     def files():
         return {(d.parent.name, d.name): {f.name for f in d.glob("*.parquet")} for d in path.glob("day=*/part=*")}
