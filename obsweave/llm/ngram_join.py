@@ -36,7 +36,7 @@ FREQUENT = 32  # documents that make a token frequent
 FREQUENT_TOKENS = 2_000_000  # frequent tokens that tasks hold (16 MB); beyond, only the more frequent count
 CLASSES = 8  # of the frequent tokens of a short text
 CLASS_TOKENS = 50  # of a longer text's prefix a class may hold
-ROUND_PAIRS = 4  # pairs a document that may be left without a further round
+ROUND_PAIRS = 100  # pairs a document, counted under each key, that may be left without a further round
 ROUND_GAIN = 0.9  # a round must leave at most this part of the pairs, or it was the last
 BUCKET_TOKENS = 2_000_000  # tokens that one counting task takes
 FLUSH_TOKENS = 1_000_000  # tokens that a counting task holds before it sends them
