@@ -16,8 +16,8 @@ class FeatureConfig:
     # most of the table is still spread over many tasks.
     bucket_hours: int = 168
     # How rolling statistics are computed: "sliding" frames share the one sort of
-    # all windows and cost rows x rows-in-frame; "split" frames sort once per
-    # frame length and are linear in rows, for stations read many times an hour.
+    # all windows and cost rows x rows-in-frame; "split" frames take
+    # one more sort and arrays and are linear in rows, for dense stations.
     # The two round differently in the last digits, so a feature table keeps to
     # one of them; nothing in the data changes it.
     frames: str = "sliding"

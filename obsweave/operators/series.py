@@ -17,6 +17,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from obsweave.operators.rolling import Stats, frame_statistics, least_count
 
 BUCKET, OWN, MICROS = "_bucket", "_own", "_micros"
 HOUR_MICROS = 3_600_000_000
@@ -134,99 +137,112 @@ def own_rows(df: DataFrame) -> DataFrame:
     return df.where(OWN).drop(BUCKET, OWN, MICROS)
 
 
-Stats = Mapping[str, Sequence[str]]
+HOME, AT = "_home", "_at"
 
 
 def split_frames(
     df: DataFrame,
-    hours: int,
-    stats: Stats,
+    frames: Mapping[int, Stats],
     *,
     name,
     key: str = "city",
     time: str = "timestamp",
 ) -> DataFrame:
-    """Rolling statistics over the last ``hours``, in time linear in the rows.
-
-    Time is cut into blocks as long as the frame, so a frame is always the
-    tail of one block plus the head of the next.  Each row goes to its own
-    block and, as a tail row shifted by the frame length, to the next; running
-    statistics upwards over the block's own rows and downwards over the tail
-    rows are then merged per row.  ``name(column, stat)`` names the outputs;
-    stats are mean, std, min, max and sum.
+    """Rolling statistics over the last hours, ``frames`` by their length, in time linear in the rows.
+
+    Every row goes to its own bucket, as long as the longest frame, and as context
+    to the next: one exchange and one sort for all frames.  Tasks then take whole
+    buckets, in which a frame is the tail of one block plus the head of the next.
+    ``name(column, stat, hours)`` names the outputs; stats are mean, std, min, max
+    and sum.  Rows without a time are in one another's frames alone.
     """
-    width = hours * HOUR_MICROS
-    block = floor_div(micros(time), width)
-    position = micros(time)
-    copies = F.explode(
-        F.array(
-            F.struct(F.lit(True).alias("own"), block.alias("block"), position.alias("at")),
-            F.struct(
-                F.lit(False).alias("own"), (block + 1).alias("block"), (position + width).alias("at")
-            ),
-        )
-    )
-    needed = {key, *stats}
-    tagged = df.select("*", copies.alias("_copy")).select(
-        *[
-            F.col(c) if c in needed else F.when(F.col("_copy.own"), F.col(c)).alias(c)
-            for c in df.columns
-        ],
-        "_copy.*",
-    )
-    blocks = Window.partitionBy(key, "block")
-    up = blocks.orderBy("at").rangeBetween(Window.unboundedPreceding, 0)
-    down = blocks.orderBy(F.col("at").desc()).rangeBetween(Window.unboundedPreceding, 0)
-
-    halves, outputs = [], []
-    for column, wanted in stats.items():
-        parts = [
-            _Half(f"_{column}_h", F.when(F.col("own"), F.col(column)), up),
-            _Half(f"_{column}_t", F.when(~F.col("own"), F.col(column)), down),
-        ]
-        for part in parts:
-            halves += part.columns(wanted)
-        outputs += [_merge(stat, *parts).alias(name(column, stat)) for stat in wanted]
-    return tagged.select("*", *halves).where("own").select(*df.columns, *outputs)
-
-
-class _Half:
-    """Running statistics of one side of a split frame."""
-
-    def __init__(self, prefix: str, value: Column, window):
-        self.prefix, self.value, self.window = prefix, value, window
-
-    def columns(self, wanted: Sequence[str]) -> list[Column]:
-        parts = {}
-        if {"mean", "std", "sum"} & set(wanted):
-            parts |= {"n": F.count(self.value), "sum": F.sum(self.value)}
-        if "std" in wanted:
-            parts["var"] = F.var_pop(self.value)
-        if "min" in wanted:
-            parts["min"] = F.min(self.value)
-        if "max" in wanted:
-            parts["max"] = F.max(self.value)
-        return [c.over(self.window).alias(f"{self.prefix}_{s}") for s, c in parts.items()]
-
-    def __getitem__(self, stat: str) -> Column:
-        return F.col(f"{self.prefix}_{stat}")
-
-
-def _merge(stat: str, head: _Half, tail: _Half) -> Column:
-    if stat == "min":
-        return F.least(head["min"], tail["min"])
-    if stat == "max":
-        return F.greatest(head["max"], tail["max"])
-    count = head["n"] + tail["n"]
-    total = F.when(
-        count > 0, F.coalesce(head["sum"], F.lit(0.0)) + F.coalesce(tail["sum"], F.lit(0.0))
+    span = max(frames) * HOUR_MICROS
+    home = floor_div(micros(time), span)
+    copies = F.explode(F.when(home.isNull(), F.array(home)).otherwise(F.array(home, home + 1)))
+    measures = list(dict.fromkeys(c for stats in frames.values() for c in stats))
+    own = F.col(HOME).eqNullSafe(home)
+    tagged = df.select("*", copies.alias(HOME)).select(
+        *[F.col(c) if c in {key, *measures} else F.when(own, F.col(c)).alias(c) for c in df.columns],
+        micros(time).alias(AT),
+        own.alias(OWN),
+        HOME,
     )
-    if stat == "sum":
-        return total
-    if stat == "mean":
-        return F.try_divide(total, count)
-    gap = F.try_divide(head["sum"], head["n"]) - F.try_divide(tail["sum"], tail["n"])
-    between = F.try_divide(gap * gap * head["n"] * tail["n"], count)
-    within = [F.coalesce(half["var"] * half["n"], F.lit(0.0)) for half in (head, tail)]
-    spread = within[0] + within[1] + F.coalesce(between, F.lit(0.0))
-    return F.when(count > 1, F.sqrt(F.try_divide(spread, count - 1)))
+    outputs = [
+        (name(c, stat, hours), c, stat, hours) for hours, stats in frames.items() for c, wanted in stats.items() for stat in wanted
+    ]
+    schema = StructType([*df.schema.fields, *[StructField(out, DoubleType()) for out, *_ in outputs]])
+    columns = df.columns
+
+    def derive(batches):
+        for rows in _whole_buckets(batches, key):
+            yield from _with_frames(rows, columns, measures, outputs, key, span).to_batches(max_chunksize=10_000)
+
+    dealt = tagged.repartition(key, HOME).sortWithinPartitions(key, HOME, AT)
+    return dealt.mapInArrow(derive, schema)
+
+
+def _bucket_starts(rows, key: str):
+    """Whether a row of a sorted Arrow table is the first of its key and bucket."""
+    import numpy as np
+
+    starts = np.ones(rows.num_rows, bool)
+    codes = rows.column(key).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+    home = rows.column(HOME)
+    known, home = home.is_valid().to_numpy(), home.fill_null(0).to_numpy()
+    starts[1:] = (codes[1:] != codes[:-1]) | (home[1:] != home[:-1]) | (known[1:] != known[:-1])
+    return starts
+
+
+def _whole_buckets(batches, key: str):
+    """Arrow tables that end where a bucket ends, of batches that may end within one."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, where = [], None  # the rows of a bucket that may go on, and which it is
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        if not rows.num_rows:
+            continue
+        ends = [rows.column(c)[-1].as_py() for c in (key, HOME)]
+        begins = [rows.column(c)[0].as_py() for c in (key, HOME)]
+        held.append(rows)
+        if begins == ends == where:
+            continue
+        rows = pa.concat_tables(held).combine_chunks()
+        last = int(np.flatnonzero(_bucket_starts(rows, key))[-1])
+        if last:
+            yield rows.slice(0, last)
+        held, where = [rows.slice(last)], ends
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
+
+
+def _with_frames(rows, columns, measures, outputs, key: str, span: int):
+    """The own rows of whole buckets with their rolling statistics."""
+    import numpy as np
+    import pyarrow as pa
+
+    rows = rows.combine_chunks()
+    group = np.cumsum(_bucket_starts(rows, key)) - 1
+    own = rows.column(OWN).to_numpy()
+    # Time since the start of the bucket; its context lies before.
+    since = rows.column(AT).fill_null(0).to_numpy() - rows.column(HOME).fill_null(0).to_numpy() * span
+    line = group * (2 * span) + span + since
+    doubles = [rows.column(c).cast(pa.float64()) for c in measures]
+    known = np.column_stack([c.is_valid().to_numpy() for c in doubles])
+    values = np.column_stack([c.fill_null(0.0).to_numpy() for c in doubles])
+    found = {}
+    for hours in dict.fromkeys(h for *_, h in outputs):
+        width = hours * HOUR_MICROS
+        block = group * (2 * (span // width + 2)) + since // width
+        wanted = [measures.index(c) for c in dict.fromkeys(c for _, c, _, h in outputs if h == hours)]
+        derived = frame_statistics(line, block, width, values[:, wanted], known[:, wanted])
+        place = {measures[i]: n for n, i in enumerate(wanted)}
+        for out, column, stat, h in outputs:
+            if h == hours:
+                absent = derived["count"][own, place[column]] < least_count(stat)
+                found[out] = pa.array(derived[stat][own, place[column]], mask=absent)
+    result = rows.select(columns).filter(pa.array(own))
+    for out, *_ in outputs:
+        result = result.append_column(out, found[out])
+    return result

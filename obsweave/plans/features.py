@@ -144,7 +144,7 @@ def windowed_features(
     """Lag, rolling, difference and target columns over a base with physics.
 
     With sliding frames every window is taken in one pass: one exchange, one
-    sort.  Split frames add a pass for each frame length; ``config.frames``
+    sort.  Split frames add another pass, for all frame lengths; ``config.frames``
     decides, never the data.  ``groups`` leaves out what is not needed, and with
     it the context it would need.
     """
@@ -173,10 +173,7 @@ def windowed_features(
     derived += target_features(columns, config, window) if "target" in groups else []
     rows = series.own_rows(tagged.select("*", *derived))
     if dense:
-        for hours, stats in frames.items():
-            rows = series.split_frames(
-                rows, hours, stats, name=lambda c, s, h=hours: rolling_name(c, s, h)
-            )
+        rows = series.split_frames(rows, frames, name=rolling_name)
     return rows.select(*base.columns, *feature_order(columns, config, groups))
 
 
