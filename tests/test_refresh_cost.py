@@ -3,11 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from obsweave.checks import queries
+from obsweave.checks import extended, queries
 from obsweave.operators import series
 
 
-@pytest.mark.parametrize("query", [queries.refresh_equals_full])
+@pytest.mark.parametrize("query", [queries.refresh_equals_full, extended.indexed_refresh])
 def test_refresh_of_a_dense_station_slides_no_frame(spark, sf_dir, query, monkeypatch):
     """A sliding frame costs the rows in it for every row, which a dense station has many of."""
 
