@@ -3,8 +3,9 @@
 A station's state is the rows that still wait and a bounded ring of those before
 them: as many as the longest lag counts, and those of the longest frame.  Rows
 wait until the watermark passed the end of their span, so late and shuffled ones
-find their place; then a timer derives the span's rows in order of time.  The
-columns equal those of the batch derivation.
+find their place; then a timer derives the rows of all spans that the watermark has
+passed, in order of time.  A station has one timer at a time, for its earliest span
+that waits.  The columns equal those of the batch derivation.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from obsweave.config import FeatureConfig
+from obsweave.operators.rolling import frame_statistics, least_count
 from obsweave.operators.series import HOUR_MICROS
 from obsweave.plans.features import DELTAS, LAGGED, ROLLED, rolling_name, rolling_stats
 
@@ -62,25 +64,21 @@ class Derivation:
         for column in LAGGED:
             for k in self.config.lag_rows:
                 found[f"{column}_lag_{k}h"] = lagged(column, k)
+        table = np.column_stack([values[c] for c in MEASURES])
+        known = ~np.isnan(table)
+        table = np.where(known, table, 0.0)
         for hours, stats in rolling_stats(MEASURES, self.config).items():
-            starts = np.searchsorted(at, at[rows] - hours * HOUR_MICROS, side="left")
-            for column, wanted in stats.items():
-                frames = [values[column][a : b + 1] for a, b in zip(starts, rows)]
-                frames = [frame[~np.isnan(frame)] for frame in frames]
-                for stat in wanted:
-                    found[rolling_name(column, stat, hours)] = np.array([_statistic(stat, frame) for frame in frames])
+            width, wanted = hours * HOUR_MICROS, [MEASURES.index(c) for c in stats]
+            derived = frame_statistics(at, at // width, width, table[:, wanted], known[:, wanted])
+            for place, (column, names) in enumerate(stats.items()):
+                for stat in names:
+                    enough = derived["count"][rows, place] >= least_count(stat)
+                    found[rolling_name(column, stat, hours)] = np.where(enough, derived[stat][rows, place], np.nan)
         for column, name in DELTAS.items():
             found[name] = values[column][rows] - lagged(column, 1)
         return found
 
 
-def _statistic(stat: str, frame) -> float:
-    """One statistic of the values that are known, NaN where it has none."""
-    if len(frame) < (2 if stat == "std" else 1):
-        return float("nan")
-    return float(frame.std(ddof=1) if stat == "std" else getattr(frame, stat)())
-
-
 class LiveFeatures(StatefulProcessor):
     """State of one station: its waiting rows and its ring, and the time up to which rows were derived."""
 
@@ -97,25 +95,28 @@ class LiveFeatures(StatefulProcessor):
         """Take the rows in; of rows at one time the last stays.  Nothing is derived yet."""
         waiting = {row[0]: row for row in self.rows.get()} if self.rows.exists() else {}
         done = self.done.get()[0] if self.done.exists() else None
-        ends = set()
         for batch in rows:
             for row in batch[["at", *MEASURES]].itertuples(index=False, name=None):
                 at = int(row[0])
                 if done is None or at >= done:
                     waiting[at] = (at, *[None if v != v else float(v) for v in row[1:]])
-                    ends.add((at // self.every + 1) * self.every // 1000)
         if waiting:
             self.rows.put([waiting[at] for at in sorted(waiting)])
-        for end in ends:
-            self.handle.registerTimer(end)
+            self._wake([at for at in waiting if done is None or at >= done])
         return iter(())
 
+    def _wake(self, times) -> None:
+        """A timer at the end of the earliest span among the times of waiting rows."""
+        if times:
+            self.handle.registerTimer((min(times) // self.every + 1) * self.every // 1000)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        """Derive the rows before the timer, and keep of them what later rows look back on."""
+        """Derive the rows of the passed spans, and keep of them what later rows look back on."""
         import numpy as np
         import pandas as pd
 
-        end = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        passed = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()) * 1000
+        end = passed // self.every * self.every
         rows = list(self.rows.get()) if self.rows.exists() else []
         done = self.done.get()[0] if self.done.exists() else None
         at = np.array([row[0] for row in rows], np.int64)
@@ -128,6 +129,7 @@ class LiveFeatures(StatefulProcessor):
         keep = min(last - self.derivation.ring_rows, int(np.searchsorted(at, end - self.derivation.ring_micros, side="left")))
         self.rows.put(rows[max(keep, 0) :])
         self.done.update((end,))
+        self._wake([row[0] for row in rows[last:]])
         own = {"city": [key[0]] * (last - first), "at": at[first:last], **{c: v[first:] for c, v in values.items()}}
         yield pd.DataFrame(own | derived)
 

@@ -141,3 +141,19 @@ def test_live_features_equal_the_batch(spark, feed):
 def test_ring_is_bounded():
     derivation = live_features.Derivation(live_features.FeatureConfig())
     assert derivation.ring_rows == 12 and derivation.ring_micros == 24 * 3_600_000_000
+
+
+def test_passed_spans_come_out_by_one_timer(spark, feed, monkeypatch):
+    """Days that the watermark has passed together are derived at once, not by a timer each."""
+    live_features.use_state_store(spark)
+    source, path, position = feed(MEASURED), scratch_path(spark, "live"), scratch_path(spark, "position")
+    source.put([(c, at(6 * h), *[float(h + 1)] * 9) for c in "ab" for h in range(40)])
+    source.put([("a", at(400), *[1.0] * 9)])
+    found = live_features.live_features(features.with_physics(source.stream()), every_hours=24)
+    query = found.writeStream.format("parquet").outputMode("append").option("checkpointLocation", position)
+    query = query.option("path", path).trigger(availableNow=True).start()
+    query.awaitTermination()
+    # Ten days of each station wait for the watermark: timers are set for what waits first, not for all of them.
+    custom = [state["customMetrics"] for step in query.recentProgress for state in step["stateOperators"]]
+    assert sum(int(metrics.get("numRegisteredTimers", 0)) for metrics in custom) < 10
+    assert spark.read.parquet(path).count() == 80
