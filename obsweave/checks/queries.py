@@ -405,7 +405,8 @@ def incremental_features(spark, sf_dir):
     obs = observations(spark, sf_dir)
     late = (F.col("timestamp") >= fn.instant(LAST_DAY)) | (F.pmod(F.xxhash64("city", "timestamp"), F.lit(400)) == 0)
     keyed.write_days(keyed.with_day(obs), obs_path, "overwrite")
-    incremental.derive_features(obs.where(~late), path)
+    # A station of a large table is read many times an hour.
+    incremental.derive_features(obs.where(~late), path, FeatureConfig(frames="split"))
     saved = keyed.read_days(spark, obs_path)
     incremental.refresh_features(saved, obs.where(late).select("city", "timestamp"), path)
     return feature_rows(tables.read_features(spark, path))
