@@ -58,7 +58,7 @@ def kept_snapshots(spark, sf_dir) -> keyed.NewestTable:
     """Snapshots written in three batches out of order, the first one stale, and the table that follows them."""
     path = scratch_path(spark, "snapshots")
     newest = keyed.NewestTable(path + "_newest", order="sequence", parts=4)
-    rows = snapshots(spark, sf_dir).withColumn("sequence", F.lit(1))
+    rows = snapshots(spark, sf_dir, spread=True).withColumn("sequence", F.lit(1))
     main = F.col("data.main").withField("temp", F.lit(-99.0))
     stale = rows.withColumn("data", F.col("data").withField("main", main)).withColumn("sequence", F.lit(0))
     for batch in (rows.where(third() == 2), stale.where(third() != 0), rows.where(third() != 2)):

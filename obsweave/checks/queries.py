@@ -188,7 +188,7 @@ def explode_series(spark, sf_dir):
 # --- projections ----------------------------------------------------------
 
 
-def nested(spark, sf_dir, *extra: str) -> DataFrame:
+def nested(spark, sf_dir, *extra: str, spread: bool = False) -> DataFrame:
     """Observations in the raw nested shape."""
     paths = {path: name for name, path in MEASURE_PATHS.items()}
     current = [
@@ -196,7 +196,7 @@ def nested(spark, sf_dir, *extra: str) -> DataFrame:
     ]
     absent = [F.lit(None).cast("double").alias(name) for name in ("showers", "uv_index", "is_day")]
     payload = F.struct(F.struct(*current, *absent).alias("current"), "latitude", "longitude")
-    return observations(spark, sf_dir, *extra).select(
+    return observations(spark, sf_dir, *extra, spread=spread).select(
         "city", "timestamp", payload.alias("payload"), *extra
     )
 
@@ -207,9 +207,9 @@ def flatten_obs(spark, sf_dir):
     return flat.select("city", zoneless("timestamp"), *numbers(*MEASURES))
 
 
-def snapshots(spark, sf_dir) -> DataFrame:
+def snapshots(spark, sf_dir, spread: bool = False) -> DataFrame:
     """Observations as nested current snapshots."""
-    raw = nested(spark, sf_dir)
+    raw = nested(spark, sf_dir, spread=spread)
     return raw.select("city", "timestamp", ingest.snapshot_data().alias("data"))
 
 

@@ -41,11 +41,15 @@ def double(expression: str) -> Column:
     return F.expr(f"cast({expression} as double)")
 
 
-def observations(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """Flat observations (city, timestamp, 21 measures) plus ``extra`` event columns."""
-    events = table(spark, sf_dir, "events").withColumn(
-        "k", F.get_json_object("props", "$.k").cast("double")
-    )
+def observations(spark: SparkSession, sf_dir: str, *extra: str, spread: bool = False) -> DataFrame:
+    """Flat observations (city, timestamp, 21 measures) plus ``extra`` event columns.
+
+    ``spread`` deals the events out before anything is derived: one task reads a
+    row group, however large.
+    """
+    events = table(spark, sf_dir, "events")
+    events = events.repartition("event_id") if spread else events
+    events = events.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     return events.select(
         F.concat(F.lit("city_"), F.col("user_id").cast("string")).alias("city"),
         F.col("ts").cast("timestamp").alias("timestamp"),

@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from obsweave.operators.latest import newest_row
-from obsweave.session import swap_in
+from obsweave.session import cached, swap_in
 
 DAY, PART = "day", "part"
 NOTES = "_notes"  # a folder of a table that its readers pass over
 PARTS = 1  # of a day, where a table is made without a number of its own
 LISTED_DAYS = 1000  # beyond, a filter takes the span from the first to the last day
+TASK_ROWS = 500_000  # of one day and part that one task writes
 
 
 def with_day(df: DataFrame, time: str = "timestamp") -> DataFrame:
@@ -94,6 +95,12 @@ def present_rows(existing: DataFrame, batch: DataFrame, keys: Sequence[str]) ->
     return _match(batch, existing, keys, "left_semi")
 
 
+def dealt(rows: DataFrame, keys: Sequence[str], heaviest: int) -> DataFrame:
+    """Rows with a ``_slot``, a place's rows in one task, or in several where the ``heaviest`` place has many."""
+    slots = -(-heaviest // TASK_ROWS) or 1
+    return rows.withColumn("_slot", F.pmod(F.xxhash64(*keys), F.lit(slots))).repartition(DAY, PART, "_slot")
+
+
 def write_days(
     rows: DataFrame,
     path: str,
@@ -108,15 +115,17 @@ def write_days(
     ``whole`` makes an overwrite replace the table, not only the days written: the
     new table is written beside the old one and takes its place when it is done,
     with ``notes`` (name to text) kept in it.  The rebalance hint lets AQE give a heavy day several files and put light
-    days together in one task.
+    days together in one task.  Rows that ``dealt`` has placed stay in their tasks.
     """
     layout = [c for c in (DAY, PART) if c in rows.columns]
     target = f"{path.rstrip('/')}-{uuid.uuid4().hex}" if whole else path
     # Parts are a table's own way to keep what one task writes small, so small days
     # of theirs are written side by side.
-    dealt = rows.repartition(*layout) if PART in layout else rows.hint("rebalance", F.col(DAY))
+    if "_slot" not in rows.columns:
+        rows = rows.repartition(*layout) if PART in layout else rows.hint("rebalance", F.col(DAY))
     (
-        dealt.sortWithinPartitions(*layout, *sort)
+        rows.drop("_slot")
+        .sortWithinPartitions(*layout, *sort)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*layout)
@@ -175,13 +184,18 @@ def on_listed_days(days: Sequence) -> Column:
     return found | F.col(DAY).isNull() if None in days else found
 
 
-def written_places(batch: DataFrame, near: DataFrame, keys: Sequence[str]) -> list:
-    """Each (day, part) of a batch, and whether ``near`` holds one of its keys there."""
-    stored = near.select(*[F.col(k).alias(f"_key_{k}") for k in keys], F.lit(True).alias("_hit"))
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{k}")) for k in keys]
-    met = batch.select(*dict.fromkeys((DAY, PART, *keys))).join(stored, reduce(Column.__and__, same), "left")
-    places = met.groupBy(DAY, PART).agg(F.max(F.coalesce("_hit", F.lit(False))).alias("hit"))
-    return [tuple(row) for row in places.collect()]
+def written_places(batch: DataFrame, near: DataFrame | None, keys: Sequence[str]) -> list:
+    """Each (day, part) of a batch, whether ``near`` holds one of its keys there, and the rows it will have."""
+    names = list(dict.fromkeys((DAY, PART, *keys)))
+    seen = batch.select(*names, F.lit(True).alias("_fresh"))
+    if near is None:
+        met = seen.withColumn("_hit", F.lit(False))
+    else:
+        both = seen.unionByName(near.select(*names, F.lit(False).alias("_fresh")))
+        hit = F.bool_or("_fresh") & ~F.bool_and("_fresh")
+        met = both.groupBy(*names).agg(F.bool_or("_fresh").alias("_fresh"), hit.alias("_hit"))
+    places = met.groupBy(DAY, PART).agg(F.bool_or("_fresh").alias("fresh"), F.bool_or("_hit").alias("hit"), F.count(F.lit(1)).alias("rows"))
+    return [(day, part, hit, rows) for day, part, fresh, hit, rows in places.collect() if fresh]
 
 
 def in_places(places: Sequence) -> Column:
@@ -222,32 +236,35 @@ def upsert(
     batch = with_part(with_day(batch, time), part_by or keys[0], parts)
     rows = keep_newest(batch, keys, order) if order else batch.dropDuplicates(list(keys))
     # Used by the list of places, the writes and the tables of newest rows.
-    rows = cached = rows.drop(*drop).persist()
+    rows = written = cached(rows.drop(*drop))
     try:
+        near = None
         if existing is not None:
             held = touched(rows, DAY, PART)
             near = existing.where(on_listed_days([d for d, _ in held]) & F.col(PART).isin(sorted({p for _, p in held})))
-            places = written_places(rows, near, keys)
-            again = [(d, p) for d, p, hit in places if hit]
-            if again:
-                if 2 * len(again) > len(places):
-                    again = [(d, p) for d, p, _ in places]
-                old, new = near.where(in_places(again)), rows.where(in_places(again))
-                if order and order in rows.columns:
-                    both = old.select(*new.columns).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-                    # Of equal orders the row written later stays.
-                    merged = newest_row(both, keys, order, [F.col("_new").desc()]).drop("_new")
-                else:
-                    merged = replace_rows(old, new, [DAY, PART, *keys])
-                write_days(merged, path, "overwrite", sort=keys)
-                rows = rows.where(~in_places(again)) if len(again) < len(places) else None
+        places = written_places(rows, near, keys)
+        heaviest = max((n for *_, n in places), default=0)
+        again = [(d, p) for d, p, hit, _ in places if hit]
+        if again:
+            if 2 * len(again) > len(places):
+                again = [(d, p) for d, p, *_ in places]
+            old, new = near.where(in_places(again)), rows.where(in_places(again))
+            if order and order in rows.columns:
+                both = old.select(*new.columns).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+                # Of equal orders the row written later stays.  One exchange and one sort serve this and the write.
+                version = list(dict.fromkeys((DAY, PART, *keys, "_slot")))
+                merged = newest_row(dealt(both, keys, heaviest), version, order, [F.col("_new").desc()]).drop("_new")
+            else:
+                merged = dealt(replace_rows(old, new, [DAY, PART, *keys]), keys, heaviest)
+            write_days(merged, path, "overwrite", sort=keys)
+            rows = rows.where(~in_places(again)) if len(again) < len(places) else None
         if rows is not None:
-            write_days(rows, path, "append", sort=keys)
+            write_days(dealt(rows, keys, heaviest), path, "append", sort=keys)
         spark.catalog.refreshByPath(path)
         for table in newest:
-            table.merge(cached)
+            table.merge(written)
     finally:
-        cached.unpersist()
+        written.unpersist()
 
 
 def compact(spark: SparkSession, path: str, days: Sequence, sort=("city", "timestamp")) -> None:
@@ -268,11 +285,13 @@ def insert_if_absent(
     part_by: str | None = None,
     parts: int | None = None,
     newest: Sequence[NewestTable] = (),
+    unique: bool = False,
 ) -> tuple[int, int]:
     """Append the rows whose key is new; returns (inserted, skipped).
 
-    Of several rows of one key the first by ``order`` is inserted.  ``parts`` and
-    ``newest`` are those of ``upsert``.
+    Of several rows of one key the first by ``order`` is inserted; a batch that
+    holds each key once by the way it was made may say so by ``unique``.  ``parts``
+    and ``newest`` are those of ``upsert``.
     """
     if time not in keys:
         raise ValueError("the time column must be part of the key")
@@ -280,24 +299,26 @@ def insert_if_absent(
     existing = read_days(spark, path)
     batch = with_part(with_day(batch, time), part_by or keys[0], table_parts(spark, path, parts))
     # Evaluated once, for the counts, the list of days and the write.
-    cached = [batch.persist()]
+    held = [cached(batch)]
     try:
-        offered = {d: n for d, n in batch.groupBy(DAY).count().collect()}
+        offered = {(d, p): n for d, p, n in batch.groupBy(DAY, PART).count().collect()}
         if not offered:
             return 0, 0
-        fresh = keep_first(batch, keys, order)
+        fresh = batch if unique else keep_first(batch, keys, order)
         if existing is not None:
-            fresh = absent_rows(existing.where(on_listed_days(list(offered))), fresh, [DAY, PART, *keys])
-        cached.append(fresh.persist())
-        inserted = fresh.count()
+            fresh = absent_rows(existing.where(on_listed_days([d for d, _ in offered])), fresh, [DAY, PART, *keys])
+        total = inserted = sum(offered.values())
+        if existing is not None or not unique:
+            held.append(cached(fresh))
+            inserted = fresh.count()
         if inserted:
-            write_days(fresh, path, "append", sort=keys)
+            write_days(dealt(fresh, keys, max(offered.values())), path, "append", sort=keys)
             spark.catalog.refreshByPath(path)
             for table in newest:
                 table.merge(keep_first(batch, keys, order), replace=False)
-        return inserted, sum(offered.values()) - inserted
+        return inserted, total - inserted
     finally:
-        for rows in cached:
+        for rows in held:
             rows.unpersist()
 
 
@@ -343,10 +364,12 @@ class NewestTable:
         if stored is None:
             self._write(fresh)
             return
-        fresh = fresh.persist()
+        fresh = cached(fresh)
         try:
             old = stored.where(F.col(PART).isin([p for (p,) in touched(fresh, PART)]))
             both = old.withColumn("_new", F.lit(0)).unionByName(fresh.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+            if self.key in self.identity:
+                both = both.repartition(self.key)  # a station has few rows here: one exchange serves both windows
             later = [F.col(self.order).desc_nulls_last()] if self.order else []
             ranked = [*later, F.col("_new").desc()] if replace else [F.col("_new").asc()]
             version = Window.partitionBy(*self.identity).orderBy(*ranked)

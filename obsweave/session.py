@@ -83,6 +83,24 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+CACHED_AQE = "spark.sql.optimizer.canChangeCachedPlanOutputPartitioning"
+
+
+def cached(frame: DataFrame) -> DataFrame:
+    """The frame persisted in as many partitions as its size asks for.
+
+    Spark keeps a cached frame in all its shuffle partitions unless told that they
+    may change; every shuffle of a small one then writes their number squared of files.
+    """
+    conf = frame.sparkSession.conf
+    before = conf.get(CACHED_AQE, None)
+    conf.set(CACHED_AQE, "true")
+    try:
+        return frame.persist()
+    finally:
+        conf.unset(CACHED_AQE) if before is None else conf.set(CACHED_AQE, before)
+
+
 def swap_in(spark: SparkSession, fresh: str, path: str) -> None:
     """Put the finished folder ``fresh`` in the place of ``path``; what was there goes last.
 
