@@ -283,10 +283,10 @@ def level_stats(spark, sf_dir):
 
 
 def observed_stream(spark, sf_dir, *extra: str) -> DataFrame:
-    """Observations as a stream of the event file."""
+    """Observations as a stream of the event file, dealt out as one task reads a row group."""
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    events = events.withColumn("k", F.get_json_object("props", "$.k").cast("double"))
+    events = events.repartition(spark.sparkContext.defaultParallelism).withColumn("k", F.get_json_object("props", "$.k").cast("double"))
     return events.select(
         F.concat(F.lit("city_"), F.col("user_id").cast("string")).alias("city"),
         F.col("ts").cast("timestamp").alias("timestamp"),

@@ -48,7 +48,8 @@ def start_windows(windows: DataFrame, path: str, checkpoint: str, **trigger) ->
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        insert_if_absent(batch, path, keys=("city", "start"), time="start")
+        # A station's window comes out of its group once.
+        insert_if_absent(batch, path, keys=("city", "start"), time="start", unique=True)
 
     return (
         windows.writeStream.foreachBatch(store)

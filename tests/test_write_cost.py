@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from obsweave.operators import keyed
 from obsweave.session import CACHED_AQE, cached, scratch_path
+from obsweave.streaming import windows
 
 START = datetime(2025, 1, 1)
 SCHEMA = "city string, timestamp timestamp, value double, n bigint"
@@ -50,3 +51,30 @@ def test_places_tell_their_rows(spark):
     assert keyed.written_places(batch, stored.unionByName(tomorrow), keys) == [(START.date(), 0, True, 9)]
     assert keyed.written_places(batch, tomorrow, keys) == [(START.date(), 0, False, 5)]
     assert keyed.written_places(batch, None, keys) == [(START.date(), 0, False, 5)]
+
+
+def test_final_windows_are_not_ranked_again(spark, tmp_path, monkeypatch):
+    """A window is one row of its group: a write of windows neither orders nor caches them a second time."""
+
+    def ranked(*_):
+        raise AssertionError("unique rows ranked by key")
+
+    monkeypatch.setattr(keyed, "keep_first", ranked)
+    (tmp_path / "in").mkdir()
+    for n, found in enumerate([rows(spark, 60, 1), rows(spark, 1, 1).withColumn("timestamp", F.expr("timestamp + interval 1 day"))]):
+        part = found.withColumnRenamed("value", "temperature").coalesce(1)
+        part.write.parquet(str(tmp_path / f"part{n}"))
+        for file in (tmp_path / f"part{n}").glob("*.parquet"):
+            file.rename(tmp_path / "in" / f"{n}.parquet")
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    path = scratch_path(spark, "windows")
+    windows.start_windows(windows.tumbling(stream), path, scratch_path(spark, "position"), availableNow=True).awaitTermination()
+    assert keyed.read_days(spark, path).agg(F.sum("rows")).first()[0] == 60
+
+
+def test_unique_rows_are_inserted_once(spark, tmp_path):
+    path = str(tmp_path / "t")
+    assert keyed.insert_if_absent(rows(spark, 5, 1), path, unique=True) == (5, 0)
+    assert keyed.insert_if_absent(rows(spark, 8, 2), path, unique=True) == (3, 5)
+    assert sorted((r.city, r.n) for r in keyed.read_days(spark, path).collect()) == [(f"c{i}", 1 if i < 5 else 2) for i in range(8)]
