@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from obsweave.llm.common import kept
+from obsweave.llm.common import ROWS_A_FILE, few_tasks, kept
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -20,21 +20,30 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return across.union(least.select("u", F.col("m").alias("v")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each ``u`` has one ``v`` and no ``v`` is a ``u``: then every component is a star."""
+    ends = edges.select(F.col("u").alias("node"), F.col("v").alias("to")).union(
+        edges.select(F.col("v").alias("node"), F.lit(None).cast("bigint").alias("to"))
+    )
+    nodes = ends.groupBy("node").agg(
+        F.min("to").alias("low"), F.max("to").alias("high"), F.count_if(F.col("to").isNull()).alias("under")
+    )
+    return nodes.filter("low is not null and (low < high or under > 0)").agg(F.count("*")).first()[0] == 0
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, root`` of every linked node that is not the least of its component.
 
     ``links`` has two bigint columns.  Each round joins every edge to the least
-    neighbour of its ends, until edges stop changing: then each points at the
-    root.  Rounds are stored, so a lost executor costs part of one round.
+    neighbour of its ends, until all edges are stars around their least node: then
+    each points at the root.  Rounds are stored, so a lost executor costs part of
+    one round, and never have more edges than links, so tasks are as many as these need.
     """
     a, b = links.columns
-    edges = (
-        links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
-    )
-    edges, seen = kept(edges, "links"), None
-    while True:
-        mark = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(mark) == seen or not mark[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = tuple(mark)
-        edges = kept(_small_star(_large_star(edges).distinct()).distinct(), "stars")
+    links = kept(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v"), "links")
+    count = links.count()
+    edges = kept(links.distinct(), "edges", count)
+    while not _settled(edges):
+        large = kept(_large_star(edges), "large-stars", count)
+        edges = kept(few_tasks(_small_star(large), count, ROWS_A_FILE).distinct(), "stars", count)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

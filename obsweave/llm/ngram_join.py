@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from obsweave.llm import wordhash
-from obsweave.llm.common import kept, release_arrow_memory, whole_text
+from obsweave.llm.common import few_tasks, kept, release_arrow_memory, whole_text
 from obsweave.llm.components import components
 
 FREQUENT = 32  # documents that make a token frequent
@@ -39,6 +39,7 @@ CLASS_TOKENS = 50  # of a longer text's prefix a class may hold
 ROUND_PAIRS = 100  # pairs a document, counted under each key, that may be left without a further round
 ROUND_GAIN = 0.9  # a round must leave at most this part of the pairs, or it was the last
 BUCKET_TOKENS = 2_000_000  # tokens that one counting task takes
+PAIRS_A_TASK = 1_000  # compared, about a millisecond each
 FLUSH_TOKENS = 1_000_000  # tokens that a counting task holds before it sends them
 BROADCAST_IDS = 2_000_000  # ids (16 MB) up to which texts are looked up without a shuffle
 
@@ -256,7 +257,8 @@ def _compared(pairs: DataFrame, source: DataFrame, similar: Similarity, is_frequ
             yield pd.concat([batch[["a", "b"]].reset_index(drop=True), out], axis=1)
         release_arrow_memory()
 
-    ids = kept(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids")
+    count = pairs.count()
+    ids = kept(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "pair-ids", 2 * count)
     if ids.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
     texts = kept(source.join(ids, "id", "left_semi").select(F.col("id").alias("node"), "text"), "texts")
@@ -264,7 +266,7 @@ def _compared(pairs: DataFrame, source: DataFrame, similar: Similarity, is_frequ
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b")
     schema = "a bigint, b bigint, links boolean, shared int, outside int"
-    return kept(both.mapInPandas(check, schema), "compared")
+    return kept(few_tasks(both, count, PAIRS_A_TASK).mapInPandas(check, schema), "compared")
 
 
 def _fits(a: str, b: str, similar: Similarity) -> Column:
@@ -287,22 +289,29 @@ def _stars(met: DataFrame, similar: Similarity) -> DataFrame:
     return best.select(F.col("node").alias("a"), F.col("centre").alias("b"))
 
 
-def _split_keys(met: DataFrame, stars: DataFrame, roots: DataFrame) -> DataFrame:
-    """The postings of keys that several components have, with ``root`` and the ``main`` one of the key."""
+def _split_keys(met: DataFrame, stars: DataFrame, roots: DataFrame, similar: Similarity) -> DataFrame:
+    """The postings of keys that several components have, with ``root`` and the ``main`` one of the key.
+
+    Without those that link to nobody under the key: what they can share at most
+    does not do even for the smallest set there.
+    """
+    count = met.count()
     hubs = stars.select(F.col("a").alias("node"), F.col("b").alias("hub"), F.col("shared").alias("inside"), "outside")
     placed = met.drop("centre_size", "centre_most").join(hubs, "node", "left").join(roots, "node", "left")
-    placed = kept(placed.withColumn("root", F.coalesce("root", "node")), "placed")
+    placed = kept(placed.withColumn("root", F.coalesce("root", "node")), "placed", count)
     split = (
         placed.groupBy("key")
         .agg(
             F.min("root").alias("low"),
             F.max("root").alias("high"),
             F.max(F.when(F.col("node") == F.col("centre"), F.col("root"))).alias("main"),
+            F.min("size").alias("smallest"),
         )
         .filter("low < high")
-        .select("key", "main")
+        .select("key", "main", "smallest")
     )
-    return kept(placed.join(split, "key"), "split-keys")
+    may_link = _enough(F.abs("most"), F.col("size") + F.col("smallest"), similar)
+    return kept(placed.join(split, "key").filter(may_link).drop("smallest"), "split-keys", count)
 
 
 def _pairs_left(rows: DataFrame) -> tuple[int, int]:
@@ -400,31 +409,34 @@ def join_components(
     is_frequent = frequency_test(docs.sparkSession, *frequent_tokens(source, similar.width))
     rows = described(source, is_frequent, similar).withColumn("row", F.monotonically_increasing_id())
     rows = kept(rows, "described")
+    count = rows.count()
     by_set = rows.filter("size > 0").groupBy("s1", "s2")
     spoken = F.min(F.struct("id", "row")).alias("spoken")
     nodes = by_set.agg(spoken, F.min(F.when(F.col("named"), F.col("id"))).alias("real"))
-    nodes = kept(nodes.select("s1", "s2", F.col("spoken.id").alias("node"), F.col("spoken.row").alias("row"), "real"), "nodes")
+    nodes = nodes.select("s1", "s2", F.col("spoken.id").alias("node"), F.col("spoken.row").alias("row"), "real")
+    nodes = kept(nodes, "nodes", count)
 
     met = kept(_meetings(rows, nodes), "meetings")
-    stars = _compared(kept(_stars(met, similar), "stars"), source, similar, is_frequent)
-    linked, done = stars.filter("links").select("a", "b"), _ordered(stars)
-    roots = components(linked)
-    split, before, turn = _split_keys(met, stars, roots), math.inf, 0
+    stars = _compared(kept(_stars(met, similar), "stars", count), source, similar, is_frequent)
+    done = _ordered(stars)
+    roots = components(stars.filter("links").select("a", "b"))
+    split, before, turn = _split_keys(met, stars, roots, similar), math.inf, 0
     while True:
         left, documents = _pairs_left(split)
         if left <= ROUND_PAIRS * documents or left > ROUND_GAIN * before:
             break
-        tried = _compared(kept(_proposals(split, done, similar, turn), "proposals"), source, similar, is_frequent)
-        linked, done = linked.union(tried.filter("links").select("a", "b")), done.union(tried.select("a", "b"))
-        roots = components(linked)
-        split, before, turn = _split_keys(met, stars, roots), left, turn + 1
+        proposals = kept(_proposals(split, done, similar, turn), "proposals", documents)
+        tried = _compared(proposals, source, similar, is_frequent)
+        done = done.union(tried.select("a", "b"))
+        roots = components(roots.union(tried.filter("links").select("a", "b")))
+        split, before, turn = _split_keys(met, stars, roots, similar), left, turn + 1
     crossing = _crossing(split, roots, similar).join(done, ["a", "b"], "left_anti") if turn else _crossing(split, roots, similar)
     across = _compared(kept(crossing, "crossing"), source, similar, is_frequent)
-    roots = components(linked.union(across.filter("links").select("a", "b")))
+    roots = components(roots.union(across.filter("links").select("a", "b")))
 
     rooted = nodes.drop("row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = rooted.groupBy("root").agg(F.min("real").alias("component_id"), F.min("node").alias("least_node"))
-    placed = kept(rooted.join(least, "root").select("s1", "s2", "component_id", "least_node"), "components")
+    placed = kept(rooted.join(least, "root").select("s1", "s2", "component_id", "least_node"), "components", count)
     own = F.when(F.col("named"), F.col("id"))
     empty = rows.filter("size = 0").select(
         own.alias("doc_id"), "id", "size", own.alias("component_id"), F.lit(True).alias("first"), "body"

@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from obsweave.llm import components as stars
 from obsweave.llm import ngram_join, queries, wordhash
 from obsweave.llm.components import components
 
@@ -174,6 +175,53 @@ def test_components(spark):
     assert {r.node: r.root for r in rows} == {i: find(i) for i in root if find(i) != i}
 
 
+@pytest.fixture
+def many_partitions(spark):
+    """Small exchanges are dealt over many tasks, and nothing gathers them."""
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name) for name in held}
+    for name, value in held.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_few_rounds_of_few_tasks(spark, monkeypatch, many_partitions):
+    """Stars are found settled without a round; what is small is not dealt over all shuffle partitions."""
+    stored, real = [], stars.kept
+
+    def counted(frame, label, *rest):
+        out = real(frame, label, *rest)
+        stored.append((label, len(out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(stars, "kept", counted)
+    links = [(i, i % 50) for i in range(50, 2000)] * 2
+    rows = components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    assert sorted((r.node, r.root) for r in rows) == sorted(set(links))
+    assert "stars" not in [label for label, _ in stored]
+    rows = components(spark.createDataFrame([(i, i - 7) for i in range(7, 700)], "a bigint, b bigint")).collect()
+    assert sorted((r.node, r.root) for r in rows) == [(i, i % 7) for i in range(7, 700)]
+    assert "stars" in [label for label, _ in stored]
+    assert max(files for _, files in stored) <= spark.sparkContext.defaultParallelism
+
+
+def test_split_keys_without_those_that_link_to_nobody(spark):
+    """Of keys that several components have, only postings are left that are enough for some other."""
+    similar = ngram_join.Similarity(4, 85)
+    # Sets of 100 link with 92 shared tokens at least, here with all that precede none.
+    met = [(7, i, 100, most, 0, 100, 100) for i, most in enumerate((100, 95, 92, 91, -99, -60))]
+    # One of 90 there needs 88 only.
+    met += [(8, i, size, most, 0, 100, 100) for i, size, most in ((0, 100, 100), (1, 90, 90), (2, 100, 88), (3, 100, 87))]
+    met += [(9, i, 100, 100, 4, 100, 100) for i in (4, 5)]
+    met = spark.createDataFrame(met, "key bigint, node bigint, size int, most int, centre bigint, centre_size int, centre_most int")
+    compared = spark.createDataFrame([], "a bigint, b bigint, links boolean, shared int, outside int")
+    roots = spark.createDataFrame([(5, 4)], "node bigint, root bigint")
+    left = ngram_join._split_keys(met, compared, roots, similar).collect()
+    assert sorted((r.key, r.node) for r in left) == [(7, 0), (7, 1), (7, 2), (7, 4), (8, 0), (8, 1), (8, 2)]
+
+
 def test_word_hashes(monkeypatch):
     texts = ["", "  a b\n\tA  c ", "é É a", "x" * 50 + " y", "a b a c"]
     words = {}
