@@ -48,6 +48,11 @@ def _byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+def _settings(part) -> dict:
+    """The configuration of one part of a tokenizer, without the vocabulary that the whole has."""
+    return json.loads(part.__getstate__()) if part else {}
+
+
 class Encoder:
     """Token ids as little-endian bytes, remembering what each word became.
 
@@ -64,9 +69,8 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        settings = json.loads(self.tokenizer.to_str())
-        steps = [s.get("pattern", {}).get("Regex") for s in settings["pre_tokenizer"].get("pretokenizers", [])]
-        kinds = [n["type"] for n in (settings["normalizer"] or {}).get("normalizers", [])]
+        steps = [s.get("pattern", {}).get("Regex") for s in _settings(self.tokenizer.pre_tokenizer).get("pretokenizers", [])]
+        kinds = [n["type"] for n in _settings(self.tokenizer.normalizer).get("normalizers", [])]
         self.by_word = steps == [_SPLIT, None] and kinds == ["NFC", "Replace", "Lowercase"]
         self.characters = _byte_characters()
         self.memo: dict[str, bytes] = {}

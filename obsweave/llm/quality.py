@@ -181,7 +181,8 @@ def evidence(model: Model, text: Column) -> Column:
             yield pd.Series(np.concatenate(parts) if parts else [], dtype="float64")
         release_arrow_memory()
 
-    return score(text)
+    # Else a filter on what is derived from it is pushed below, and each text scored again there.
+    return score.asNondeterministic()(text)
 
 
 def _rate(odds: str) -> Column:

@@ -57,3 +57,13 @@ def test_helper_names_clash(frame, spark):
     judged = quality.classify(docs, quality.fit(docs, labels))
     assert sorted(tuple(r) for r in judged.select(docs.columns).collect()) == rows
     assert judged.columns == [*docs.columns, "evidence", "host_rate", "path_rate", "quality", "kept"]
+
+
+def test_verdicts_score_each_text_once(frame, capsys):
+    docs = frame([(i, f"text {i}", "a") for i in range(8)])
+    rows = [("good words stand here", True), ("BAD BAD", False)] * 8
+    style, bins = quality.features([text for text, _ in rows])
+    model = quality.Model((quality.fit_rows(style, bins, np.array([good for _, good in rows])),))
+    judged = quality.classify(docs, model, path="key").filter("kept")
+    judged.select("doc_id", "text").explain()
+    assert capsys.readouterr().out.count("ArrowEvalPython") == 1
