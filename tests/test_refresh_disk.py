@@ -1,10 +1,12 @@
 """What the refresh queries write to disk beside their tables."""
 
+import re
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from obsweave.checks.queries import excess_rows
 from obsweave.config import FeatureConfig
 from obsweave.operators import keyed
 from obsweave.plans import features, incremental
@@ -37,6 +39,35 @@ def series_rows(spark, late=None):
     return obs if late is None else obs.where(mark if late else ~mark)
 
 
+# --- comparing --------------------------------------------------------------
+
+SCHEMA = "city string, timestamp timestamp, a double, b double, n int"
+BASE = [("x", None, 1.0, None, 3), ("x", None, 1.0, None, 3), (None, None, None, 2.0, None), ("y", None, float("nan"), 0.0, 1)]
+
+
+@pytest.mark.parametrize(
+    "changed, differing",
+    [
+        (BASE, 0),
+        ([*BASE[:3], ("y", None, float("nan"), -0.0, 1)], 0),
+        ([("x", None, None, 1.0, 3), *BASE[1:]], 2),
+        ([(None, None, 2.0, None, None) if row[0] is None else row for row in BASE], 2),
+        (BASE[1:], 1),
+        ([*BASE, BASE[2]], 1),
+        ([*BASE[:3], ("y", None, float("nan"), 5e-324, 1)], 2),
+    ],
+)
+def test_rows_that_differ_are_counted(spark, changed, differing):
+    found = excess_rows(spark.createDataFrame(BASE, SCHEMA), spark.createDataFrame(changed, SCHEMA)).first()
+    assert found.asDict() == {"rows": 4, "differing": differing}
+
+
+def test_rows_are_compared_without_shuffling_them(spark, capsys):
+    built = features.build_features(series_rows(spark), DENSE)
+    keys = re.findall(r"HashAggregate\(keys=\[(city.*?)\], functions=\[(?:partial_)?sum\(_side", plan_of(excess_rows(built, built), capsys))
+    assert keys and all(found.count("#") == 4 for found in keys), keys
+
+
 # --- deriving ---------------------------------------------------------------
 
 
