@@ -96,8 +96,9 @@ def test_buckets_and_slots_change_no_digit(spark, frames):
 @pytest.mark.parametrize("rows", [10, 1_000_000])
 @pytest.mark.parametrize("config", [FeatureConfig(), DENSE])
 def test_derived_and_refreshed_rows_are_written_where_they_are(spark, monkeypatch, capsys, rows, config):
-    """A write of feature rows deals out none of them again."""
+    """A write of feature rows deals out none of them again, and replaced rows are not shuffled to find them."""
     monkeypatch.setattr(incremental, "DERIVED_ROWS", rows, raising=False)
+    monkeypatch.setattr(incremental, "STRETCH", 20, raising=False)
     plans, write = [], keyed.write_days
 
     def kept_plan(frame, path, *args, **kinds):
@@ -117,6 +118,7 @@ def test_derived_and_refreshed_rows_are_written_where_they_are(spark, monkeypatc
     assert values(spark.read.parquet(path).drop("day")) == values(features.build_features(series_rows(spark), config))
     assert incremental.saved_config(spark, path) == config
     assert len(plans) == 2 and all(keyed.SLOT in columns for columns, _ in plans)
+    assert "LeftAnti" not in plans[1][1] and "LeftOuter, BuildRight" in plans[1][1]
 
 
 def test_a_write_deletes_what_it_shuffled(spark):
